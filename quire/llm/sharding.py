@@ -88,10 +88,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", tolera
     parts = shards * each
     _, cuts = find_splitters(keys, parts, {i: tolerance * each for i in range(each, parts, each)}, 0.1)
     keyed = docs.withColumns({"_k1": k1, "_k2": k2, "size": size})
-    # the splitters' list has parts - 1 entries: the place of a key is found by binary search over literals
-    keyed = keyed.withColumn("_part", _place(cuts, 0, len(cuts)).cast("int"))
-    dealt = keyed.repartitionById(parts, "_part").sortWithinPartitions("_part", "_k1", "_k2")
-    counts = keys.withColumn("_part", _place(cuts, 0, len(cuts)).cast("int")).groupBy("_part").count()
+    dealt = _placed(keyed, cuts).repartitionById(parts, "_part").sortWithinPartitions("_part", "_k1", "_k2")
+    counts = _placed(keys, cuts).groupBy("_part").count()
     ahead = Window.partitionBy(F.floor(F.col("_part") / each)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(F.col("_part").alias("_bp"), F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_base"))
     # base has one row a partition
@@ -101,14 +99,24 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", tolera
     return out.drop("_k1", "_k2", "_part", "_at", "_bp", "_base")
 
 
-def _place(cuts: list[tuple[int, int]], lo: int, hi: int):
-    """How many of cuts[lo:hi] are at or below the row's key, plus lo, as a tree of comparisons."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    a, b = cuts[mid]
-    below = (F.col("_k1") < a) | ((F.col("_k1") == a) & (F.col("_k2") < b))
-    return F.when(below, _place(cuts, lo, mid)).otherwise(_place(cuts, mid + 1, hi))
+def _placed(keyed: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """keyed with _part: how many cuts are at or below the row's key.
+
+    The top bits of the key select, in a table of a few rows per cut, the cuts before them and those among them.
+    """
+    bits = max(8, len(cuts).bit_length() + 2)
+    among: dict[int, list[tuple[int, int]]] = {}
+    for cut in cuts:
+        among.setdefault(min(cut[0] >> KEY_BITS - bits, (1 << bits) - 1), []).append(cut)
+    rows, before = [], 0
+    for b in range(1 << bits):
+        own = among.get(b, [])
+        rows.append((b, before, own))
+        before += len(own)
+    table = keyed.sparkSession.createDataFrame(rows, "_b int, _before int, _own array<struct<a:bigint,b:bigint>>")
+    below = F.filter("_own", lambda c: (c["a"] < F.col("_k1")) | ((c["a"] == F.col("_k1")) & (c["b"] <= F.col("_k2"))))
+    found = keyed.join(F.broadcast(table), F.shiftright("_k1", KEY_BITS - bits).cast("int") == F.col("_b"))
+    return found.withColumn("_part", F.col("_before") + F.size(below)).drop("_b", "_before", "_own")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
