@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontaminate, mixing, sharding, token_files
 
 
 def queries() -> dict:
     return {
+        "op5_token_files": token_files.op5,
         "op6_sharding": sharding.op6,
+        "op8_decontamination": decontaminate.op8,
         "op10_mixing": mixing.op10,
     }
 

@@ -41,9 +41,8 @@ _POWERS = [np.ones(1, U64), np.ones(1, U64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_MUL ** i and its inverse for i below n; kept for the worker's life."""
     if len(_POWERS[0]) < n:
-        n = 1 << (n - 1).bit_length()
         for k, base in enumerate((_MUL, _INV)):
-            p = np.ones(n, U64)
+            p = np.ones(1 << (n - 1).bit_length(), U64)
             p[1:] = U64(base)
             _POWERS[k] = np.multiply.accumulate(p)
     return _POWERS[0][:n], _POWERS[1]
@@ -54,6 +53,7 @@ def classes(kind: str) -> np.ndarray:
     """Byte classes; 0 is never part of a token.
 
     ``alnum``: digits, letters and all non-ASCII bytes. ``space``: all but space and \\x09-\\x0D.
+    ``cut``: all but space and line feed.
     ``both``: 1 for alnum bytes, 2 for other printable ones; a token is a run of one class.
     """
     b = np.arange(256)
@@ -63,6 +63,8 @@ def classes(kind: str) -> np.ndarray:
         return alnum.astype(np.uint8)
     if kind == "space":
         return (~blank).astype(np.uint8)
+    if kind == "cut":
+        return ((b != 32) & (b != 10)).astype(np.uint8)
     return np.where(alnum, 1, np.where(b <= 32, 0, 2)).astype(np.uint8)
 
 
