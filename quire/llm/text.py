@@ -54,6 +54,7 @@ def classes(kind: str) -> np.ndarray:
 
     ``alnum``: digits, letters and all non-ASCII bytes. ``space``: all but space and \\x09-\\x0D.
     ``cut``: all but space and line feed.
+    ``unit``: 1 for non-ASCII bytes, 2 for letters, 3 for digits, 4 for other visible ASCII.
     ``both``: 1 for alnum bytes, 2 for other printable ones; a token is a run of one class.
     """
     b = np.arange(256)
@@ -63,6 +64,9 @@ def classes(kind: str) -> np.ndarray:
         return alnum.astype(np.uint8)
     if kind == "space":
         return (~blank).astype(np.uint8)
+    if kind == "unit":
+        letter, digit = ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122)), (b >= 48) & (b <= 57)
+        return np.select([blank | (b < 33) | (b == 127), b >= 128, letter, digit], [0, 1, 2, 3], 4).astype(np.uint8)
     if kind == "cut":
         return ((b != 32) & (b != 10)).astype(np.uint8)
     return np.where(alnum, 1, np.where(b <= 32, 0, 2)).astype(np.uint8)

@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ from .shared import new_path
 
 HEAD, EF_HEAD, EVERY = struct.Struct(">4sIQQQq"), struct.Struct("<QQIIQQ"), 256
 #: Text bytes that one file takes, about.
-FILE_BYTES = 24 << 20
+FILE_BYTES = 16 << 20
+#: Fixed value: the units that the tokenizer's file cuts a text into.
+UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -125,13 +129,13 @@ class Encoder:
     """A tokenizer that encodes each different word of a block once, with a cache of words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn. Words
-    are cut at spaces and line feeds, and before a full stop or comma that closes a word after an ASCII letter
-    or digit, where a unit of the text ends too. A-Z count as a-z, as for the tokenizer, but in words with "<",
-    which may hold its special tokens. The cache has two generations of bounded size: what is met again moves
+    are cut at spaces and line feeds, and between ASCII letters, digits and other signs, where a unit of the text
+    ends too; words with an apostrophe or "<" stay whole, for contractions and special tokens. A-Z count as a-z, as
+    for the tokenizer, but in words with "<". The cache has two generations of bounded size: what is met again moves
     to the young one.
     """
 
-    KEEP, BLOCK = 300_000, 6 << 20
+    KEEP, BLOCK = 200_000, 3 << 20
 
     def __init__(self, path: str):
         import os
@@ -150,17 +154,18 @@ class Encoder:
         self.old: dict[int, bytes] = {}
 
     def encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each word. Words of letters go in lines of many, each being one unit of the line, which ends in a token of its own kind."""
+        """The ids of each word. Many words go in one line, which is cut by the number of units each has: a unit ends in a token of its own kind."""
         known: dict[str, bytes] = {}
-        plain = [w for w in words if w.isalpha()] if self.ends.any() else []
-        for at in range(0, len(plain), 1000):
-            line = plain[at : at + 1000]
+        lined = [w for w in words if "<" not in w] if self.ends.any() else []
+        for at in range(0, len(lined), 500):
+            line = lined[at : at + 500]
             ids = np.array(self.batch([" ".join(line)], add_special_tokens=False)[0].ids, self.type)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(line):
-                continue  # a letter whose lower case holds a mark: such words go one by one
+            units = np.cumsum([1 if w.isalpha() else len(UNIT.findall(unicodedata.normalize("NFC", w).lower())) for w in line])
+            cut = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            if len(cut) != units[-1] + 1:
+                continue  # letters whose lower case holds a mark, and the like: such words go one by one
             raw, a = ids.tobytes(), 0
-            for w, b in zip(line, (cut * self.width).tolist(), strict=True):
+            for w, b in zip(line, (cut[units] * self.width).tolist(), strict=True):
                 known[w] = raw[a:b]
                 a = b
         rest = [w for w in words if w not in known]
@@ -169,15 +174,17 @@ class Encoder:
 
     def _words(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, first, hashes) of the words."""
-        starts, ends, first = tx.tokens(data, offs, "cut")
-        last = data[ends - 1]
-        before = data[np.maximum(ends - 2, 0)]
-        alnum = (tx.classes("alnum")[before] != 0) & (before < 128)
-        tail = np.flatnonzero(((last == 46) | (last == 44)) & alnum & (ends - starts > 1))
-        if len(tail):
-            starts = np.insert(starts, tail + 1, ends[tail] - 1)
-            ends = np.insert(ends, tail, ends[tail] - 1)
-            first = np.searchsorted(starts, offs)
+        starts, ends, _ = tx.tokens(data, offs, "cut")
+        kind = tx.classes("unit")[data]
+        # two ASCII bytes of different kinds in one word: a unit ends between them, but near ' and <
+        inner = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 1) & (kind[:-1] > 1)) + 1
+        word = np.searchsorted(starts, inner, "right") - 1
+        whole = np.zeros(len(starts), bool)
+        whole[np.searchsorted(starts, np.flatnonzero((data == 39) | (data == 60)), "right") - 1] = True
+        inner = inner[~whole[word]]
+        inner = inner[~np.isin(inner, offs)] if len(inner) else inner
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        first = np.searchsorted(starts, offs)
         h = tx.hashes(data, starts, ends)
         signs = np.flatnonzero(data == 60)
         for k in np.unique(np.searchsorted(starts, signs, "right") - 1).tolist() if len(signs) else []:
