@@ -1,8 +1,57 @@
-"""The corpus pipeline (being built)."""
+"""The corpus pipeline: five stages over the documents, each written as Parquet and read again for the next.
 
-STAGES = []
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import decontaminate, mixing, near_dup, sharding
+from quire.llm import toxicity as tox
+from quire.llm.shared import written
+
+#: Classifier, suffix arrays and signatures are not SQL; tests hold run() against plain versions of the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores under its threshold. It learns from labels of documents it is given."""
+    machine = tox.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return tox.reject_toxic(docs, machine)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    taken = mixing.mix_sources(docs).where("copies > 0")
+    again = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return taken.withColumn("_again", again).select(*docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with size, shard and slot."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixture), ("sharding", shards)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
