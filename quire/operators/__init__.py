@@ -1 +1 @@
-
+"""Operators over documents and their relations."""

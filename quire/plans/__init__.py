@@ -1,18 +1,5 @@
-"""The registered queries of the document engine, with their SQL."""
+"""The registered queries of the document engine, with DuckDB SQL for those that SQL can express."""
 
-FLAGSHIP = "plain_text_paragraphs"
+from .catalogue import FLAGSHIP, oracle_sql, queries
 
-
-def _plain_text(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\r?\n", -1)).alias("para_idx", "text"))
-
-
-def queries():
-    return {FLAGSHIP: _plain_text}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["FLAGSHIP", "oracle_sql", "queries"]

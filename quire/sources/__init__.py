@@ -1 +1 @@
-
+"""Readers of documents and folders."""
