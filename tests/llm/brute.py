@@ -1,13 +1,14 @@
 """Plain versions of operators, for tests."""
 
 import hashlib
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 WINDOW = 10
 
 
-def brute_force(texts: list[str | None], items: list[tuple[str, str | None]]) -> list[tuple[int, int, int, str]]:
+def contamination(texts: list[str | None], items: list[tuple[str, str | None]]) -> list[tuple[int, int, int, str]]:
     """(n_words, n_hit, n_items, items_sha256) of each text, window by window."""
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     split = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -27,3 +28,90 @@ def brute_force(texts: list[str | None], items: list[tuple[str, str | None]]) ->
                     ids |= own
         out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()))
     return out
+
+
+def words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def near_classes(rows):
+    """Least id of the class of each (id, text), by the exact similarity of all pairs."""
+    bags = []
+    for _, t in rows:
+        w = words(t)
+        bags.append(Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1 if w else 0))))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = sum((bags[a] | bags[b]).values())
+            if rows[a][1] is not None and rows[a][1] == rows[b][1] or both and sum((bags[a] & bags[b]).values()) / both >= 0.8:
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [least.get(find(k)) for k in range(len(rows))]
+
+
+def kneser_ney(train, texts, discounts):
+    """(n_tokens, n_known, train_tokens, base_score, score) of each text."""
+
+    def tokens(t):
+        return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall("[^\x20\x09-\x0d]+", t or "")] + ["</s>"]
+
+    one, two = Counter(), Counter()
+    for t in train:
+        last = "<s>"
+        for w in tokens(t):
+            one[w] += 1
+            two[last, w] += 1
+            last = w
+    n, v = sum(one.values()), len(one)
+    continued = Counter(w for _, w in two)
+    after = defaultdict(Counter)
+    for (a, _), c in two.items():
+        after[a][min(c, 3)] += 1
+        after[a]["all"] += c
+    d = discounts([sum(c == k for c in two.values()) for k in (1, 2, 3, 4)])
+    u = discounts([sum(c == k for c in continued.values()) for k in (1, 2, 3, 4)])
+    left = sum(u[min(c, 3)] for c in continued.values())
+
+    def word(w):
+        return (max(continued[w] - u[min(continued[w], 3)], 0) + left / (v + 1)) / len(two) if two else 1 / (v + 1)
+
+    out = []
+    for t in texts:
+        last, score, base, known = "<s>", 0.0, 0.0, 0
+        for w in tokens(t):
+            p, x, c = word(w), after.get(last), two.get((last, w), 0)
+            if x:
+                p = max(c - d[min(c, 3)], 0) / x["all"] + sum(d[k] * x[k] for k in (1, 2, 3)) / x["all"] * p
+            score += math.log10(p)
+            base += math.log10((one[w] + 1) / (n + v + 1))
+            known += one[w] > 0
+            last = w
+        out.append((len(tokens(t)), known, n, base, score))
+    return out
+
+
+def mixed_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Targets by sharing out, stopping what is full and sharing the excess again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    rest, open_, target = share * sum(sizes.values()), set(order), {}
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= most * sizes[s]}
+        if not full:
+            return target | {s: level * weight[s] for s in open_}
+        for s in full:
+            target[s] = most * sizes[s]
+            rest -= target[s]
+        open_ -= full
+    return target
