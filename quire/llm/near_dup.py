@@ -9,9 +9,10 @@ similarity. Points are drawn in time order only up to the time by which all regi
 Texts that share a band of registers are candidates. Exact copies are one node. In a bucket every node is compared with
 three of it; components are formed; then only nodes of one bucket that are still in different components are
 compared, in tiles of bounded size. So large groups never make all their pairs, and no pair in a shared bucket that
-could join two components goes untested: a signature estimate far below the threshold (over four deviations)
-rules a pair out, all others are verified on their shingle multisets. A pair at the threshold misses all 32 bands
-with a chance of 5e-8.
+could join two components goes untested: a pair is ruled out by an estimate from signatures over four deviations
+below the threshold, or by an upper bound of its overlap: of 2,048 bins of shingles, those of different parity are
+counted. All others are verified on their shingle multisets. A pair at the threshold misses all 32 bands with a
+chance of 5e-8.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ SHINGLE, SIMILAR = 5, 0.8
 REGISTERS, BAND = 128, 4
 #: Signature agreement under which a pair is ruled out: 0.8 less four standard deviations of 128 registers.
 RULED_OUT = 0.66
-#: Nodes on one side of a tile.
-TILE = 512
-#: Text bytes that are hashed at a time.
-BLOCK = 4 << 20
+#: Nodes on one side of a tile, and bins of the parities that bound an overlap from above.
+TILE, BINS = 4096, 2048
+#: Text bytes and texts that are hashed at a time.
+BLOCK, ROWS = 4 << 20, 2048
 _U = np.uint64
 _FACTORS = tx.mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | _U(1)
 
@@ -101,6 +102,25 @@ def _run(doc, element, count, low, width, late, time, mark) -> None:
         mark[at[won]] = (tx.mix(x[valid][won]) >> _U(32)).astype(np.uint32)
 
 
+def parities(sh: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, BINS / 8 + 8) bytes: whether the number of shingles in each bin is odd, and the number of all."""
+    at = tx.doc_index(first) * BINS + (sh >> _U(12) & _U(BINS - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=(len(first) - 1) * BINS) & 1).astype(np.uint8).reshape(-1, BINS)
+    return np.concatenate([np.packbits(odd, axis=1), np.diff(first).astype("<u8").view(np.uint8).reshape(-1, 8)], 1)
+
+
+def possible(short_a: np.ndarray, short_b: np.ndarray, similar: float) -> np.ndarray:
+    """Whether rows of short signatures and parities beside each other may be similar; one side may be a single row.
+
+    Two texts differ in at least as many shingles as they have bins of different parity, so this bounds what they share.
+    """
+    alike = (short_a[..., :REGISTERS] == short_b[..., :REGISTERS]).mean(-1) >= RULED_OUT
+    a, b = (np.ascontiguousarray(x[..., REGISTERS:]).view("<u8") for x in (short_a, short_b))
+    both = (a[..., -1] + b[..., -1]).astype(np.int64)
+    common = (both - np.bitwise_count(a[..., :-1] ^ b[..., :-1]).sum(-1, dtype=np.int64)) / 2
+    return alike & (common >= similar * (both - common) - 1e-9)
+
+
 def multiset(sh: np.ndarray) -> np.ndarray:
     """Shingle hashes as a sorted set: the k-th of equal ones gets a hash of its own."""
     sh = np.sort(sh)
@@ -123,29 +143,37 @@ def _node(text: str):
 def _sign(batches):
     for batch in batches:
         data, offs = tx.column_bytes(batch.column(2))
-        for i, j in tx.blocks(offs, BLOCK):
+        for i, j in tx.blocks(offs, BLOCK, ROWS):
             sh, first = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             sig = signatures(sh, first)
             raw = pa.array([s.tobytes() for s in sig], pa.binary())
-            short = pa.array([s.tobytes() for s in sig.astype(np.uint8)], pa.binary())
+            short = pa.array([s.tobytes() for s in np.concatenate([sig.astype(np.uint8), parities(sh, first)], 1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first), pa.int64()), raw, short], names=["_node", "_id", "_n", "_sig", "_short"])
 
 
 def _shingled(batches):
     for batch in batches:
         data, offs = tx.column_bytes(batch.column(1))
-        for i, j in tx.blocks(offs, BLOCK):
+        for i, j in tx.blocks(offs, BLOCK, ROWS):
             sh, first = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             raw = [multiset(sh[a:b]).tobytes() for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(raw, pa.binary())], names=["_nid", "_set"])
 
 
-def _alike(batches):
-    """Pairs whose short signatures agree enough."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (2, 3))
-            yield batch.select(["_a", "_b"]).filter(pa.array((a == b).mean(1) >= RULED_OUT))
+def _shorts(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS + BINS // 8 + 8)
+
+
+def _alike(similar: float):
+    """Pairs that may be similar by their short signatures."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                yield part.select(["_a", "_b"]).filter(pa.array(possible(_shorts(part.column(2)), _shorts(part.column(3)), similar)))
+
+    return run
 
 
 def _verified(similar: float):
@@ -157,18 +185,31 @@ def _verified(similar: float):
     return run
 
 
-def _tiles(batches):
-    """Rows (_bucket, _i, _j, _block, _nid, _c, _short), a tile's rows together: pairs of the two blocks in different components that agree enough."""
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which rows of short signatures agree."""
+    same = (a[..., :REGISTERS] == b[..., :REGISTERS]).reshape(*np.broadcast_shapes(a.shape, b.shape)[:-1], -1, BAND).all(-1)
+    return same.argmax(-1)
+
+
+def _tiles(similar: float):
+    return lambda batches: _tile_pairs(batches, similar)
+
+
+def _tile_pairs(batches, similar: float):
+    """Rows (_bucket, _i, _j, _block, _nid, _c, _band, _short), a tile's rows together: pairs of the two blocks in
+    different components that may be similar, each in the first band that they share only."""
     held, key = None, None
 
     def pairs(tile: pa.RecordBatch):
-        block, nid, c = (tile.column(k).to_numpy() for k in (3, 4, 5))
-        short = np.frombuffer(b"".join(tile.column(6).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        block, nid, c, band = (tile.column(k).to_numpy() for k in (3, 4, 5, 6))
+        short = _shorts(tile.column(7))
         i, j = tile.column(1)[0].as_py(), tile.column(2)[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         for a in left:
             other = right[(c[right] != c[a]) & ((nid[right] > nid[a]) if i == j else True)]
-            other = other[(short[other] == short[a]).mean(1) >= RULED_OUT] if len(other) else other
+            other = other[(short[other, :REGISTERS] == short[a, :REGISTERS]).mean(1) >= RULED_OUT] if len(other) else other
+            other = other[possible(short[other], short[a], similar)] if len(other) else other
+            other = other[_first_shared(short[other], short[a]) == band[a]] if len(other) else other
             for b in nid[other].tolist():
                 yield min(int(nid[a]), b), max(int(nid[a]), b)
 
@@ -211,7 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _bands(nodes: DataFrame) -> DataFrame:
     width = BAND * 4
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("_sig"), k * width + 1, F.lit(width))))
-    return nodes.where("_n > 0").select("_nid", F.explode(bands).alias("_bucket"))
+    return nodes.where("_n > 0").select("_nid", F.posexplode(bands).alias("_band", "_bucket"))
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, similar: float) -> DataFrame:
@@ -248,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     stars = stars.select(F.least("_nid", "_head").alias("_a"), F.greatest("_nid", "_head").alias("_b")).distinct()
     short = nodes.select("_nid", "_short")
     alike = stars.join(short.withColumnsRenamed({"_nid": "_a", "_short": "_x"}), "_a").join(short.withColumnsRenamed({"_nid": "_b", "_short": "_y"}), "_b")
-    tested = written(alike.select("_a", "_b", "_x", "_y").mapInArrow(_alike, "_a bigint, _b bigint"), "stars")
+    tested = written(alike.select("_a", "_b", "_x", "_y").mapInArrow(_alike(similar), "_a bigint, _b bigint"), "stars")
     links = _verify(tested, nodes, docs, id_col, text, similar)
     comps = components(links)
     # buckets of three or more that still hold several components
@@ -258,8 +299,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     member = member.join(split, "_bucket").join(short, "_nid")
     blocks = F.ceil(F.col("_size") / TILE)
     member = member.withColumn("_block", F.pmod(F.xxhash64("_nid"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    member = member.select("_bucket", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_nid", "_c", "_short")
-    rest = member.repartition("_bucket", "_i", "_j").sortWithinPartitions("_bucket", "_i", "_j").mapInArrow(_tiles, "_a bigint, _b bigint").distinct()
+    member = member.select("_bucket", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_nid", "_c", "_band", "_short")
+    rest = member.repartition("_bucket", "_i", "_j").sortWithinPartitions("_bucket", "_i", "_j").mapInArrow(_tiles(similar), "_a bigint, _b bigint").distinct()
     rest = written(rest.join(tested, ["_a", "_b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = _verify(rest, nodes, docs, id_col, text, similar)

@@ -87,13 +87,14 @@ def column_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(offs: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of whole documents of about ``most`` bytes; a longer document is a run of its own."""
+def blocks(offs: np.ndarray, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of whole documents of about ``most`` bytes and at most ``rows`` documents; a longer document is a run of its own."""
     i, n = 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + rows)
+        yield i, j
+        i = j
 
 
 def tokens(data: np.ndarray, offs: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
