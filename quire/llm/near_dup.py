@@ -32,7 +32,7 @@ RULED_OUT = 0.66
 #: Nodes on one side of a tile, and bins of the parities that bound an overlap from above.
 TILE, BINS = 4096, 2048
 #: Text bytes and texts that are hashed at a time.
-BLOCK, ROWS = 4 << 20, 2048
+BLOCK, ROWS = 2 << 20, 1024
 _U = np.uint64
 _FACTORS = tx.mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | _U(1)
 
@@ -104,9 +104,13 @@ def _run(doc, element, count, low, width, late, time, mark) -> None:
 
 def parities(sh: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(texts, BINS / 8 + 8) bytes: whether the number of shingles in each bin is odd, and the number of all."""
-    at = tx.doc_index(first) * BINS + (sh >> _U(12) & _U(BINS - 1)).astype(np.int64)
-    odd = (np.bincount(at, minlength=(len(first) - 1) * BINS) & 1).astype(np.uint8).reshape(-1, BINS)
-    return np.concatenate([np.packbits(odd, axis=1), np.diff(first).astype("<u8").view(np.uint8).reshape(-1, 8)], 1)
+    packed = []
+    for i in range(0, len(first) - 1, 128):  # a few megabytes of counts at a time
+        own = first[i : i + 129]
+        at = tx.doc_index(own) * BINS + (sh[own[0] : own[-1]] >> _U(12) & _U(BINS - 1)).astype(np.int64)
+        odd = np.bincount(at, minlength=(len(own) - 1) * BINS).astype(np.uint8) & 1
+        packed.append(np.packbits(odd.reshape(-1, BINS), axis=1))
+    return np.concatenate([np.concatenate(packed), np.diff(first).astype("<u8").view(np.uint8).reshape(-1, 8)], 1)
 
 
 def possible(short_a: np.ndarray, short_b: np.ndarray, similar: float) -> np.ndarray:
