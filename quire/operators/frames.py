@@ -100,6 +100,7 @@ def flat_map(df: DataFrame, content: str, schema: str, one: Callable[[bytes | st
     """keys, the columns of schema for every tuple that ``one`` gives, status and message.
 
     With outer a document without results has one row of nulls, so none is lost; else only failures have.
+    A key that has the name of an output column gets "_in" behind its own.
     """
     if mode not in MODES:
         raise ValueError(f"mode {mode}")
@@ -107,7 +108,9 @@ def flat_map(df: DataFrame, content: str, schema: str, one: Callable[[bytes | st
     from pyspark.sql.types import StructType
 
     own = StructType.fromDDL(schema)
-    out = StructType([*(df.schema[k] for k in keys), *own, *StructType.fromDDL("status string, message string")])
+    made = StructType([*own, *StructType.fromDDL("status string, message string")])
+    df = df.select(*(F.col(k).alias(f"{k}_in" if k in made.names else k) for k in keys), F.col(content).alias("_content"))
+    out = StructType([*df.schema.fields[:-1], *made])
     arrow = to_arrow_schema(out)
     n = len(own)
 
@@ -141,7 +144,7 @@ def flat_map(df: DataFrame, content: str, schema: str, one: Callable[[bytes | st
             if take:
                 yield flush()
 
-    return df.select(*keys, F.col(content)).mapInArrow(run, out)
+    return df.mapInArrow(run, out)
 
 
 def _keys(df: DataFrame, content: str, keys: list[str] | None) -> list[str]:

@@ -388,9 +388,9 @@ def _plain(x: str) -> str:
 
 @query("html_article_text", "select page_id, " + _plain("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)") + " as text from pages where html like '%<article>%'")
 def html_article_text(spark, sf_dir):
-    """The one paragraph that an article becomes: the longest of its page."""
-    rows = frames.document_table(_pages(spark, sf_dir), "paragraph", "html")
-    return rows.groupBy("page_id").agg(F.max_by("text", F.length("text")).alias("text"))
+    """The one paragraph that an article becomes: the last of its page before the footer."""
+    rows = frames.document_table(_pages(spark, sf_dir), "paragraph", "html").where(~c("text").startswith("©"))
+    return rows.groupBy("page_id").agg(F.max_by("text", "para_path").alias("text"))
 
 
 @query("html_nav_items", "select page_id, string_agg('- ' || x, chr(10)) as items from (select page_id, unnest(regexp_extract_all(html, '<li><a[^>]*>(.*?)</a></li>', 1)) as x from pages) group by page_id")
