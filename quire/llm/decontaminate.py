@@ -247,4 +247,19 @@ def items_digest(matches_col: str = "matches"):
 def op8(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n, sha = items_digest()
-    return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), sha.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
+    return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), sha.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+with i as (select cast(item_id as varchar) as item_id, {_WORDS.format("text")} as w from benchmark where text is not null and item_id is not null),
+iw as (select distinct item_id, z, array_to_string(w[p:p + z - 1], ' ') as k
+    from (select item_id, w, least(len(w), 10) as z, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p from i where len(w) > 0)),
+d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+h as (select doc_id, p, z, item_id from (select doc_id, z, p, array_to_string(w[p:p + z - 1], ' ') as k
+    from (select doc_id, w, z, unnest(range(1, len(w) - z + 2)) as p from d, (select distinct z from iw))) join iw using (z, k)),
+c as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(p, p + z)) as x from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from h) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
+"""

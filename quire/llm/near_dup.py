@@ -340,3 +340,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
 
 def op7(spark, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+with recursive t as (select distinct text, md5(text) as node, {_WORDS} as w from documents where text is not null),
+s as (select node, s, count(*) as c from (select node, array_to_string(w[k:k + 4], ' ') as s
+    from (select node, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as k from t)) group by all),
+n as (select node, sum(c) as n from s group by node),
+p as (select a.node as a, b.node as b, sum(least(a.c, b.c)) as common from s a join s b on a.s = b.s and a.node < b.node group by all),
+e as (select a, b from p join n x on x.node = a join n y on y.node = b where common >= 0.8 * (x.n + y.n - common)),
+both_ways as (select a, b from e union all select b, a from e),
+reach as (select node, node as c from t union select r.node, x.b from reach r join both_ways x on r.c = x.a),
+g as (select node, min(c) as c from reach group by node),
+m as (select g.c, min(doc_id) as class_id, count(*) as class_size from documents d join g on md5(d.text) = g.node group by g.c)
+select d.doc_id, case when d.text is null then d.doc_id else m.class_id end as class_id, coalesce(m.class_size, 1) as class_size
+from documents d left join g on md5(d.text) = g.node left join m on m.c = g.c
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.ORACLE}
+    return {"op1_topk": topk.ORACLE, "op7_near_duplicates": near_dup.ORACLE, "op8_decontamination": decontaminate.ORACLE}
