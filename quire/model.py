@@ -116,6 +116,8 @@ class Tables:
     tabs: list[tuple[bool, bool]] = field(default_factory=list)
     #: (type, storage id, extension): link, embedding or storage.
     binaries: list[tuple[str, int, str]] = field(default_factory=list)
+    #: Sections, and first numbers of pages, footnotes, endnotes, pictures, tables and equations.
+    starts: tuple[int, ...] = (1,) * 7
 
 
 @dataclass

@@ -57,9 +57,10 @@ def to_text(kind: str, raw: bytes | str) -> str:
     return _opened(raw, False).to_text() if kind == "hwpx" else render.to_text(READERS[kind](raw))
 
 
-def to_markdown(kind: str, raw: bytes | str, embed: bool = False) -> str:
-    # a picture is also shown by name, which needs the list of files only to embed
-    return _opened(raw, embed).to_markdown(embed) if kind == "hwpx" else render.to_markdown(READERS[kind](raw), embed)
+def to_markdown(kind: str, raw: bytes | str, embed: bool = False, resolver=None) -> str:
+    """resolver: the address of a picture from its path (and storage id, but for packages)."""
+    # pictures are unzipped only to embed them
+    return _opened(raw, embed).to_markdown(embed, resolver) if kind == "hwpx" else render.to_markdown(READERS[kind](raw), embed, resolver)
 
 
 def to_html(kind: str, raw: bytes | str, options: package.HtmlOptions) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import scalar as S
 from ..operators import frames, relational
 
@@ -108,6 +109,10 @@ scalar_query(
     {"ctrl_id": lambda: S.ctrl_id_text(F.expr(f"cast({_WORD} as bigint)")), "is_field": lambda: S.is_field_id(F.expr(f"cast({_WORD} as bigint)")), "hex_id": lambda: S.hex_id(c("p_partkey"))},
     "select p_partkey, 'a' || chr(cast(97 + p_partkey % 26 as int)) || chr(cast(97 + p_partkey % 7 as int)) || ' ' as ctrl_id, false as is_field, lpad(printf('%x', p_partkey), 4, '0') as hex_id from part",
 )
+scalar_query(
+    "tag_names", "part", "p_partkey", {"tag": lambda: names.tag_name(c("p_partkey") % 100), "control": lambda: names.control_name(F.when(c("p_partkey") % 3 == 0, "tbl ").otherwise("none")), "field": lambda: names.field_kind(F.when(c("p_partkey") % 2 == 0, "%hlk"))},
+    "select p_partkey, coalesce((map {" + ", ".join(f"{k}: '{v}'" for k, v in names.TAG_NAMES.items()) + "})[p_partkey % 100], 'UNKNOWN') as tag, case when p_partkey % 3 = 0 then 'Table' else 'Unknown' end as control, case when p_partkey % 2 = 0 then 'hyperlink' end as field from part",
+)
 scalar_query(
     "record_header_unpack", "lineitem", "l_orderkey",
     {"l_linenumber": lambda: c("l_linenumber"), **{n: (lambda n=n: S.record_header((c("l_orderkey") * 2654435761 + c("l_linenumber")) % 4294967296)[n]) for n in ("tag", "level", "size")}},
@@ -399,7 +404,14 @@ def html_nav_items(spark, sf_dir):
     return relational.ordered_text(rows, ["page_id"], ["para_path"], "text", "\n", "items")
 
 
-@query("html_paragraphs")
+_PARAGRAPHS = f"""
+with parts as (select page_id, list_concat(list_transform(regexp_extract_all(html, '<li><a[^>]*>(.*?)</a></li>', 1), lambda x: '- ' || {_plain("x")}),
+    [{_plain("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}, {_plain("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}, {_plain("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")}]) as p from pages),
+kept as (select page_id, list_filter(p, lambda x: trim(replace(x, chr(10), ' ')) <> '') as p from parts)
+"""
+
+
+@query("html_paragraphs", _PARAGRAPHS + "select page_id, cast(i - 1 as int) as para_idx, p[i] as text from kept, lateral (select unnest(range(1, len(p) + 1)) as i)")
 def html_paragraphs(spark, sf_dir):
     return frames.document_table(_pages(spark, sf_dir), "paragraph", "html").select("page_id", F.element_at("para_path", 1).alias("para_idx"), "text")
 
@@ -409,18 +421,18 @@ def html_to_markdown(spark, sf_dir):
     return frames.render_as(_pages(spark, sf_dir), "markdown", "html").select("page_id", "markdown")
 
 
-@query("html_to_text")
+@query("html_to_text", _PARAGRAPHS + "select page_id, array_to_string(p, chr(10)) as text from kept")
 def html_to_text(spark, sf_dir):
     return frames.render_as(_pages(spark, sf_dir), "text", "html").select("page_id", "text")
 
 
-@query("html_to_hwpx_text")
+@query("html_to_hwpx_text", _PARAGRAPHS + "select page_id, array_to_string(p, chr(10)) as text from kept")
 def html_to_hwpx_text(spark, sf_dir):
     packed = frames.render_as(_pages(spark, sf_dir), "package", "html").select("page_id", c("package").alias("content"))
     return frames.render_as(packed, "text").select("page_id", "text")
 
 
-@query("html_to_preview")
+@query("html_to_preview", _PARAGRAPHS + "select page_id, substr(array_to_string(p, chr(13) || chr(10)), 1, 2000) as preview from kept")
 def html_to_preview(spark, sf_dir):
     return frames.render_as(_pages(spark, sf_dir), "preview", "html").select("page_id", "preview")
 

@@ -234,7 +234,9 @@ def read_tables(data: bytes) -> Tables:
     for r in records(data):
         c, kind = Cursor(r.data), NAMES.get(r.tag)
         try:
-            if kind == "ID_MAPPINGS":
+            if kind == "DOCUMENT_PROPERTIES":
+                out.starts = tuple(c.u16() if c.left >= 2 else 1 for _ in range(7))
+            elif kind == "ID_MAPPINGS":
                 counts = [struct.unpack_from("<I", r.data, 4 * k)[0] if len(r.data) >= 4 * k + 4 else 0 for k in range(1, 8)]
                 ends = [sum(counts[: k + 1]) for k in range(7)]
             elif kind == "FACE_NAME":
