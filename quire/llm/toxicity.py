@@ -75,7 +75,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Machine:
         return Machine(none, 35.0 if len(y) and y[0] else -35.0, np.empty(0), np.empty((0, FACTORS)))
     size = np.array([len(r[1]) for r in rows])
     doc = np.repeat(np.arange(len(rows)), size)
-    keys, at = np.unique(np.concatenate([r[1] for r in rows]).astype(np.int64), return_inverse=True)
+    keys, at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
     n, p = len(y), y.sum()
     df, a = np.bincount(at), np.bincount(at, y[doc])
     b, c = df - a, p - a
@@ -110,7 +110,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Machine:
             seen_v[touched] += gv * gv
             w[touched] -= RATE * gw / np.sqrt(seen_w[touched])
             v[touched] -= 0.1 * RATE * gv / np.sqrt(seen_v[touched])
-    return Machine(keys[use], bias, w, v)
+    return Machine(keys[use].astype(np.int64), bias, w, v)
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (4, 2), rows: int = TRAIN_ROWS, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
