@@ -22,8 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_FOLDERS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
+    _FOLDERS.append(f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}")
+    return f"{_FOLDERS[-1]}/{name}"
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Deletes all that operators of this driver have put in the shared folder; no result may be read after it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _FOLDERS:
+        path = hadoop.Path(_FOLDERS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:

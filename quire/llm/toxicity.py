@@ -18,9 +18,9 @@ from .shared import crc_mod
 
 #: Most labelled rows to learn from; a bound for any corpus.
 TRAIN_ROWS = 16_384
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SCREEN, LEAST_DOCS = 8, 16, 64, 0.3, 1e-4, 10.8, 3
+FACTORS, EPOCHS, BATCH, RATE, DECAY, SCREEN, LEAST_DOCS = 8, 16, 64, 0.3, 1e-4, 15.0, 3
 #: A toxic row counts as so many: most rows are clean.
-TOXIC_WEIGHT = 3.0
+TOXIC_WEIGHT, CLEAN_WEIGHT = 3.0, 3.0
 THRESHOLD = 0.3
 
 
@@ -110,7 +110,25 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Machine:
             seen_v[touched] += gv * gv
             w[touched] -= RATE * gw / np.sqrt(seen_w[touched])
             v[touched] -= 0.1 * RATE * gv / np.sqrt(seen_v[touched])
-    return Machine(keys[use].astype(np.int64), bias, w, v)
+    machine = Machine(keys[use].astype(np.int64), bias, w, v)
+    level = float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    machine.bias += max(0.0, level - _cut(machine.margin(doc, at, n), y))
+    return machine
+
+
+def _cut(margins: np.ndarray, y: np.ndarray) -> float:
+    """The margin that parts the labels of the sample best, a clean row above it counting as ``CLEAN_WEIGHT`` toxic ones below: amid its gap.
+
+    The bias is raised until this scores ``THRESHOLD``: weights of few examples stay small, so single words score low.
+    """
+    by = np.argsort(margins, kind="stable")
+    m, toxic = margins[by], y[by] > 0
+    lost = np.append(0, np.cumsum(toxic)) + CLEAN_WEIGHT * np.append(np.cumsum(~toxic[::-1])[::-1], 0)
+    gap = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
+    open_ = np.concatenate([[True], m[1:] > m[:-1], [True]])
+    best = np.flatnonzero(open_ & (lost == lost[open_].min()))
+    wide = np.concatenate([[0.0], m[1:] - m[:-1], [0.0]])
+    return float(gap[best[np.argmax(wide[best])]])
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (4, 2), rows: int = TRAIN_ROWS, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:

@@ -216,3 +216,15 @@ def test_near_duplicates(spark, docs, empty):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_intermediate_tables_can_be_removed(spark, tmp_path):
+    from quire.llm import shared
+
+    table = shared.written(spark.range(3), "x")
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert table.count() == 3
+    shared.remove_intermediate(spark)
+    import os
+
+    assert not os.path.exists(path)
