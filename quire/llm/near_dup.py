@@ -239,18 +239,38 @@ def _tile_pairs(batches, similar: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(_nid, _c): for each end of an edge (_a, _b) the least node it reaches. Rounds of least neighbour and pointer jumping."""
-    both = written(edges.select("_a", "_b").unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))), "edges")
-    now = written(both.groupBy("_a").agg(F.min("_b").alias("_m")).select(F.col("_a").alias("_nid"), F.least("_a", "_m").alias("_c")), "labels")
-    while True:
-        near = both.join(now, both["_b"] == now["_nid"]).groupBy("_a").agg(F.min("_c").alias("_m"))
-        step = now.join(near, F.col("_nid") == F.col("_a")).select("_nid", F.col("_c").alias("_was"), F.least("_c", "_m").alias("_c"))
-        to = now.select(F.col("_nid").alias("_t"), F.col("_c").alias("_tc"))
-        step = step.join(to, F.col("_c") == F.col("_t")).select("_nid", "_was", F.least("_c", "_tc").alias("_c"))
-        step = written(step, "labels")
-        now = step.select("_nid", "_c")
-        if step.where("_was <> _c").isEmpty():
-            return now
+    """(_nid, _c): for each end of an edge (_a, _b) the least node it reaches.
+
+    Rounds of contraction: each node goes to its least neighbour's least neighbour, edges are drawn between what is
+    left, and equal ones fall together. So a round has a fraction of the edges of the one before.
+    """
+    edges = written(edges.where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "edges")
+    labels = edges.select(F.col("_a").alias("_nid"), F.col("_b").alias("_c"))
+    first = True
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
+        step = both.groupBy("_a").agg(F.min("_b").alias("_m")).select(F.col("_a").alias("_n"), F.least("_a", "_m").alias("_to"))
+        step = step.join(step.select(F.col("_n").alias("_to"), F.col("_to").alias("_far")), "_to").select("_n", F.col("_far").alias("_to"))
+        step = written(step, "step")
+        if first:
+            labels, first = step.withColumnsRenamed({"_n": "_nid", "_to": "_c"}), False
+        else:
+            labels = written(labels.join(step, F.col("_c") == F.col("_n"), "left").select("_nid", F.coalesce("_to", "_c").alias("_c")), "labels")
+        near, far = step.withColumnsRenamed({"_n": "_a", "_to": "_x"}), step.withColumnsRenamed({"_n": "_b", "_to": "_y"})
+        edges = edges.join(near, "_a").join(far, "_b").where("_x <> _y").select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
+        edges = written(edges, "edges")
+    return labels
+
+
+def _merged(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """comps with the components that further links join: only links between two of them count."""
+    end = lambda n, out: comps.withColumnsRenamed({"_nid": n, "_c": out})
+    between = more.join(end("_a", "_x"), "_a", "left").join(end("_b", "_y"), "_b", "left").select(F.coalesce("_x", "_a").alias("_a"), F.coalesce("_y", "_b").alias("_b"))
+    joined = components(between).withColumnsRenamed({"_nid": "_old", "_c": "_new"})
+    known = comps.join(joined, F.col("_c") == F.col("_old"), "left").select("_nid", F.coalesce("_new", "_c").alias("_c"))
+    # ends that were in no link before are components of their own
+    single = joined.join(comps.select("_nid"), F.col("_old") == F.col("_nid"), "left_anti").select(F.col("_old").alias("_nid"), F.col("_new").alias("_c"))
+    return written(known.unionByName(single), "labels")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -309,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if not rest.isEmpty():
         more = _verify(rest, nodes, docs, id_col, text, similar)
         if not more.isEmpty():
-            comps = components(links.unionByName(more))
+            comps = _merged(comps, more)
     named = nodes.select("_nid", "_node", "_id", "_rows").join(comps, "_nid", "left").withColumn("_c", F.coalesce("_c", "_nid"))
     classes = named.groupBy("_c").agg(F.min("_id").alias("class_id"), F.sum("_rows").alias("class_size"))
     return named.join(classes, "_c").select("_node", "_id", "_rows", "class_id", "class_size", "_c")
