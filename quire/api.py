@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,17 +57,35 @@ def inspect(raw: bytes) -> dict:
     return {"metadata": p.metadata(), "summary": {"hasEncryptionInfo": p.encrypted, "contentsFiles": p.contents(), "manifest": manifest, "spine": p.spine}, "images": p.images()}
 
 
+def _shown(value) -> str:
+    """A JSON value as a template shows it."""
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        return str(int(value))
+    if isinstance(value, list):
+        return ",".join(map(_shown, value))
+    return "[object Object]" if isinstance(value, dict) else str(value)
+
+
+def _member(value, key: str):
+    if isinstance(value, dict):
+        return value.get(key)
+    if isinstance(value, (list, str)) and key.isdigit():
+        return value[int(key)] if int(key) < len(value) else None
+    return len(value) if isinstance(value, (list, str)) and value and key == "length" else None
+
+
 def fill(text: str, data: dict) -> str:
-    """{{ a.b }} by data["a"]["b"], or nothing."""
-    import re
+    """{{ a.b }} by data["a"]["b"], or nothing; what is put in is not searched."""
 
     def value(m) -> str:
         at = data
         for k in m[1].split("."):
-            at = at.get(k) if isinstance(at, dict) and at else None
-        if at is None:
-            return ""
-        return str(at).lower() if isinstance(at, bool) else str(at) if isinstance(at, (str, int, float)) else json.dumps(at)
+            at = _member(at, k) if at else None
+        return _shown(at)
 
     return re.sub(r"\{\{\s*([A-Za-z0-9_.]+)\s*\}\}", value, text)
 

@@ -150,6 +150,7 @@ def test_pictures_resolve_by_manifest():
 def test_templates():
     data = {"a": {"b": 1, "t": True}, "n": None, "z": 0}
     assert api.fill("{{ a.b }}{{a.t}}[{{n}}{{ q.r }}{{z}}{{z.k}}] {{ x y }}", data) == "1true[0] {{ x y }}"
+    assert api.fill("{{l}}|{{l.1}}|{{o}}|{{f}}|{{l.length}}", {"l": [1, "b", None], "o": {"x": 1}, "f": 2.0}) == "1,b,|b|[object Object]|2|3"
 
 
 def test_styles_of_runs():
