@@ -189,31 +189,27 @@ def _verified(similar: float):
     return run
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first band in which rows of short signatures agree."""
-    same = (a[..., :REGISTERS] == b[..., :REGISTERS]).reshape(*np.broadcast_shapes(a.shape, b.shape)[:-1], -1, BAND).all(-1)
-    return same.argmax(-1)
-
-
 def _tiles(similar: float):
     return lambda batches: _tile_pairs(batches, similar)
 
 
 def _tile_pairs(batches, similar: float):
-    """Rows (_bucket, _i, _j, _block, _nid, _c, _band, _short), a tile's rows together: pairs of the two blocks in
-    different components that may be similar, each in the first band that they share only."""
+    """Rows (_bucket, _i, _j, _block, _nid, _c, _short, _bands), a tile's rows together: pairs of the two blocks in
+    different components that may be similar, each in the first bucket that they share only."""
     held, key = None, None
 
     def pairs(tile: pa.RecordBatch):
-        block, nid, c, band = (tile.column(k).to_numpy() for k in (3, 4, 5, 6))
-        short = _shorts(tile.column(7))
+        block, nid, c = (tile.column(k).to_numpy() for k in ("_block", "_nid", "_c"))
+        short = _shorts(tile.column("_short"))
+        bands = tile.column("_bands").flatten().to_numpy().reshape(len(nid), -1)
+        bucket = tile.column("_bucket")[0].as_py()
         i, j = tile.column(1)[0].as_py(), tile.column(2)[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         for a in left:
             other = right[(c[right] != c[a]) & ((nid[right] > nid[a]) if i == j else True)]
             other = other[(short[other, :REGISTERS] == short[a, :REGISTERS]).mean(1) >= RULED_OUT] if len(other) else other
             other = other[possible(short[other], short[a], similar)] if len(other) else other
-            other = other[_first_shared(short[other], short[a]) == band[a]] if len(other) else other
+            other = other[bands[a, (bands[other] == bands[a]).argmax(1)] == bucket] if len(other) else other
             for b in nid[other].tolist():
                 yield min(int(nid[a]), b), max(int(nid[a]), b)
 
@@ -273,10 +269,14 @@ def _merged(comps: DataFrame, more: DataFrame) -> DataFrame:
     return written(known.unionByName(single), "labels")
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
+def _buckets():
+    """The bucket of each band of a signature."""
     width = BAND * 4
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("_sig"), k * width + 1, F.lit(width))))
-    return nodes.where("_n > 0").select("_nid", F.posexplode(bands).alias("_band", "_bucket"))
+    return F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("_sig"), k * width + 1, F.lit(width))))
+
+
+def _bands(nodes: DataFrame) -> DataFrame:
+    return nodes.where("_n > 0").select("_nid", F.explode(_buckets()).alias("_bucket"))
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, similar: float) -> DataFrame:
@@ -320,10 +320,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     member = bands.join(heads.where("_size > 2").select("_bucket", "_size"), "_bucket")
     member = member.join(comps, "_nid", "left").withColumn("_c", F.coalesce("_c", "_nid"))
     split = member.groupBy("_bucket").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("_bucket")
-    member = member.join(split, "_bucket").join(short, "_nid")
+    member = member.join(split, "_bucket").join(nodes.select("_nid", "_short", _buckets().alias("_bands")), "_nid")
     blocks = F.ceil(F.col("_size") / TILE)
     member = member.withColumn("_block", F.pmod(F.xxhash64("_nid"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    member = member.select("_bucket", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_nid", "_c", "_band", "_short")
+    member = member.select("_bucket", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_nid", "_c", "_short", "_bands")
     rest = member.repartition("_bucket", "_i", "_j").sortWithinPartitions("_bucket", "_i", "_j").mapInArrow(_tiles(similar), "_a bigint, _b bigint").distinct()
     rest = written(rest.join(tested, ["_a", "_b"], "left_anti"), "rest")
     if not rest.isEmpty():

@@ -214,6 +214,36 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dup.classify(empty).count() == 0 and near_dup.keep_one(empty).count() == 0
 
 
+def _signed(monkeypatch, texts, sig):
+    """(signatures, short signatures) that the operator makes of texts whose registers are sig."""
+    monkeypatch.setattr(near_dup, "signatures", lambda sh, first: sig)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a", b"b"]), pa.array([0, 1]), pa.array(texts)], names=["_node", "_id", "_text"])
+    (out,) = near_dup._sign([batch])
+    return out.column("_sig"), out.column("_short")
+
+
+def _tiled(sig, short):
+    """Pairs from the tiles of all buckets that two nodes in different components share."""
+    width = 4 * near_dup.BAND
+    bands = [[int.from_bytes(hashlib.md5(bytes([k]) + x.as_py()[k * width : (k + 1) * width]).digest()[:7]) for k in range(near_dup.REGISTERS // near_dup.BAND)] for x in sig]
+    shared = [(k, a) for k, (a, b) in enumerate(zip(*bands, strict=True)) if a == b]
+    one = lambda x, y: pa.array([x, y], pa.int64())
+    names = ["_bucket", "_i", "_j", "_block", "_nid", "_c", "_band", "_short", "_bands"]
+    tiles = [pa.RecordBatch.from_arrays([one(a, a), one(0, 0), one(0, 0), one(0, 0), one(0, 1), one(0, 1), one(k, k), short, pa.array(bands, pa.list_(pa.int64()))], names=names) for k, a in shared]
+    return [tuple(r.values()) for t in near_dup._tile_pairs(tiles, 0.8) for r in t.to_pylist()], len(shared)
+
+
+_LONG = [f"w{k}" for k in range(200)]
+
+
+def test_tiles_keep_pairs_that_agree_falsely_in_an_earlier_band(monkeypatch):
+    # registers of the first band agree in their last 8 bits only, so it makes two buckets
+    sig = np.tile(np.random.default_rng(0).integers(0, 2**32, near_dup.REGISTERS, np.uint32), (2, 1))
+    sig[1, : near_dup.BAND] ^= np.uint32(256)
+    pairs, shared = _tiled(*_signed(monkeypatch, [" ".join(_LONG), " ".join([*_LONG[:-1], "x"])], sig))
+    assert shared == 31 and pairs == [(0, 1)]
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
