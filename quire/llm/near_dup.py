@@ -9,10 +9,9 @@ similarity. Points are drawn in time order only up to the time by which all regi
 Texts that share a band of registers are candidates. Exact copies are one node. In a bucket every node is compared with
 three of it; components are formed; then only nodes of one bucket that are still in different components are
 compared, in tiles of bounded size. So large groups never make all their pairs, and no pair in a shared bucket that
-could join two components goes untested: a pair is ruled out by an estimate from signatures over four deviations
-below the threshold, or by an upper bound of its overlap: of 2,048 bins of shingles, those of different parity are
-counted. All others are verified on their shingle multisets. A pair at the threshold misses all 32 bands with a
-chance of 5e-8.
+could join two components goes untested: a pair is ruled out only by an upper bound of its overlap, which is exact: of
+2,048 bins of shingles, those of different parity are counted. All others are verified on their shingle multisets. A
+pair at the threshold misses all 32 bands with a chance of 5e-8, and nothing else loses it.
 """
 
 from __future__ import annotations
@@ -27,8 +26,6 @@ from .shared import written
 
 SHINGLE, SIMILAR = 5, 0.8
 REGISTERS, BAND = 128, 4
-#: Signature agreement under which a pair is ruled out: 0.8 less four standard deviations of 128 registers.
-RULED_OUT = 0.66
 #: Nodes on one side of a tile, and bins of the parities that bound an overlap from above.
 TILE, BINS = 4096, 2048
 #: Text bytes and texts that are hashed at a time.
@@ -114,15 +111,14 @@ def parities(sh: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def possible(short_a: np.ndarray, short_b: np.ndarray, similar: float) -> np.ndarray:
-    """Whether rows of short signatures and parities beside each other may be similar; one side may be a single row.
+    """Whether rows of parities beside each other may be similar; one side may be a single row.
 
     Two texts differ in at least as many shingles as they have bins of different parity, so this bounds what they share.
     """
-    alike = (short_a[..., :REGISTERS] == short_b[..., :REGISTERS]).mean(-1) >= RULED_OUT
-    a, b = (np.ascontiguousarray(x[..., REGISTERS:]).view("<u8") for x in (short_a, short_b))
+    a, b = (np.ascontiguousarray(x).view("<u8") for x in (short_a, short_b))
     both = (a[..., -1] + b[..., -1]).astype(np.int64)
     common = (both - np.bitwise_count(a[..., :-1] ^ b[..., :-1]).sum(-1, dtype=np.int64)) / 2
-    return alike & (common >= similar * (both - common) - 1e-9)
+    return common >= similar * (both - common) - 1e-9
 
 
 def multiset(sh: np.ndarray) -> np.ndarray:
@@ -151,7 +147,7 @@ def _sign(batches):
             sh, first = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             sig = signatures(sh, first)
             raw = pa.array([s.tobytes() for s in sig], pa.binary())
-            short = pa.array([s.tobytes() for s in np.concatenate([sig.astype(np.uint8), parities(sh, first)], 1)], pa.binary())
+            short = pa.array([s.tobytes() for s in parities(sh, first)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first), pa.int64()), raw, short], names=["_node", "_id", "_n", "_sig", "_short"])
 
 
@@ -165,11 +161,11 @@ def _shingled(batches):
 
 
 def _shorts(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS + BINS // 8 + 8)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS // 8 + 8)
 
 
 def _alike(similar: float):
-    """Pairs that may be similar by their short signatures."""
+    """Pairs that may be similar by their parities."""
 
     def run(batches):
         for batch in batches:
@@ -207,9 +203,8 @@ def _tile_pairs(batches, similar: float):
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         for a in left:
             other = right[(c[right] != c[a]) & ((nid[right] > nid[a]) if i == j else True)]
-            other = other[(short[other, :REGISTERS] == short[a, :REGISTERS]).mean(1) >= RULED_OUT] if len(other) else other
-            other = other[possible(short[other], short[a], similar)] if len(other) else other
             other = other[bands[a, (bands[other] == bands[a]).argmax(1)] == bucket] if len(other) else other
+            other = other[possible(short[other], short[a], similar)] if len(other) else other
             for b in nid[other].tolist():
                 yield min(int(nid[a]), b), max(int(nid[a]), b)
 

@@ -244,6 +244,18 @@ def test_tiles_keep_pairs_that_agree_falsely_in_an_earlier_band(monkeypatch):
     assert shared == 31 and pairs == [(0, 1)]
 
 
+def test_no_estimate_rules_out_similar_texts(monkeypatch):
+    # similarity 0.97, but registers that agree in one band only
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 2**32, (2, near_dup.REGISTERS), np.uint32)
+    sig[1, 20:24] = sig[0, 20:24]
+    texts = [" ".join(_LONG), " ".join([*_LONG[:-1], "x"])]
+    sig, short = _signed(monkeypatch, texts, sig)
+    assert _tiled(sig, short) == ([(0, 1)], 1)
+    star = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([1]), short.slice(0, 1), short.slice(1, 1)], names=["_a", "_b", "_x", "_y"])
+    assert sum(b.num_rows for b in near_dup._alike(0.8)([star])) == 1
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
