@@ -39,11 +39,16 @@ def runs_from_changes(texts: DataFrame, changes: DataFrame, key: str, text: str
     return out.select(key, "run_idx", shape, F.expr(f"substring(_text, cast({at} as int) + 1, cast(greatest(coalesce(_to, length(_text)), {at}) - {at} as int))").alias(text), end.alias("char_end"))
 
 
-def parent_rows(df: DataFrame, keys: list[str], seq: str = "seq", level: str = "level", levels: int = 16) -> DataFrame:
-    """df with parent_seq: the nearest row before it of the level above; null at the top. Levels from 0, under ``levels``."""
-    w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.array(*[F.last(F.when(F.col(level) == k, F.col(seq)), ignorenulls=True).over(w) for k in range(levels)])
-    return df.withColumn("parent_seq", F.when(F.col(level) > 0, F.get(last, F.col(level).cast("int") - 1)))
+def parent_rows(df: DataFrame, keys: list[str], seq: str = "seq", level: str = "level") -> DataFrame:
+    """df with parent_seq: the nearest row before it of the level above; null at the top. Levels from 0, without a bound."""
+    # a row stands in the group of its level, and as a child, with all its columns, in that of the level above
+    roles = F.array(*[F.struct(F.lit(k).alias("child"), (F.col(level).cast("long") - int(k)).alias("of")) for k in (False, True)])
+    child = F.col("_role.child")
+    both = df.withColumn("_role", F.explode(roles)).select("_role", *[c if c in (*keys, seq) else F.when(child, F.col(c)).alias(c) for c in df.columns])
+    # of equal seq the child stands first: its parent comes before it
+    w = Window.partitionBy(*keys, "_role.of").orderBy(F.col(seq), child.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    above = F.last(F.when(~child, F.col(seq)), ignorenulls=True).over(w)
+    return both.withColumn("parent_seq", F.when(F.col(level) > 0, above)).where(child).select(*df.columns, "parent_seq")
 
 
 def after_first(df: DataFrame, keys: list[str], seq: str, is_mark: Column, is_head: Column) -> DataFrame:

@@ -37,6 +37,15 @@ def test_parents_and_captions(spark):
     assert rows(R.after_first(marks, ["d"], "seq", F.col("kind") == "t", F.col("kind") == "h")) == [(1, 2, "h")]
 
 
+def test_parents_have_no_deepest_level(spark):
+    levels = [*range(21), 20, 5, 1023, None, 1, 2]
+    df = spark.createDataFrame([(1, k, level, "x") for k, level in enumerate(levels)] + [(2, 0, 20, "y")], "d int, seq int, level int, data string")
+    got = R.parent_rows(df, ["d"])
+    assert got.columns == [*df.columns, "parent_seq"] and got.where("data is null").isEmpty()
+    want = [None, *range(20), 19, 4, None, None, 0, 25, None]
+    assert [r["parent_seq"] for r in got.orderBy("d", "seq").collect()] == want
+
+
 def test_groups_and_grids(spark):
     fonts = spark.createDataFrame([(1, k) for k in range(6)] + [(2, 0)], "d int, n int")
     counts = spark.createDataFrame([(1, 0, 2), (1, 1, 0), (1, 2, 1)], "d int, g int, c int")
