@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed words.
 
 A document's features are the hashed words it holds (24 bits, presence). Its score is the logistic of
-w0 + sum w_i + sum over pairs <v_i, v_j>: the factors v learn what words mean together. Words whose presence tells
-nothing of the label in the sample (chi-square under ``SCREEN``) have no parameters.
+w0 + sum w_i + sum over pairs <v_i, v_j>: the factors v learn what words mean together. Words have parameters
+if their presence tells of the label in the sample (chi-square of ``SCREEN``), or if it does beside such a word
+(likelihood ratio of ``BESIDE`` in the rows that hold that word).
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .shared import crc_mod
 #: Most labelled rows to learn from; a bound for any corpus.
 TRAIN_ROWS = 16_384
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SCREEN, LEAST_DOCS = 8, 16, 64, 0.3, 1e-4, 15.0, 3
+#: Stricter than SCREEN, as all words are tested beside each strong one; likelihood ratios hold for small counts.
+BESIDE = 30.0
 #: A toxic row counts as so many: most rows are clean.
 TOXIC_WEIGHT, CLEAN_WEIGHT = 3.0, 3.0
 THRESHOLD = 0.3
@@ -67,6 +70,37 @@ class Machine:
         return labelled.over_blocks(texts, one)
 
 
+def _beside(doc: np.ndarray, at: np.ndarray, y: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """Whether each feature tells of the label in the rows that hold some strong one. doc ascends."""
+    rest = np.flatnonzero(~strong & (np.bincount(at, minlength=len(strong)) >= LEAST_DOCS))
+    index = np.full(len(strong), -1)
+    index[rest] = np.arange(len(rest))
+    own = index[at]
+    kept = np.flatnonzero(own >= 0)
+    first, own = np.searchsorted(doc[kept], np.arange(len(y) + 1)), own[kept]
+    holds = np.flatnonzero(strong[at])
+    holds = holds[np.argsort(at[holds], kind="stable")]
+    cut = np.append(np.flatnonzero(np.append(True, at[holds][1:] != at[holds][:-1])), len(holds)) if len(holds) else []
+    out = np.zeros(len(rest), bool)
+    for i, j in zip(cut, cut[1:], strict=False):
+        with_s = doc[holds[i:j]]
+        n, p = j - i, y[with_s].sum()
+        if not 0 < p < n:
+            continue
+        each = [own[first[d] : first[d + 1]] for d in with_s]
+        df = np.bincount(np.concatenate(each), minlength=len(rest))
+        a = np.bincount(np.concatenate([e for e, d in zip(each, with_s, strict=True) if y[d]]), minlength=len(rest))
+        f = np.flatnonzero((df >= LEAST_DOCS) & ~out)
+        df, a = df[f], a[f]
+        ratio = np.zeros(len(f))
+        for seen, of, share in ((a, df, p), (df - a, df, n - p), (p - a, n - df, p), (n - df - p + a, n - df, n - p)):
+            ratio += 2 * seen * np.log(np.maximum(seen, 1e-9) * n / np.maximum(of * share, 1e-9))
+        out[f[ratio >= BESIDE]] = True
+    found = np.zeros(len(strong), bool)
+    found[rest[out]] = True
+    return found
+
+
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Machine:
     """Minibatch AdaGrad on the logistic loss. Without rows of both labels the score is the labels' mean (0 without rows)."""
     y = np.array([r[0] > 0 for r in rows], float)
@@ -82,6 +116,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Machine:
     d = n - p - b
     chi = n * (a * d - b * c) ** 2 / np.maximum(df * (n - df) * p * (n - p), 1e-9)
     use = (df >= LEAST_DOCS) & (chi >= SCREEN)
+    use |= _beside(doc, at, y, use)
     index = np.cumsum(use) - 1
     doc, at = doc[use[at]], index[at[use[at]]]
     first = np.searchsorted(doc, np.arange(n + 1))

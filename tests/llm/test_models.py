@@ -62,6 +62,24 @@ def test_pairs_of_words_are_learned():
     assert v["vile"] @ v["blues"] > v["vile"] @ v["nasty"]
 
 
+def test_pairs_with_a_word_that_tells_nothing_alone_are_learned():
+    # a group's name is as common in clean texts, there without an insult
+    rng = np.random.default_rng(0)
+    insults, groups = ["vile", "nasty", "awful"], ["reds", "blues", "greens"]
+    rows, texts = [], []
+    for _ in range(4000):
+        a, b = (rng.random(2) < (0.4, 0.3)).tolist()
+        named = [groups[rng.integers(3)]] * b if a else [g for g in groups if rng.random() < 0.489]
+        texts.append(" ".join([f"f{x}" for x in rng.integers(0, 30, 5)] + [insults[rng.integers(3)]] * a + named))
+        rows.append(int(a and b))
+    has, y = np.array(["reds" in t for t in texts]), np.array(rows, bool)
+    assert len(y) * np.corrcoef(has, y)[0, 1] ** 2 < 4  # its chi-square
+    ids, counts, first = toxicity.featurise(pa.array(texts))
+    model = toxicity.fit([(t, ids[a:b], counts[a:b]) for t, a, b in zip(rows, first, first[1:], strict=False)])
+    score = model(pa.array(["f1 vile reds", "f3 awful blues", "f2 vile", "f4 nasty", "reds f3", "f1 f2"]))
+    assert score[:2].min() > 0.9 and score[2:].max() < 0.3
+
+
 def test_scores_of_odd_rows(spark, docs, empty, corpus):
     _, _, labels = corpus
     for module, made in ((toxicity, toxicity.toxicity), (quality, quality.quality)):
