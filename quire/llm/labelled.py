@@ -26,6 +26,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, featurise: Featurise,
     own = own.groupBy("_id").agg(F.max("_label").alias("_label"))
     if fold:
         own = own.where(crc_mod("_id", fold[0]) != fold[1])
+    # labels of other documents do not use up the bound
+    own = own.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
     # at most ``rows`` rows: small enough for every executor
     own = own.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     joined = docs.select(F.col(id_col).alias("_did"), F.col(text).alias("_text")).join(F.broadcast(own), F.col("_did") == F.col("_id")).select("_id", "_label", "_text")

@@ -99,6 +99,13 @@ def test_sample_is_bounded_and_keeps_the_fold_out(corpus):
     assert len(got) == 50
 
 
+def test_labels_of_other_documents_do_not_use_up_the_sample(spark, corpus):
+    _, docs, labels = corpus
+    others = spark.range(10**6, 10**6 + 20000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    got, want = (labelled.sample(docs, x, "toxic", toxicity.featurise, (4, 2), 50) for x in (labels.union(others), labels.where("doc_id < 5000")))
+    assert len(got) == 50 and [r[0] for r in got] == [r[0] for r in want]
+
+
 def _vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, score string")
 
