@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import crc_mod
+from .shared import arrow_rows, crc_mod, keep_rows
 
 #: texts -> (ids, counts, first): hashed features of each text with first as offsets, ids distinct in each text.
 Featurise = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -46,24 +46,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, featurise: Featurise,
 
 
 def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, score): one row per document."""
-    kind = docs.select(id_col).schema.simpleString()[7:-1]
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)), pa.float64())], names=[batch.schema.names[0], "score"])
-
-    return docs.select(id_col, F.col(text).alias("_text")).mapInArrow(run, f"{kind},score double")
+    """(id_col, score): one row per document; an id column named score is score_in."""
+    return arrow_rows(docs, lambda texts: [pa.array(score(texts), pa.float64())], "score double", id_col, text)
 
 
 def kept(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
     """docs, all columns, where keep is true."""
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(text))), pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, keep, text)
 
 
 def over_blocks(texts: pa.Array, one: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:

@@ -1,22 +1,31 @@
-"""Where intermediate tables go, and how lineage is cut.
+"""Where intermediate tables and files go, how lineage is cut, and how rows meet functions of whole batches.
 
-Every table written here lives under ``spark.checkpoint.dir``, the folder the cluster shares, so a lost
-executor never takes an intermediate result with it. A folder of our own is set only if the session has none.
+All that is written here lives under ``spark.checkpoint.dir``, the folder the cluster shares, so a lost executor
+never takes an intermediate result with it. Where a session has none, a folder of our own is set for local masters only.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from urllib.parse import unquote, urlparse
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session: ``spark.checkpoint.dir``, or a new one where that is unset."""
+    """The shared folder of this session: ``spark.checkpoint.dir``; a new one where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,14 +47,165 @@ def remove_intermediate(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int | None):
+    """While it holds, jobs hand at most so many rows at a time to Python; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Rows of whole texts that tables written here hand to Python at a time.
+TEXT_ROWS = 1024
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """The rows of df as a table written to the shared folder, read back: the plan above it starts anew."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with batches_of(spark, TEXT_ROWS):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(id_col: str, n: int):
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
+
+
+# arrays in files
+
+
+def _local(uri: str) -> str | None:
+    """The path of a mounted file or folder, None for one of another store."""
+    parts = urlparse(uri)
+    return unquote(parts.path) if parts.scheme in ("", "file") else None
+
+
+def _store(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def save_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Each array as the file ``name.key`` of a folder in the shared store. Whole files only: one that is there is replaced."""
+    if (local := _local(folder)) is None:
+        store, path = _store(folder)
+        store.create_dir(path)
+        for key, x in arrays.items():
+            with store.open_output_stream(part := f"{path}/{name}.{key}.{uuid.uuid4().hex}") as f:
+                f.write(x.tobytes())
+            store.move(part, f"{path}/{name}.{key}")
+        return
+    os.makedirs(local, exist_ok=True)
+    for key, x in arrays.items():
+        path = f"{local}/{name}.{key}"
+        with open(part := f"{path}.{uuid.uuid4().hex}", "wb") as f:
+            f.write(x.tobytes())
+        os.replace(part, path)
+
+
+class Stored:
+    """Arrays of a folder in the shared store, memory-mapped by workers.
+
+    Files of a mounted folder are mapped in place. Those of another store are fetched once to the executor's scratch
+    folder, checked by size, and fetched again where they are gone.
+    """
+
+    _maps: dict[str, np.ndarray] = {}
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def array(self, name: str, kind, width: int = 0) -> np.ndarray:
+        key = f"{self.folder}/{name}"
+        if key not in self._maps:
+            path = self._path(key)
+            size = os.path.getsize(path)  # a file that is gone is an error, not an empty array
+            self._maps[key] = np.memmap(path, kind, "r") if size else np.empty(0, kind)
+        out = self._maps[key]
+        return out.reshape(-1, width) if width else out
+
+    @staticmethod
+    def _path(uri: str) -> str:
+        if (local := _local(uri)) is not None:
+            return local
+        store, path = _store(uri)
+        size = store.get_file_info(path).size
+        scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or tempfile.gettempdir()
+        own = f"{scratch}/quire-cache/{path.strip('/').replace('/', '~')}"
+        if not os.path.exists(own) or os.path.getsize(own) != size:
+            os.makedirs(os.path.dirname(own), exist_ok=True)
+            with store.open_input_stream(path) as source, open(part := f"{own}.{uuid.uuid4().hex}", "wb") as f:
+                while block := source.read(8 << 20):
+                    f.write(block)
+            os.replace(part, own)
+        return own
+
+
+# rows and batches
+
+
+def release() -> None:
+    """Gives freed memory back: workers live on after their task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if not _LIBC:
+        with contextlib.suppress(OSError):
+            _LIBC.append(ctypes.CDLL("libc.so.6"))
+    with contextlib.suppress(AttributeError, IndexError):
+        _LIBC[0].malloc_trim(0)
+
+
+_LIBC: list = []
+
+
+def released(run: Callable) -> Callable:
+    """A mapper of batches that ends by giving memory back."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+def free_name(name: str, taken) -> str:
+    """name, with "_in" behind it as often as it takes to be none of the taken ones."""
+    while name in taken:
+        name += "_in"
+    return name
+
+
+def arrow_rows(docs: DataFrame, made: Callable[[pa.Array], list[pa.Array]], schema: str, id_col: str, text: str) -> DataFrame:
+    """(id_col, the columns of schema): what made gives for a batch of texts, one row for each. Other columns are not read."""
+    from pyspark.sql.types import StructField, StructType
+
+    own = StructType.fromDDL(schema)
+    name = free_name(id_col, own.names)
+    out = StructType([StructField(name, docs.schema[id_col].dataType), *own])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made(batch.column(1))], names=out.names)
+
+    return docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(released(run), out)
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text: str) -> DataFrame:
+    """docs, all columns, where keep is true of the text. Only the texts go to Python, and only a mark comes back."""
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        try:
+            return pa.array(keep(texts), pa.bool_())
+        finally:
+            release()
+
+    return docs.where(kept(F.col(text)))

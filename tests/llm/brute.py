@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 WINDOW = 10
 
 
-def contamination(texts: list[str | None], items: list[tuple[str, str | None]]) -> list[tuple[int, int, int, str]]:
+def contamination(texts: list[str | None], items: list[tuple[str | None, str | None]]) -> list[tuple[int, int, int, str]]:
     """(n_words, n_hit, n_items, items_sha256) of each text, window by window."""
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     split = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -26,7 +26,25 @@ def contamination(texts: list[str | None], items: list[tuple[str, str | None]])
                 if a + z <= len(w) and (own := windows.get(tuple(w[a : a + z]))):
                     hit.update(range(a, a + z))
                     ids |= own
-        out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()))
+        out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(i for i in ids if i is not None)).encode()).hexdigest()))
+    return out
+
+
+def longest_matches(text, items):
+    """{(id, first word, words)}: matches of whole windows that can be made longer on neither side, by trying all places."""
+    own, out = words(text), set()
+    for i, t in items:
+        w = words(t)
+        z = min(len(w), WINDOW)
+        at = {(a, b) for a in range(len(own) - z + 1) for b in range(len(w) - z + 1) if z and own[a : a + z] == w[b : b + z]}
+        spans = set()
+        for a, b in at:
+            if (a - 1, b - 1) not in at:
+                n = 0
+                while (a + n, b + n) in at:
+                    n += 1
+                spans.add((a, n))
+        out |= {(i, a, n + z - 1) for a, n in spans if not any(x <= a and a + n <= x + m and (x, m) != (a, n) for x, m in spans)}
     return out
 
 

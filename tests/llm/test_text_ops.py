@@ -48,7 +48,7 @@ def test_decontamination(spark, docs, empty):
     found = decontaminate.find_contamination(docs, bench)
     n, sha = decontaminate.items_digest()
     got = sorted(map(str, found.select("doc_id", "n_words", "n_hit", n, sha).collect()))
-    items = [(i, t) for i, t in BENCH if i and t]
+    items = [(i, t) for i, t in BENCH if t]
     want = [(t[0], *x) for t, x in zip(TEXTS, brute.contamination([t[1] for t in TEXTS], items), strict=True)]
     names = found.select("doc_id", "n_words", "n_hit", n.alias("n"), sha.alias("sha"))
     assert sorted(map(str, (tuple(r) for r in names.collect()))) == sorted(map(str, want)) and got
@@ -59,12 +59,42 @@ def test_decontamination(spark, docs, empty):
 
 
 def test_longest_matches_have_places():
-    items = decontaminate.Items(["a"], [" ".join(f"w{k}" for k in range(15))])
+    items = decontaminate.Items.of(["a"], [" ".join(f"w{k}" for k in range(15))])
     text = "x y " + " ".join(f"w{k}" for k in range(2, 14)) + " z"
-    (_, hit, found), = decontaminate.hits(pa.array([text]), items)
+    (_, hit, found), = decontaminate.hits(pa.array([text]), [items])
     assert hit.tolist() == [12] and found == [[("a", 2, 12)]]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("aab"), max_size=60), st.lists(st.lists(st.sampled_from("aab"), max_size=40), max_size=3))
+def test_longest_matches_of_repetitive_texts(text, items):
+    bench = [(f"i{k}" if k else None, " ".join(t)) for k, t in enumerate(items)]
+    got = list(decontaminate.hits(pa.array([" ".join(text)]), [decontaminate.Items.of([i], [t]) for i, t in bench]))
+    assert set(got[0][2][0]) == brute.longest_matches(" ".join(text), bench)
+    assert got[0][1][0] == brute.contamination([" ".join(text)], bench)[0][1]
+
+
+def test_repeated_words_are_not_multiplied():
+    import time
+
+    began = time.perf_counter()
+    items = decontaminate.Items.of(["a", "b"], ["word " * 20000, "on and " * 10000])
+    got = list(decontaminate.hits(pa.array(["word " * 20000 + "on and " * 10000]), [items]))
+    assert got[0][1].tolist() == [40000] and got[0][2] == [[("a", 0, 20000), ("b", 20000, 20000)]]
+    assert time.perf_counter() - began < 5
+
+
+def test_many_benchmarks_in_one_session(spark):
+    texts = [f"{k} some words before item{k} has one two three four five six seven and after {k}" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "matches long, text string").coalesce(1)
+    for k in range(40):
+        items = [(f"q{k}", f"before item{k} has one two three four five six seven and")]
+        found = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id string, text string"), "matches")
+        assert found.columns == ["matches_in", "n_words", "n_hit", "longest", "matches"]
+        got = [(r["n_words"], r["n_hit"], len(r["matches"])) for r in sorted(found.collect())]
+        assert got == [x[:3] for x in brute.contamination(texts, items)]
+
+
 def test_several_benchmark_parts_make_one_answer(spark, docs, monkeypatch):
     bench = spark.createDataFrame(BENCH, "item_id string, text string")
     n, sha = decontaminate.items_digest()
