@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import Stored, arrow_rows, keep_rows, new_path, save_arrays
+from .shared import Saving, Stored, arrow_rows, keep_rows, new_path
 
 WINDOW = 10
 #: Bytes of text in a shard, and of benchmark text in one part.
@@ -275,17 +275,14 @@ def encode_benchmark(bench: DataFrame, item_id: str = "item_id", text: str = "te
     folder = new_path(spark, "benchmark")
 
     def encode(batches):
-        import uuid
-
         ids, texts = [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
             texts += batch.column(1).to_pylist()
         if ids:
-            # a task that runs again writes files of its own: the driver learns of one attempt only
-            name = f"part-{uuid.uuid4().hex}"
-            save_arrays(folder, name, **Items.of(ids, texts).arrays())
-            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+            saving = Saving(folder, "part")
+            saving.add(**Items.of(ids, texts).arrays())
+            yield pa.RecordBatch.from_arrays([pa.array([saving.close()])], names=["name"])
 
     dealt = rows.repartition(int(n), F.xxhash64("_i", "_t")).sortWithinPartitions("_i", "_t")
     # one name for each megabyte of benchmark

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import arrow_rows, crc_mod, keep_rows
+from .shared import TEXT_ROWS, arrow_rows, batches_of, crc_mod, keep_rows, released
 
 #: texts -> (ids, counts, first): hashed features of each text with first as offsets, ids distinct in each text.
 Featurise = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -36,13 +36,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, featurise: Featurise,
         for batch in batches:
             ids, counts, first = featurise(batch.column(2))
             cut = first.tolist()
-            raw = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:])] for x in (ids.astype("<u4"), np.minimum(counts, 65535).astype("<u2"))]
+            raw = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:])] for x in (ids.astype("<u4"), counts.astype("<u4"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(r, pa.binary()) for r in raw)], names=["_id", "_label", "ids", "counts"])
 
     kind = joined.schema["_id"].dataType.simpleString()
-    got = joined.mapInArrow(run, f"_id {kind}, _label int, ids binary, counts binary").groupBy("_id").agg(F.min(F.struct("_label", "ids", "counts")).alias("r"))
-    found = sorted(((i, r) for i, r in got.collect()), key=lambda x: x[0])
-    return [(int(r["_label"]), np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["counts"], "<u2")) for _, r in found]
+    got = joined.mapInArrow(released(run), f"_id {kind}, _label int, ids binary, counts binary").groupBy("_id").agg(F.min(F.struct("_label", "ids", "counts")).alias("r"))
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        found = sorted(((i, r) for i, r in got.collect()), key=lambda x: x[0])
+    return [(int(r["_label"]), np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["counts"], "<u4")) for _, r in found]
 
 
 def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], id_col: str = "doc_id", text: str = "text") -> DataFrame:

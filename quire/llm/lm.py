@@ -1,183 +1,350 @@
-"""An interpolated modified Kneser-Ney language model over pairs of words, and text scores from it.
+"""An interpolated modified Kneser-Ney language model of any order from 2 up, and text scores from it.
 
-Counting: a task counts the pairs of a few megabytes of text at a time, each different pair once, and sends them to
-the shard that owns the first word's hash; a shard adds up. So a hot word costs one entry per block, and a shard
-holds a bounded share, their number growing with the corpus. A shard writes its pairs as a sorted array of
-hashes with counts to the shared folder, and sends on how many first words each second word has (its continuation
-count). Scoring is a map: workers memory-map the arrays and look up each different pair of a block once.
+Counting: a task counts the n-grams of its texts, each different one once, and deals them by the n-gram's own hash,
+so a hot word's n-grams lie in all shards. A row holds one shard's n-grams of one task, its words by place in a small
+vocabulary; rows never outnumber n-grams. One exchange brings the shards to tasks, each a run of shards in order; a task
+merges shard by shard, of bounded size as their number grows with the corpus, and writes one file of sorted hashes with
+counts. It sends on sums by context and by last word, and for an order over 2 the shorter n-grams, whose count is the
+number of different words before them. So there are as many files as shuffle partitions. Scoring is a map: workers
+memory-map the files and look up each different n-gram of a block once.
 
-The folder in ``spark.checkpoint.dir`` must be one that executors have mounted, since files elsewhere can't be mapped.
+A model's files lie in ``spark.checkpoint.dir``; where executors can't mount that, they fetch them (``shared.Stored``).
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+import struct
 from dataclasses import dataclass
-from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import crc_mod, new_path, written
-
-#: Text bytes counted or scored at a time, and those of the corpus for each shard.
-BLOCK, SHARD = 8 << 20, 12 << 20
-#: Hashes of the marks before and after a text. A word is known by 48 bits of its hash.
-BEGIN, END = (int(x) for x in tx.mix(np.array([1, 2], np.uint64)) >> np.uint64(16))
+from .shared import TEXT_ROWS, Saving, Stored, arrow_rows, batches_of, crc_mod, new_path, released, written
+
+#: Text bytes counted or scored at a time, those of the corpus for each shard, and n-grams that a task keeps before it deals them.
+BLOCK, SHARD, KEPT = 8 << 20, 20 << 20, 1_500_000
+#: Words whose sums a merging task keeps, and packed rows that it is handed at a time.
+SUMS, PACKED_ROWS = 500_000, 64
+#: Hashes of the marks before and after a text.
+BEGIN, END = (int(x) for x in tx.mix(np.array([1, 2], np.uint64)))
 _U = np.uint64
 
 
-def mounted(path: str) -> str:
-    """The local name of a folder that all executors share."""
-    parts = urlparse(path)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"spark.checkpoint.dir must be mounted on executors to memory-map the model, not {parts.scheme}:")
-    return parts.path
+def sequences(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, slots, first): order - 1 begin marks, the words' hashes and the end mark of each text; the places of
+    words and end marks, which are the tokens; and n+1 offsets of the texts' tokens."""
+    starts, ends, first = tx.tokens(data, offs, "space")
+    n = np.diff(first) + 1
+    first = np.append(0, np.cumsum(n))
+    slots = np.arange(first[-1]) + np.repeat((order - 1) * np.arange(1, len(n) + 1), n)
+    words = np.full(first[-1] + (order - 1) * len(n), BEGIN, np.uint64)
+    words[slots] = END
+    own = np.ones(len(slots), bool)
+    own[first[1:] - 1] = False
+    words[slots[own]] = tx.hashes(data, starts, ends)
+    return words, slots, first
 
 
-def sequences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, first): for each text the begin mark, its words' hashes, the end mark; first: n+1 offsets."""
-    starts, ends, first = tx.tokens(data, offs, "space")
-    n = np.diff(first)
-    out_first = np.append(0, np.cumsum(n + 2))
-    out = np.empty(out_first[-1], np.uint64)
-    out[out_first[:-1]], out[out_first[1:] - 1] = BEGIN, END
-    own = np.ones(len(out), bool)
-    own[out_first[:-1]] = own[out_first[1:] - 1] = False
-    out[own] = tx.hashes(data, starts, ends) >> _U(16)
-    return out, out_first
+def extended(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from that of all but its last word; one word's hash is the word's."""
+    return tx.mix(prefix * _U(0x9E3779B97F4A7C15) + word)
+
+
+def gram_hashes(words: np.ndarray, slots: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, n-grams) that end at each slot."""
+    h = words[slots - order + 1]
+    for k in range(order - 2, 0, -1):
+        h = extended(h, words[slots - k])
+    return h, extended(h, words[slots])
+
+
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the hash as a signed number, so sorted hashes are sorted by shard."""
+    return ((((hashes.view(np.int64) >> 32) + (1 << 31)).astype(np.uint64) * _U(shards)) >> _U(32)).astype(np.int64)
+
+
+def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, counts, places) of the different hashes, ascending as signed numbers."""
+    by = np.argsort(hashes.view(np.int64), kind="stable")
+    own = hashes[by]
+    start = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else by
+    return own[start], np.add.reduceat(counts[by], start) if len(own) else counts, by[start]
+
+
+# packed n-grams
+
+_HEAD = struct.Struct("<IIIII")
 
 
-def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of the hash, so sorted words are sorted by shard."""
-    return (((words >> _U(16)) * _U(shards)) >> _U(32)).astype(np.int64)
+def pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """N-grams by the places of their words in a vocabulary, sorted by the first word; counts over 254 stand apart."""
+    vocabulary, place = np.unique(np.concatenate(columns), return_inverse=True)
+    place = place.reshape(len(columns), -1)
+    by = np.argsort(place[0], kind="stable")
+    place, counts = place[:, by], counts[by]
+    place[0, 1:] = np.diff(place[0])
+    width = 2 if len(vocabulary) <= 1 << 16 else 4
+    large = np.flatnonzero(counts > 254)
+    head = _HEAD.pack(len(counts), len(columns), len(vocabulary), width, len(large))
+    return b"".join([head, vocabulary.tobytes(), counts[large].astype("<u8").tobytes(), large.astype("<u4").tobytes(), place.astype(f"<u{width}").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()])
 
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return tx.mix(first * _U(0x9E3779B97F4A7C15) + second)
+def unpack(raw) -> tuple[list[np.ndarray], np.ndarray]:
+    n, order, words, width, many = _HEAD.unpack_from(raw, 0)
+    at = _HEAD.size
 
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(raw, kind, count, at)
+        at += out.nbytes
+        return out
+
+    vocabulary, large, where = take("<u8", words), take("<u8", many), take("<u4", many)
+    place = take(f"<u{width}", n * order).reshape(order, n).astype(np.int64)
+    counts = take("u1", n).astype(np.int64)
+    counts[where] = large
+    place[0] = np.cumsum(place[0])
+    return [vocabulary[p] for p in place], counts
+
+
+_DEALT = "shard int, grams binary"
+
+
+def _dealt(hashes: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, shards: int):
+    """Rows of _DEALT; hashes ascend."""
+    shard = shard_of(hashes, shards)
+    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else shard
+    ends = np.append(cut[1:], len(shard)).tolist() if len(shard) else []
+    rows, held = [], 0
+    for a, b in zip(cut.tolist(), ends, strict=True):
+        rows.append((int(shard[a]), pack([c[a:b] for c in columns], counts[a:b])))
+        held += len(rows[-1][1])
+        if held > 16 << 20:
+            yield rows
+            rows, held = [], 0
+    yield rows
 
-def _pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vocabulary, keys, slots): the different words ascending; for each token but begin marks, its pair as rank << 32 | rank, and its place in words."""
-    vocabulary, rank = np.unique(words, return_inverse=True)
-    token = np.ones(len(words), bool)
-    token[first[:-1]] = False
-    slots = np.flatnonzero(token)
-    rank = rank.astype(np.uint64)
-    return vocabulary, (rank[slots - 1] << _U(32)) | rank[slots], slots
 
+def _counted(order: int, shards: int):
+    """A mapper of texts to rows of _DEALT."""
 
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    def blocks(batches):
+        for batch in batches:
+            data, offs = tx.column_bytes(batch.column(0))
+            for i, j in tx.blocks(offs, BLOCK):
+                words, slots, _ = sequences(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], order)
+                hashes, counts, at = _summed(gram_hashes(words, slots, order)[1], np.ones(len(slots), np.int64))
+                yield hashes, counts, [words[slots[at] - k] for k in range(order - 1, -1, -1)]
+
+    def flush(held):
+        hashes, counts, at = _summed(np.concatenate([h for h, _, _ in held]), np.concatenate([c for _, c, _ in held]))
+        columns = [np.concatenate([x[k] for _, _, x in held])[at] for k in range(order)]
+        for rows in _dealt(hashes, columns, counts, shards):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "grams"])
+
+    def run(batches):
+        held, size = [], 0
+        for block in blocks(batches):
+            if size and size + len(block[0]) > KEPT:
+                yield from flush(held)
+                held, size = [], 0
+            held.append(block)
+            size += len(block[0])
+        if held:
+            yield from flush(held)
+
+    return released(run)
+
+
+# merging
+
+#: What a merging task gives: a file (name, its least hash, n-grams, of count 1 to 4), a shorter n-gram shard, or sums by word or context.
+FILE, GRAMS, WORD, CONTEXT = range(4)
+#: Columns of sums: count as a token, different words before it; as a context its total and words met once, twice, more.
+SUMMED = ("tokens", "before", "total", "once", "twice", "more")
+_MERGED = "kind int, name string, shard int, grams binary, key bigint, " + ", ".join(f"{c} bigint" for c in SUMMED)
+
+
+class _Sums:
+    """Sums by key, given out as rows of _MERGED in bounded numbers."""
+
+    def __init__(self, kind: int):
+        self.kind, self.keys, self.rows, self.size = kind, [], [], 0
+
+    def add(self, keys: np.ndarray, **sums: np.ndarray):
+        keys, back = np.unique(keys, return_inverse=True)
+        table = np.zeros((len(keys), len(SUMMED)), np.int64)
+        for name, x in sums.items():
+            np.add.at(table[:, SUMMED.index(name)], back, x)
+        self.keys.append(keys)
+        self.rows.append(table)
+        self.size += len(keys)
+        if self.size > SUMS:
+            self._fold()
+            if self.size > SUMS // 2:
+                yield from self.flush()
+
+    def _fold(self) -> None:
+        keys, back = np.unique(np.concatenate(self.keys), return_inverse=True)
+        table = np.zeros((len(keys), len(SUMMED)), np.int64)
+        np.add.at(table, back, np.concatenate(self.rows))
+        self.keys, self.rows, self.size = [keys], [table], len(keys)
+
+    def flush(self):
+        if self.keys:
+            self._fold()
+            yield _row(self.size, kind=self.kind, key=self.keys[0].view(np.int64), **{c: self.rows[0][:, k] for k, c in enumerate(SUMMED)})
+        self.keys, self.rows, self.size = [], [], 0
+
+
+_KINDS = {"kind": pa.int32(), "name": pa.string(), "shard": pa.int32(), "grams": pa.binary()} | {c: pa.int64() for c in ("key", *SUMMED)}
+
+
+def _row(n: int, kind: int, **columns) -> pa.RecordBatch:
+    columns = {"kind": [kind] * n} | columns
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _KINDS.items()], names=list(_KINDS))
+
+
+def _merged(folder: str, level: int, order: int, shards: int):
+    """A mapper of rows (shard, grams), ascending by shard, to rows of _MERGED."""
+
+    def merge(blobs):
+        got = [unpack(b) for b in blobs]
+        columns = [np.concatenate([g[0][k] for g in got]) for k in range(level)]
+        counts = np.concatenate([g[1] for g in got])
+        del got
+        prefix = columns[0]
+        for c in columns[1:-1]:
+            prefix = extended(prefix, c)
+        hashes, counts, at = _summed(extended(prefix, columns[-1]), counts)
+        return hashes, counts, prefix[at], [c[at] for c in columns]
+
+    def run(batches):
+        writer, words, contexts = Saving(folder, f"grams{level}"), _Sums(WORD), _Sums(WORD if level == 2 else CONTEXT)
+        numbers, least = np.zeros(5, np.int64), None
+
+        def done(blobs):
+            nonlocal least
+            hashes, counts, prefix, columns = merge(blobs)
+            least = int(hashes[0].view(np.int64)) if least is None else least
+            large = np.flatnonzero(counts > 254)
+            writer.add(hashes=hashes, counts=np.minimum(counts, 255).astype(np.uint8), large=hashes[large], large_counts=counts[large])
+            numbers[:4] += np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
+            numbers[4] += len(hashes)
+            yield from contexts.add(prefix, total=counts, once=counts == 1, twice=counts == 2, more=counts > 2)
+            last = {"tokens": counts} if level == order else {}
+            if level == 2:
+                last["before"] = np.ones(len(counts), np.int64)
+            if last:
+                yield from words.add(columns[-1], **last)
+            if level > 2:
+                suffix = columns[1]
+                for c in columns[2:]:
+                    suffix = extended(suffix, c)
+                suffix, number, at = _summed(suffix, np.ones(len(suffix), np.int64))
+                for rows in _dealt(suffix, [c[at] for c in columns[1:]], number, shards):
+                    if rows:
+                        yield _row(len(rows), GRAMS, shard=[r[0] for r in rows], grams=[r[1] for r in rows])
+
+        held, shard = [], None
+        for batch in batches:
+            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if s != shard and held:
+                    yield from done(held)
+                    held = []
+                shard = s
+                held.append(blob.as_py())
+        if held:
+            yield from done(held)
+        yield from words.flush()
+        yield from contexts.flush()
+        if name := writer.close():
+            sums = dict(zip(SUMMED, ([int(x)] for x in numbers), strict=False))
+            yield _row(1, FILE, name=[name], key=[least], **sums)
 
+    return released(run)
 
-def _unsix(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
 
+_FILES = "name string, key bigint, keys bigint, tokens_of bigint, words bigint, before_of bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, over2 bigint"
 
-_COUNTED = "shard int, firsts binary, seconds_each binary, seconds binary, many binary, counts binary"
 
+#: A sum from here on stands in a list of its own.
+LARGE = (1 << 32) - 1
 
-def count_pairs(texts: pa.Array, shards: int):
-    """Rows of _COUNTED for blocks of texts: first words, how many seconds each has, these, and the counts over 1 with their places."""
-    data, offs = tx.column_bytes(texts)
-    for i, j in tx.blocks(offs, BLOCK):
-        words, first = sequences(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        vocabulary, keys, _ = _pairs(words, first)
-        keys, counts = np.unique(keys, return_counts=True)
-        head, at, each = np.unique(keys >> _U(32), return_index=True, return_counts=True)
-        heads = vocabulary[head.astype(np.int64)]
-        seconds = vocabulary[(keys & _U(0xFFFFFFFF)).astype(np.int64)]
-        cut = np.searchsorted(shard_of(heads, shards), np.arange(shards + 1))
-        at = np.append(at, len(keys))
-        rows = []
-        for s in range(shards):
-            a, b = cut[s], cut[s + 1]
+
+def _tabled(folder: str, prefix: str):
+    """A mapper of rows (key, SUMMED), ascending by key, to a file of different keys with their sums, and what they come to."""
+
+    def run(batches):
+        writer, least, totals, carry, done = Saving(folder, prefix), None, np.zeros(9, np.int64), None, 0
+
+        def put(keys, table):
+            nonlocal least, done
+            least = int(keys[0]) if least is None else least
+            large = np.flatnonzero(table.ravel() >= LARGE)
+            writer.add(hashes=keys, table=np.minimum(table, LARGE).astype("<u4"), large=large + done, large_sums=table.ravel()[large])
+            done += table.size
+            before = table[:, 1]
+            totals[:] += [len(keys), table[:, 0].sum(), (table[:, 0] > 0).sum(), before.sum(), *np.bincount(np.minimum(before, 5), minlength=6)[1:5], (before > 2).sum()]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, table = batch.column(0).to_numpy(), np.stack([c.fill_null(0).to_numpy() for c in batch.columns[1:]], 1)
+            if carry is not None:
+                keys, table = np.append(carry[0], keys), np.concatenate([carry[1], table])
+            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys, table = keys[start], np.add.reduceat(table, start, axis=0)
+            carry = (keys[-1:], table[-1:])
+            if len(keys) > 1:
+                put(keys[:-1], table[:-1])
+        if carry is not None:
+            put(*carry)
+            values = [[writer.close()], *([int(x)] for x in (least, *totals))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k else pa.string()) for k, v in enumerate(values)], names=[x.split()[0] for x in _FILES.split(", ")])
+
+    return released(run)
+
+
+class Files:
+    """Files of sorted hashes that follow each other: (name, least hash), ascending."""
+
+    def __init__(self, folder: str, files: list[tuple[str, int]]):
+        self.stored, self.files = Stored(folder), sorted(files, key=lambda f: f[1])
+        self.least = np.array([f[1] for f in self.files[1:]], np.int64)
+
+    def found(self, keys: np.ndarray):
+        """(file, places of known keys, places in the file) for ascending keys."""
+        cut = [0, *np.searchsorted(keys, self.least).tolist(), len(keys)]
+        for (name, _), a, b in zip(self.files, cut, cut[1:], strict=False):
             if a < b:
-                own = slice(at[a], at[b])
-                many = np.flatnonzero(counts[own] > 1)
-                rows.append((s, _six(heads[a:b]), each[a:b].astype("<u4").tobytes(), _six(seconds[own]), many.astype("<u4").tobytes(), counts[own][many].astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if not k else pa.binary()) for k in range(6)], names=[x.split()[0] for x in _COUNTED.split(", ")])
-
-
-def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Whole files only: a task that runs again replaces them with the same."""
-    os.makedirs(folder, exist_ok=True)
-    for part, x in arrays.items():
-        path = f"{folder}/{name}.{part}"
-        with open(temporary := f"{path}.{uuid.uuid4().hex}", "wb") as f:
-            f.write(x.tobytes())
-        os.replace(temporary, path)
-
-
-_MERGED = "shard int, heads binary, words binary, counts binary, counts_of_counts binary"
-
-
-def _merge_pairs(folder: str, shards: int):
-    """A shard's pairs: the sorted hashes go to a file; first words' totals, and second words' numbers of firsts by the shard that owns them, go on."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
-        firsts, seconds, counts = [], [], []
-        for r in rows.itertuples():
-            firsts.append(np.repeat(_unsix(r.firsts), np.frombuffer(r.seconds_each, "<u4")))
-            seconds.append(_unsix(r.seconds))
-            c = np.ones(len(seconds[-1]), np.int64)
-            c[np.frombuffer(r.many, "<u4")] = np.frombuffer(r.counts, "<u4")
-            counts.append(c)
-        heads, h = np.unique(np.concatenate(firsts), return_inverse=True)
-        words, w = np.unique(np.concatenate(seconds), return_inverse=True)
-        del firsts, seconds
-        keys = (h.astype(np.uint64) << _U(32)) | w.astype(np.uint64)
-        by = np.argsort(keys)
-        keys, count = keys[by], np.concatenate(counts)[by]
-        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        keys, count = keys[start], np.add.reduceat(count, start)
-        h, w = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
-        stats = np.stack([np.bincount(h, count, len(heads)).astype(np.int64), *(np.bincount(h[at], minlength=len(heads)) for at in (count == 1, count == 2, count > 2))], 1)
-        hashes = pair_hash(heads[h], words[w])
-        by = np.argsort(hashes)
-        hashes, count, large = hashes[by], count[by], np.flatnonzero(count[by] > 254)
-        _save(folder, f"pairs{shard}", hashes=hashes, counts=np.minimum(count, 255).astype(np.uint8), large=hashes[large], large_counts=count[large].astype(np.int64))
-        n = np.bincount(np.minimum(count, 5), minlength=6)[1:5].astype(np.int64)
-        rows = [(shard, _six(heads), b"", stats.tobytes(), n.tobytes())]
-        number, cut = np.bincount(w, minlength=len(words)).astype("<u4"), np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
-        rows += [(s, b"", _six(words[a:b]), number[a:b].tobytes(), b"") for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in _MERGED.split(", ")])
-
-    return run
-
-
-def _merge_words(folder: str):
-    """A shard's words: hash, count, continuation count, and as a first word the seconds met once, twice, more often."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
-        heads, stats, words, number = [np.empty(0, np.uint64)], [np.empty((0, 4), np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for r in rows.itertuples():
-            if r.heads:
-                heads.append(_unsix(r.heads))
-                stats.append(np.frombuffer(r.counts, np.int64).reshape(-1, 4))
-            else:
-                words.append(_unsix(r.words))
-                number.append(np.frombuffer(r.counts, "<u4").astype(np.int64))
-        heads, words = np.concatenate(heads), np.concatenate(words)
-        known, at = np.unique(np.concatenate([heads, words]), return_inverse=True)
-        table = np.zeros((len(known), 5), np.int64)
-        table[at[: len(heads)], 0:4] = np.concatenate(stats)
-        table[:, 4] = np.bincount(at[len(heads) :], np.concatenate(number), len(known)).astype(np.int64)
-        _save(folder, f"words{shard}", hashes=known, table=table)
-        c = table[:, 4]
-        return pd.DataFrame([(len(known), int((c > 2).sum()), int(c.sum()), *np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist())], columns=["words", "more", "total", "n1", "n2", "n3", "n4"])
-
-    return run
+                known = self.stored.array(f"{name}.hashes", np.int64)
+                at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
+                same = np.flatnonzero(known[at] == keys[a:b])
+                yield name, a + same, at[same]
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), np.int64)
+        for name, place, at in self.found(keys):
+            c = self.stored.array(f"{name}.counts", np.uint8)[at].astype(np.int64)
+            if len(large := np.flatnonzero(c == 255)):
+                c[large] = self.stored.array(f"{name}.large_counts", np.int64)[np.searchsorted(self.stored.array(f"{name}.large", np.int64), keys[place[large]])]
+            out[place] = c
+        return out
+
+    def sums(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(keys), len(SUMMED)), np.int64)
+        for name, place, at in self.found(keys):
+            rows = self.stored.array(f"{name}.table", np.uint32, len(SUMMED))[at].astype(np.int64)
+            r, c = np.nonzero(rows == LARGE)
+            if len(r):
+                own = np.searchsorted(self.stored.array(f"{name}.large", np.int64), at[r] * len(SUMMED) + c)
+                rows[r, c] = self.stored.array(f"{name}.large_sums", np.int64)[own]
+            out[place] = rows
+        return out
 
 
 def discounts(n: list[int]) -> tuple[float, float, float, float]:
@@ -193,50 +360,15 @@ def discounts(n: list[int]) -> tuple[float, float, float, float]:
 class Model:
     """Where the arrays are, and the few numbers of the whole corpus."""
 
-    folder: str
-    shards: int
-    docs: int
+    order: int
+    grams: dict[int, Files]  # by level from 2
+    contexts: dict[int, Files]  # by level from 3
+    words: Files
     tokens: int
-    words: int  # different tokens, the end mark among them
+    different: int  # different tokens, the end mark among them
     pairs: int  # different pairs
-    pair_discounts: tuple
-    word_discounts: tuple
-    word_classes: tuple  # words with a continuation count of 1, 2, more
-
-    def _map(self, name: str, kind, width: int = 0) -> np.ndarray:
-        key = f"{self.folder}/{name}"
-        if key not in _MAPS:
-            _MAPS[key] = np.memmap(key, kind, "r") if os.path.exists(key) and os.path.getsize(key) else np.empty(0, kind)
-        return _MAPS[key].reshape(-1, width) if width else _MAPS[key]
-
-    def word_rows(self, words: np.ndarray) -> np.ndarray:
-        """For ascending words: count as a first word, its seconds met once, twice, more, continuation count; zeros for unknown ones."""
-        out = np.zeros((len(words), 5), np.int64)
-        cut = np.searchsorted(shard_of(words, self.shards), np.arange(self.shards + 1))
-        for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-            known = self._map(f"words{s}.hashes", np.uint64)
-            if a < b and len(known):
-                at = np.minimum(np.searchsorted(known, words[a:b]), len(known) - 1)
-                same = known[at] == words[a:b]
-                out[a:b][same] = self._map(f"words{s}.table", np.int64, 5)[at[same]]
-        return out
-
-    def pair_counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Counts of pairs, first words ascending."""
-        out = np.zeros(len(first), np.int64)
-        cut = np.searchsorted(shard_of(first, self.shards), np.arange(self.shards + 1))
-        for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-            known = self._map(f"pairs{s}.hashes", np.uint64)
-            if a < b and len(known):
-                h = pair_hash(first[a:b], second[a:b])
-                by = np.argsort(h)  # ascending look-ups touch each page once
-                h = h[by]
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                c = np.where(known[at] == h, self._map(f"pairs{s}.counts", np.uint8)[at], 0).astype(np.int64)
-                if len(large := np.flatnonzero(c == 255)):
-                    c[large] = self._map(f"pairs{s}.large_counts", np.int64)[np.searchsorted(self._map(f"pairs{s}.large", np.uint64), h[large])]
-                out[a + by] = c
-        return out
+    discounts: dict[int, tuple]  # by level from 1
+    classes: tuple  # words with 1, 2, more words before them
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(n_tokens, n_known, base_score, score) of each text."""
@@ -245,76 +377,81 @@ class Model:
         return tuple(np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(4))
 
     def _block(self, data, offs):
-        words, first = sequences(data, offs)
-        vocabulary, keys, _ = _pairs(words, first)
-        rows = self.word_rows(vocabulary)
-        count = rows[:, 0].copy()
-        count[vocabulary == END], count[vocabulary == BEGIN] = self.docs, 0
-        base = np.log10((count + 1) / (self.tokens + self.words + 1))
-        d = np.array(self.word_discounts)
+        words, slots, first = sequences(data, offs, self.order)
+        vocabulary, back = np.unique(words.view(np.int64), return_inverse=True)
+        rows = self.words.sums(vocabulary)
+        token = back[slots]
+        known = rows[:, 0] > 0
+        base = np.log10((rows[:, 0] + 1) / (self.tokens + self.different + 1))
+        uniform, d = 1 / (self.different + 1), np.array(self.discounts[1])
+        before = rows[:, 1]
         if self.pairs:
-            continued = rows[:, 4]
-            left = sum(x * n for x, n in zip(self.word_discounts[1:], self.word_classes, strict=True)) / self.pairs
-            p_word = np.maximum(continued - d[np.minimum(continued, 3)], 0) / self.pairs + left / (self.words + 1)
+            left = float(d[1:] @ np.array(self.classes, float)) / self.pairs
+            p = (np.maximum(before - d[np.minimum(before, 3)], 0) / self.pairs + left * uniform)[token]
         else:
-            p_word = np.full(len(vocabulary), 1 / (self.words + 1))
-        pair, where = np.unique(keys, return_inverse=True)
-        h, w = (pair >> _U(32)).astype(np.int64), (pair & _U(0xFFFFFFFF)).astype(np.int64)
-        c = self.pair_counts(vocabulary[h], vocabulary[w])
-        d = np.array(self.pair_discounts)
-        total = rows[:, 0]
-        left = rows[:, 1:4] @ d[1:]
-        seen = np.maximum(total[h], 1)
-        p = np.where(total[h] > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / seen + left[h] / seen * p_word[w], p_word[w])
-        first = first - np.arange(len(first))  # begin marks are no tokens
-        last = (keys & _U(0xFFFFFFFF)).astype(np.int64)
-        return np.diff(first), tx.per_doc((count[last] > 0).astype(np.int64), first), tx.per_doc(base[last], first), tx.per_doc(np.log10(p)[where], first)
-
-
-_MAPS: dict[str, np.ndarray] = {}
-
-
-def train(docs: DataFrame, text: str = "text") -> Model:
+            p = np.full(len(token), uniform)
+        for level in range(2, self.order + 1):
+            context, gram = gram_hashes(words, slots, level)
+            keys, back_c = np.unique(context.view(np.int64), return_inverse=True)
+            sums = (self.words if level == 2 else self.contexts[level]).sums(keys)
+            d = np.array(self.discounts[level])
+            total = np.maximum(sums[:, 2], 1)
+            left = sums[:, 3:6] @ d[1:] / total
+            grams, back_g = np.unique(gram.view(np.int64), return_inverse=True)
+            c = self.grams[level].counts(grams)
+            c = np.maximum(c - d[np.minimum(c, 3)], 0)[back_g]
+            p = np.where(sums[back_c, 2] > 0, c / total[back_c] + left[back_c] * p, p)
+        return np.diff(first), tx.per_doc(known[token].astype(np.int64), first), tx.per_doc(base[token], first), tx.per_doc(np.log10(p), first)
+
+
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Counts all whole texts of docs; null and empty ones count as an end mark. An empty table gives a model that knows nothing."""
+    if order < 2:
+        raise ValueError(f"order {order}")
     spark = docs.sparkSession
     folder = new_path(spark, "lm")
-    local = mounted(folder)
-    n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     shards = max(8, -(-size // SHARD))
-
-    def count(batches):
-        for batch in batches:
-            yield from count_pairs(batch.column(0), shards)
-
-    counted = docs.select(F.col(text).alias("_text")).mapInArrow(count, _COUNTED)
-    merged = written(counted.groupBy("shard").applyInPandas(_merge_pairs(local, shards), _MERGED), "lm-merged")
-    # eight numbers for each shard
-    n = np.sum([np.frombuffer(r[0], np.int64) for r in merged.select("counts_of_counts").where(F.length("counts_of_counts") > 0).collect()] or [np.zeros(4)], axis=0)
-    stats = merged.groupBy("shard").applyInPandas(_merge_words(local), "words bigint, more bigint, total bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint")
-    words, more, total, *m = (int(x or 0) for x in stats.agg(*(F.sum(c) for c in stats.columns)).first())
-    tokens = merged.where(F.length("heads") > 0).select("counts").mapInArrow(_totals, "t bigint").agg(F.sum("t")).first()[0] or 0
-    # the begin mark is a first word, not a token
-    return Model(local, shards, n_docs, int(tokens), max(words - 1, 0), total, discounts([int(x) for x in n]), discounts(m), (m[0], m[1], more))
-
-
-def _totals(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x.as_buffer(), np.int64)[::4].sum()) for x in batch.column(0)], pa.int64())], names=["t"])
+    parts = min(shards, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = docs.select(F.col(text).alias("_text")).mapInArrow(_counted(order, shards), _DEALT)
+    grams, contexts, merged, found = {}, {}, {}, {}
+    for level in range(order, 1, -1):
+        dealt = rows.repartitionById(parts, (F.col("shard").cast("long") * parts / shards).cast("int")).sortWithinPartitions("shard")
+        merged[level] = written(dealt.mapInArrow(_merged(folder, level, order, shards), _MERGED), f"lm-merged{level}", PACKED_ROWS)
+        # one row for each shuffle partition
+        files = merged[level].where(F.col("kind") == FILE).collect()
+        grams[level] = Files(folder, [(f["name"], f["key"]) for f in files])
+        found[level] = [sum(f[c] for f in files) for c in SUMMED[:5]]
+        rows = merged[level].where(F.col("kind") == GRAMS).select("shard", "grams")
+
+    def table(df: DataFrame, name: str) -> list:
+        part = ((F.shiftright("key", 32) + (1 << 31)) * parts / float(1 << 32)).cast("int")
+        dealt = df.select("key", *SUMMED).repartitionById(parts, part).sortWithinPartitions("key")
+        with batches_of(spark, 16 * TEXT_ROWS):
+            return dealt.mapInArrow(_tabled(folder, name), _FILES).collect()
+
+    for level in range(3, order + 1):
+        contexts[level] = Files(folder, [(f["name"], f["key"]) for f in table(merged[level].where(F.col("kind") == CONTEXT), f"contexts{level}")])
+    words = merged[2]
+    if order > 2:
+        words = words.unionByName(merged[order])
+    files = table(words.where(F.col("kind") == WORD), "words")
+    total = lambda c: sum(f[c] for f in files)
+    d = {level: discounts(n[:4]) for level, n in found.items()} | {1: discounts([total(c) for c in ("n1", "n2", "n3", "n4")])}
+    return Model(order, grams, contexts, Files(folder, [(f["name"], f["key"]) for f in files]), total("tokens_of"), total("words"), total("before_of"), d, (total("n1"), total("n2"), total("over2")))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_tokens, n_known, base_score, score) of every whole text, the end mark a token; scores are sums of log10.
 
-    Null and empty texts are the end mark alone. Other columns are not read.
+    Null and empty texts are the end mark alone. Other columns are not read; an id column that has the name of another
+    output column gets "_in" behind its own.
     """
-    kind = docs.select(id_col).schema.simpleString()[7:-1]
 
-    def run(batches):
-        for batch in batches:
-            n, known, base, own = model.score(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=[batch.schema.names[0], "n_tokens", "n_known", "base_score", "score"])
+    def made(texts):
+        return [pa.array(x, t) for x, t in zip(model.score(texts), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
 
-    return docs.select(id_col, F.col(text).alias("_text")).mapInArrow(run, f"{kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return arrow_rows(docs, made, "n_tokens bigint, n_known bigint, base_score double, score double", id_col, text)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

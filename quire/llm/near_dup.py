@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import written
+from .shared import released, written
 
 SHINGLE, SIMILAR = 5, 0.8
 REGISTERS, BAND = 128, 4
@@ -280,10 +280,10 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     need = need.join(nodes.select("_nid", "_node", F.col("_id").alias("_first")), "_nid")
     rows = docs.select(_node(text).alias("_key"), F.col(id_col).alias("_did"), F.col(text).alias("_text"))
     rows = rows.join(need, (F.col("_key") == F.col("_node")) & F.col("_did").eqNullSafe(F.col("_first"))).select("_nid", "_text")
-    sets = rows.mapInArrow(_shingled, "_nid bigint, _set binary").dropDuplicates(["_nid"])
+    sets = rows.mapInArrow(released(_shingled), "_nid bigint, _set binary").dropDuplicates(["_nid"])
     sets = written(sets, "sets")
     both = pairs.join(sets.withColumnsRenamed({"_nid": "_a", "_set": "_x"}), "_a").join(sets.withColumnsRenamed({"_nid": "_b", "_set": "_y"}), "_b").select("_a", "_b", "_x", "_y")
-    return written(both.mapInArrow(_verified(similar), "_a bigint, _b bigint"), "links")
+    return written(both.mapInArrow(released(_verified(similar)), "_a bigint, _b bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(text).isNotNull()).select(_node(text).alias("_node"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    signed = rows.mapInArrow(_sign, f"_node binary, _id {kind}, _n bigint, _sig binary, _short binary")
+    signed = rows.mapInArrow(released(_sign), f"_node binary, _id {kind}, _n bigint, _sig binary, _short binary")
     # equal texts have equal signatures
     nodes = signed.groupBy("_node").agg(F.min("_id").alias("_id"), F.count("*").alias("_rows"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig"), F.first("_short").alias("_short"))
     # ids are fixed by being written
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     stars = stars.select(F.least("_nid", "_head").alias("_a"), F.greatest("_nid", "_head").alias("_b")).distinct()
     short = nodes.select("_nid", "_short")
     alike = stars.join(short.withColumnsRenamed({"_nid": "_a", "_short": "_x"}), "_a").join(short.withColumnsRenamed({"_nid": "_b", "_short": "_y"}), "_b")
-    tested = written(alike.select("_a", "_b", "_x", "_y").mapInArrow(_alike(similar), "_a bigint, _b bigint"), "stars")
+    tested = written(alike.select("_a", "_b", "_x", "_y").mapInArrow(released(_alike(similar)), "_a bigint, _b bigint"), "stars")
     links = _verify(tested, nodes, docs, id_col, text, similar)
     comps = components(links)
     # buckets of three or more that still hold several components
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     blocks = F.ceil(F.col("_size") / TILE)
     member = member.withColumn("_block", F.pmod(F.xxhash64("_nid"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     member = member.select("_bucket", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_nid", "_c", "_short", "_bands")
-    rest = member.repartition("_bucket", "_i", "_j").sortWithinPartitions("_bucket", "_i", "_j").mapInArrow(_tiles(similar), "_a bigint, _b bigint").distinct()
+    rest = member.repartition("_bucket", "_i", "_j").sortWithinPartitions("_bucket", "_i", "_j").mapInArrow(released(_tiles(similar)), "_a bigint, _b bigint").distinct()
     rest = written(rest.join(tested, ["_a", "_b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = _verify(rest, nodes, docs, id_col, text, similar)

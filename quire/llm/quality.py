@@ -1,9 +1,8 @@
 """Quality by logistic regression over hashed word n-grams, learned with follow-the-regularised-leader updates.
 
-Tokens are runs of letters and digits and runs of other signs. Features, hashed to 20 bits: tokens, pairs of
-tokens, and triples of token shapes (lower case, capital, upper case, mixed, digits, the same word again, or the
-signs themselves). A feature's value is its share of the document's n-grams of its kind, so the score is the
-mean of the weights met: a sparse dot product in one pass.
+Words are runs of letters and digits and runs of other signs, A-Z as a-z; a word that repeats the one before it counts
+as a repeat mark. Features, hashed to 20 bits: words, pairs and triples of words. A feature's value is its share of
+the document's n-grams, so the score is the mean of the weights met: a sparse dot product in one pass.
 """
 
 from __future__ import annotations
@@ -22,25 +21,23 @@ TRAIN_ROWS = 8_192
 BITS, EPOCHS, SCALE = 20, 3, 16.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.2, 0.2
 THRESHOLD = 0.3
+#: The hash of the repeat mark.
+AGAIN = np.uint64(0xA24BAED4963EE407)
 
 
 def _ngrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, first): three ids for each token."""
+    """(ids, first): three ids for each word, of the n-grams that end with it."""
     starts, ends, first = tx.tokens(data, offs, "both")
     if not len(starts):
         return np.empty(0, np.int64), first
     h = tx.hashes(data, starts, ends)
-    count = lambda at: np.diff(np.append(0, np.cumsum(at))[np.stack([starts, ends])], axis=0)[0]
-    upper, digits, n = count((data >= 65) & (data <= 90)), count((data >= 48) & (data <= 57)), ends - starts
-    capital = (data[starts] >= 65) & (data[starts] <= 90)
-    shape = np.select([digits == n, (upper == n) & (n > 1), capital & (upper == 1), upper > 0], [4, 2, 1, 3], 0).astype(np.uint64)
     own = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))  # place in its document
-    shape[1:][(h[1:] == h[:-1]) & (own[1:] > 0)] = 5
-    signs = tx.classes("both")[data[starts]] == 2
-    shape[signs] = h[signs]
-    back = lambda x, k: np.where(own >= k, np.append(np.zeros(k, np.uint64), x[:-k])[: len(x)], np.uint64(0))
-    grams = (h, h * np.uint64(3) + back(h, 1) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), shape * np.uint64(0xC2B2AE3D27D4EB4F) + back(shape, 1) * np.uint64(0x165667B19E3779F9) + back(shape, 2) * np.uint64(0x27D4EB2F165667C5) + np.uint64(2))
-    ids = np.stack([(tx.mix(g) >> np.uint64(64 - BITS)).astype(np.int64) for g in grams], 1).ravel()
+    again = np.append(False, h[1:] == h[:-1]) & (own > 0)
+    h[again] = AGAIN
+    back = lambda k: np.where(own >= k, np.append(np.zeros(k, np.uint64), h[:-k])[: len(h)], np.uint64(0))
+    two = h * np.uint64(3) + back(1) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    three = h * np.uint64(5) + back(1) * np.uint64(0xC2B2AE3D27D4EB4F) + back(2) * np.uint64(0x165667B19E3779F9) + np.uint64(2)
+    ids = np.stack([(tx.mix(g) >> np.uint64(64 - BITS)).astype(np.int64) for g in (h, two, three)], 1).ravel()
     return ids, first * 3
 
 

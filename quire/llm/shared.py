@@ -47,28 +47,31 @@ def remove_intermediate(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of whole texts, and bytes, that jobs started here hand to Python at a time.
+TEXT_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int | None):
     """While it holds, jobs hand at most so many rows at a time to Python; the session's own setting comes back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if rows:
-        spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, most in zip(names, (rows, BATCH_BYTES), strict=True):
+        if most:
+            own = int(before[n].rstrip("bB"))
+            spark.conf.set(n, str(min(most, own) if own > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
-
+        for n, x in before.items():
+            spark.conf.set(n, x)
 
-#: Rows of whole texts that tables written here hand to Python at a time.
-TEXT_ROWS = 1024
 
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
+def written(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
     """The rows of df as a table written to the shared folder, read back: the plan above it starts anew."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with batches_of(spark, TEXT_ROWS):
+    with batches_of(spark, rows or TEXT_ROWS):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -93,22 +96,34 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def save_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Each array as the file ``name.key`` of a folder in the shared store. Whole files only: one that is there is replaced."""
-    if (local := _local(folder)) is None:
-        store, path = _store(folder)
-        store.create_dir(path)
+class Saving:
+    """Arrays written piece by piece as the files ``name.key`` of a folder in the shared store.
+
+    Names are new for every attempt of a task, and only what a finished task reports is read, so nothing is renamed.
+    """
+
+    def __init__(self, folder: str, prefix: str):
+        self.folder, self.name, self.files = folder, f"{prefix}-{uuid.uuid4().hex}", {}
+
+    def add(self, **arrays: np.ndarray) -> None:
         for key, x in arrays.items():
-            with store.open_output_stream(part := f"{path}/{name}.{key}.{uuid.uuid4().hex}") as f:
-                f.write(x.tobytes())
-            store.move(part, f"{path}/{name}.{key}")
-        return
-    os.makedirs(local, exist_ok=True)
-    for key, x in arrays.items():
-        path = f"{local}/{name}.{key}"
-        with open(part := f"{path}.{uuid.uuid4().hex}", "wb") as f:
-            f.write(x.tobytes())
-        os.replace(part, path)
+            if key not in self.files:
+                self.files[key] = self._open(key)
+            self.files[key].write(x.tobytes())
+
+    def _open(self, key: str):
+        if (local := _local(self.folder)) is not None:
+            os.makedirs(local, exist_ok=True)
+            return open(f"{local}/{self.name}.{key}", "wb")  # noqa: SIM115
+        store, path = _store(self.folder)
+        store.create_dir(path)
+        return store.open_output_stream(f"{path}/{self.name}.{key}")
+
+    def close(self) -> str | None:
+        """The name, if anything was added."""
+        for f in self.files.values():
+            f.close()
+        return self.name if self.files else None
 
 
 class Stored:

@@ -35,17 +35,27 @@ def _byte_values() -> np.ndarray:
     return values
 
 
-_POWERS = [np.ones(1, U64), np.ones(1, U64)]
+#: Bytes that are hashed at a time; a token longer than that is a span of its own.
+SPAN = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_MUL ** i and its inverse for i below n; kept for the worker's life."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_MUL, _INV)):
-            p = np.ones(1 << (n - 1).bit_length(), U64)
-            p[1:] = U64(base)
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1]
+    """_MUL ** i and its inverse for i below n."""
+    return _some_powers() if n <= SPAN else _made_powers(n)
+
+
+@lru_cache(1)
+def _some_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(SPAN)
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_MUL, _INV):
+        p = np.full(n, U64(base))
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
 @lru_cache(8)
@@ -114,12 +124,20 @@ def tokens(data: np.ndarray, offs: np.ndarray, kind: str) -> tuple[np.ndarray, n
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each token, the same for A-Z and a-z."""
-    if not len(starts):
-        return np.empty(0, U64)
+    """A 64-bit hash for each token, the same for A-Z and a-z. starts ascend."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPAN, "right")))
+        out[i:j] = _span_hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
+        i = j
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data))
     sums = _byte_values()[data]
-    sums *= up
+    sums *= up[: len(data)]
     np.cumsum(sums, out=sums)
     h = sums[ends - 1]
     before = sums[np.maximum(starts - 1, 0)]

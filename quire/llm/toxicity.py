@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed words.
 
-A document's features are the hashed words it holds (24 bits, presence). Its score is the logistic of
-w0 + sum w_i + sum over pairs <v_i, v_j>: the factors v learn what words mean together. Words have parameters
-if their presence tells of the label in the sample (chi-square of ``SCREEN``), or if it does beside such a word
-(likelihood ratio of ``BESIDE`` in the rows that hold that word).
+A document's features are the hashed words it holds (20 bits, presence). Its score is the logistic of
+w0 + sum w_i + (sum over pairs <v_i, v_j>) / number of words: the factors v learn what words mean together, each pair
+weighing less the more words stand beside it. Every word has parameters; what tells nothing is held down: weights
+by follow-the-regularised-leader with an L1 term, factors by steps that stay small until gradients agree, and factors
+that never left their random start are dropped. A quarter of the sample, not seen by first fits, chooses the L1 term and sets
+the bias.
 """
 
 from __future__ import annotations
@@ -19,25 +21,29 @@ from .shared import crc_mod
 
 #: Most labelled rows to learn from; a bound for any corpus.
 TRAIN_ROWS = 16_384
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SCREEN, LEAST_DOCS = 8, 16, 64, 0.3, 1e-4, 15.0, 3
-#: Stricter than SCREEN, as all words are tested beside each strong one; likelihood ratios hold for small counts.
-BESIDE = 30.0
-#: A toxic row counts as so many: most rows are clean.
+BITS, FACTORS, EPOCHS, BATCH = 20, 8, 7, 64
+#: Weights: step, its damping, and the gradients, as shares of the square root of the rows, of which one is what it takes to leave 0.
+ALPHA, BETA, L1 = 0.5, 1.0, (1 / 24, 1 / 12)
+#: Factors: step, spread at the start, and the multiple of it under which they count as unmoved.
+STEP, START, MOVED = 0.2, 0.05, 2.0
+#: A toxic row counts as so many while fitting; a clean row above the cut as so many toxic ones below.
 TOXIC_WEIGHT, CLEAN_WEIGHT = 3.0, 3.0
+#: Of the sample, one row of so many chooses the L1 term and sets the bias.
+INNER = 4
 THRESHOLD = 0.3
 
 
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = tx.tokens(data, offs, "alnum")
-    return (tx.hashes(data, starts, ends) >> np.uint64(40)).astype(np.int64), first
+    return (tx.hashes(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64), first
 
 
 def featurise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offs = tx.column_bytes(texts)
     ids, first = _words(data, offs)
-    pairs = np.unique((tx.doc_index(first).astype(np.int64) << 24) | ids)
-    cut = np.searchsorted(pairs >> 24, np.arange(len(first)))
-    return pairs & 0xFFFFFF, np.ones(len(pairs), np.int64), cut
+    pairs, counts = np.unique((tx.doc_index(first).astype(np.int64) << BITS) | ids, return_counts=True)
+    cut = np.searchsorted(pairs >> BITS, np.arange(len(first)))
+    return pairs & ((1 << BITS) - 1), counts, cut
 
 
 class Machine:
@@ -46,13 +52,14 @@ class Machine:
     def __init__(self, keys: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.keys, self.bias, self.weights, self.factors = keys, bias, weights, factors
 
-    def margin(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        """doc, feature: distinct pairs."""
-        out = self.bias + np.bincount(doc, self.weights[feature], n)
+    def margin(self, doc: np.ndarray, feature: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """doc, feature: distinct pairs; size: the number of words of each document."""
+        n = len(size)
+        out, both = self.bias + np.bincount(doc, self.weights[feature], n), np.zeros(n)
         for f in range(self.factors.shape[1]):
             v = self.factors[feature, f]
-            out += 0.5 * (np.bincount(doc, v, n) ** 2 - np.bincount(doc, v * v, n))
-        return out
+            both += np.bincount(doc, v, n) ** 2 - np.bincount(doc, v * v, n)
+        return out + 0.5 * both / np.maximum(size, 1)
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         """A score from 0 to 1 for each text; null and empty ones have that of no word."""
@@ -65,94 +72,111 @@ class Machine:
             known = np.flatnonzero(self.keys[at] == ids)
             doc = np.searchsorted(first, known, "right") - 1
             pairs = np.unique(doc * len(self.keys) + at[known])
-            return labelled.sigmoid(self.margin(pairs // len(self.keys), pairs % len(self.keys), len(offs) - 1))
+            return labelled.sigmoid(self.margin(pairs // len(self.keys), pairs % len(self.keys), np.diff(first)))
 
         return labelled.over_blocks(texts, one)
 
 
-def _beside(doc: np.ndarray, at: np.ndarray, y: np.ndarray, strong: np.ndarray) -> np.ndarray:
-    """Whether each feature tells of the label in the rows that hold some strong one. doc ascends."""
-    rest = np.flatnonzero(~strong & (np.bincount(at, minlength=len(strong)) >= LEAST_DOCS))
-    index = np.full(len(strong), -1)
-    index[rest] = np.arange(len(rest))
-    own = index[at]
-    kept = np.flatnonzero(own >= 0)
-    first, own = np.searchsorted(doc[kept], np.arange(len(y) + 1)), own[kept]
-    holds = np.flatnonzero(strong[at])
-    holds = holds[np.argsort(at[holds], kind="stable")]
-    cut = np.append(np.flatnonzero(np.append(True, at[holds][1:] != at[holds][:-1])), len(holds)) if len(holds) else []
-    out = np.zeros(len(rest), bool)
-    for i, j in zip(cut, cut[1:], strict=False):
-        with_s = doc[holds[i:j]]
-        n, p = j - i, y[with_s].sum()
-        if not 0 < p < n:
-            continue
-        each = [own[first[d] : first[d + 1]] for d in with_s]
-        df = np.bincount(np.concatenate(each), minlength=len(rest))
-        a = np.bincount(np.concatenate([e for e, d in zip(each, with_s, strict=True) if y[d]]), minlength=len(rest))
-        f = np.flatnonzero((df >= LEAST_DOCS) & ~out)
-        df, a = df[f], a[f]
-        ratio = np.zeros(len(f))
-        for seen, of, share in ((a, df, p), (df - a, df, n - p), (p - a, n - df, p), (n - df - p + a, n - df, n - p)):
-            ratio += 2 * seen * np.log(np.maximum(seen, 1e-9) * n / np.maximum(of * share, 1e-9))
-        out[f[ratio >= BESIDE]] = True
-    found = np.zeros(len(strong), bool)
-    found[rest[out]] = True
-    return found
+class Batch:
+    """Some rows: their features in row order and, for gradients, in feature order."""
+
+    def __init__(self, rows: np.ndarray, first: np.ndarray, at: np.ndarray, size: np.ndarray):
+        n = first[rows + 1] - first[rows]
+        upto = np.cumsum(n) - n
+        doc = np.repeat(np.arange(len(rows)), n)
+        self.feature = at[np.arange(n.sum()) + np.repeat(first[rows] - upto, n)]
+        self.rows, self.share = rows, (1 / np.maximum(size[rows], 1)).astype(np.float32)
+        self.filled = np.flatnonzero(n)
+        self.from_ = upto[self.filled]
+        order = np.argsort(self.feature, kind="stable")
+        own = self.feature[order]
+        self.cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else upto[:0]
+        self.touched, self.by_feature = own[self.cut], doc[order]
+
+    def forward(self, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(margins, sums of factors of each row)."""
+        sums, out = np.zeros((len(self.rows), v.shape[1]), v.dtype), np.full(len(self.rows), bias, v.dtype)
+        if len(self.feature):
+            own = v[self.feature]
+            sums[self.filled] = np.add.reduceat(own, self.from_, axis=0)
+            both = (sums[self.filled] ** 2).sum(1) - np.add.reduceat((own * own).sum(1), self.from_)
+            out[self.filled] += np.add.reduceat(w[self.feature], self.from_) + 0.5 * self.share[self.filled] * both
+        return out, sums
+
+    def gradients(self, err: np.ndarray, sums: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the weights and factors of the touched features, from the loss's slopes by margin."""
+        shared = (err * self.share)[self.by_feature]
+        gv = np.add.reduceat(shared[:, None] * sums[self.by_feature], self.cut, axis=0)
+        return np.add.reduceat(err[self.by_feature], self.cut), gv - np.add.reduceat(shared, self.cut)[:, None] * v[self.touched]
+
+
+def _fitted(y: np.ndarray, size: np.ndarray, first: np.ndarray, ids: np.ndarray, share: float) -> Machine:
+    keys, at = np.unique(ids, return_inverse=True)
+    n, m, least = len(y), len(keys), share * len(y) ** 0.5
+    rng = np.random.default_rng(0)
+    bias, bias_n = float(np.log(y.mean() / (1 - y.mean()))), 0.0
+    w, z, w_n = (np.zeros(m, np.float32) for _ in range(3))
+    v, v_n = rng.normal(0, START, (m, FACTORS)).astype(np.float32), np.zeros((m, FACTORS), np.float32)
+    weight = np.where(y > 0, TOXIC_WEIGHT, 1.0)
+    batches = [Batch(np.sort(own), first, at, size) for own in np.array_split(rng.permutation(n), max(1, n // BATCH))]
+    for _ in range(EPOCHS):
+        for k in rng.permutation(len(batches)).tolist():
+            b = batches[k]
+            margin, sums = b.forward(bias, w, v)
+            err = ((labelled.sigmoid(margin) - y[b.rows]) * weight[b.rows]).astype(np.float32)
+            bias_n += float(err.sum()) ** 2
+            bias -= ALPHA * float(err.sum()) / (BETA + bias_n**0.5)
+            if not len(b.feature):
+                continue
+            t = b.touched
+            g, gv = b.gradients(err, sums, v)
+            grown = w_n[t] + g * g
+            z[t] += g - (np.sqrt(grown) - np.sqrt(w_n[t])) / ALPHA * w[t]
+            w_n[t] = grown
+            w[t] = np.where(np.abs(z[t]) <= least, 0, -(z[t] - np.sign(z[t]) * least) * ALPHA / (BETA + np.sqrt(grown)))
+            v_n[t] += gv * gv
+            v[t] -= STEP * gv / (BETA + np.sqrt(v_n[t]))
+    v[np.sqrt((v * v).sum(1)) < MOVED * START * FACTORS**0.5] = 0
+    kept = np.flatnonzero((w != 0) | v.any(1))
+    return Machine(keys[kept].astype(np.int64), bias, w[kept].astype(np.float64), v[kept].astype(np.float64))
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Machine:
-    """Minibatch AdaGrad on the logistic loss. Without rows of both labels the score is the labels' mean (0 without rows)."""
+    """From (label, ids, counts). Without rows of both labels the score is the labels' mean (0 without rows)."""
     y = np.array([r[0] > 0 for r in rows], float)
-    none = np.empty(0, np.int64)
     if not len(y) or y.min() == y.max():
-        return Machine(none, 35.0 if len(y) and y[0] else -35.0, np.empty(0), np.empty((0, FACTORS)))
-    size = np.array([len(r[1]) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), size)
-    keys, at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-    n, p = len(y), y.sum()
-    df, a = np.bincount(at), np.bincount(at, y[doc])
-    b, c = df - a, p - a
-    d = n - p - b
-    chi = n * (a * d - b * c) ** 2 / np.maximum(df * (n - df) * p * (n - p), 1e-9)
-    use = (df >= LEAST_DOCS) & (chi >= SCREEN)
-    use |= _beside(doc, at, y, use)
-    index = np.cumsum(use) - 1
-    doc, at = doc[use[at]], index[at[use[at]]]
-    first = np.searchsorted(doc, np.arange(n + 1))
-    m = int(use.sum())
-    rng = np.random.default_rng(0)
-    bias, w, v = float(np.log(p / (n - p))), np.zeros(m), rng.normal(0, 0.02, (m, FACTORS))
-    seen_b, seen_w, seen_v = 1e-3, np.full(m, 1e-3), np.full((m, FACTORS), 1e-3)
-    for _ in range(EPOCHS):
-        for own in np.array_split(rng.permutation(n), max(1, n // BATCH)):
-            k = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
-            i, f = np.repeat(np.arange(len(own)), first[own + 1] - first[own]), at[k]
-            sums = np.zeros((len(own), FACTORS))
-            np.add.at(sums, i, v[f])
-            squares = np.bincount(i, (v[f] ** 2).sum(1), len(own))
-            err = labelled.sigmoid(bias + np.bincount(i, w[f], len(own)) + 0.5 * ((sums**2).sum(1) - squares)) - y[own]
-            err *= np.where(y[own] > 0, TOXIC_WEIGHT, 1.0)
-            g = err.mean() * len(own) / BATCH
-            seen_b += g * g
-            bias -= RATE * g / np.sqrt(seen_b)
-            touched, f = np.unique(f, return_inverse=True)
-            gw = np.bincount(f, err[i], len(touched)) / BATCH + DECAY * w[touched]
-            seen_w[touched] += gw * gw
-            gv = np.zeros((len(touched), FACTORS))
-            np.add.at(gv, f, err[i][:, None] * (sums[i] - v[at[k]]) / BATCH)
-            gv += DECAY * v[touched]
-            seen_v[touched] += gv * gv
-            w[touched] -= RATE * gw / np.sqrt(seen_w[touched])
-            v[touched] -= 0.1 * RATE * gv / np.sqrt(seen_v[touched])
-    machine = Machine(keys[use].astype(np.int64), bias, w, v)
+        return Machine(np.empty(0, np.int64), 35.0 if len(y) and y[0] else -35.0, np.empty(0), np.empty((0, FACTORS)))
+    size = np.array([r[2].sum(dtype=np.int64) for r in rows])
+
+    def some(which: np.ndarray, share: float) -> Machine:
+        first = np.append(0, np.cumsum([len(rows[k][1]) for k in which]))
+        return _fitted(y[which], size[which], first, np.concatenate([rows[k][1] for k in which]).astype(np.int64), share)
+
+    every = np.arange(len(y))
+    # toxic and clean rows in turn, so that both parts have both where they can
+    place = np.empty(len(y), np.int64)
+    place[np.argsort(y, kind="stable")] = every
+    outer, inner = np.flatnonzero(place % INNER), np.flatnonzero(place % INNER == 0)
     level = float(np.log(THRESHOLD / (1 - THRESHOLD)))
-    machine.bias += max(0.0, level - _cut(machine.margin(doc, at, n), y))
+    best = (0.0, L1[-1], level)
+    if 0 < y[outer].sum() < len(outer) and 0 < y[inner].sum() < len(inner):
+        tried = []
+        for share in L1:
+            cut, lost = _cut(_margins(some(outer, share), [rows[k][1] for k in inner], size[inner]), y[inner])
+            tried.append((lost, share, cut))
+        best = min(tried)
+    machine = some(every, best[1])
+    machine.bias += max(0.0, level - best[2])
     return machine
 
 
-def _cut(margins: np.ndarray, y: np.ndarray) -> float:
-    """The margin that parts the labels of the sample best, a clean row above it counting as ``CLEAN_WEIGHT`` toxic ones below: amid its gap.
+def _margins(machine: Machine, ids: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    known = [np.flatnonzero(np.isin(machine.keys, i)) for i in ids]
+    return machine.margin(np.repeat(np.arange(len(ids)), [len(k) for k in known]), np.concatenate(known), size)
+
+
+def _cut(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The margin that parts the labels best, and what is on the wrong side of it, a clean row above it counting as ``CLEAN_WEIGHT`` toxic ones below: amid its gap.
 
     The bias is raised until this scores ``THRESHOLD``: weights of few examples stay small, so single words score low.
     """
@@ -163,7 +187,7 @@ def _cut(margins: np.ndarray, y: np.ndarray) -> float:
     open_ = np.concatenate([[True], m[1:] > m[:-1], [True]])
     best = np.flatnonzero(open_ & (lost == lost[open_].min()))
     wide = np.concatenate([[0.0], m[1:] - m[:-1], [0.0]])
-    return float(gap[best[np.argmax(wide[best])]])
+    return float(gap[best[np.argmax(wide[best])]]), float(lost[best[0]])
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (4, 2), rows: int = TRAIN_ROWS, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:

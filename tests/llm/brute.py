@@ -77,44 +77,41 @@ def near_classes(rows):
     return [least.get(find(k)) for k in range(len(rows))]
 
 
-def kneser_ney(train, texts, discounts):
+def kneser_ney(train, texts, discounts, order=2):
     """(n_tokens, n_known, train_tokens, base_score, score) of each text."""
 
     def tokens(t):
         return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall("[^\x20\x09-\x0d]+", t or "")] + ["</s>"]
 
-    one, two = Counter(), Counter()
-    for t in train:
-        last = "<s>"
-        for w in tokens(t):
-            one[w] += 1
-            two[last, w] += 1
-            last = w
+    def grams(t):
+        padded = ["<s>"] * (order - 1) + tokens(t)
+        return [tuple(padded[k : k + order]) for k in range(len(padded) - order + 1)]
+
+    one = Counter(w for t in train for w in tokens(t))
     n, v = sum(one.values()), len(one)
-    continued = Counter(w for _, w in two)
-    after = defaultdict(Counter)
-    for (a, _), c in two.items():
-        after[a][min(c, 3)] += 1
-        after[a]["all"] += c
-    d = discounts([sum(c == k for c in two.values()) for k in (1, 2, 3, 4)])
-    u = discounts([sum(c == k for c in continued.values()) for k in (1, 2, 3, 4)])
-    left = sum(u[min(c, 3)] for c in continued.values())
-
-    def word(w):
-        return (max(continued[w] - u[min(continued[w], 3)], 0) + left / (v + 1)) / len(two) if two else 1 / (v + 1)
+    counts = {order: Counter(g for t in train for g in grams(t))}
+    for k in range(order - 1, 0, -1):  # how many different words stand before
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: discounts([sum(x == j for x in c.values()) for j in (1, 2, 3, 4)]) for k, c in counts.items()}
+    after = {k: defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, x in c.items():
+            after[k][g[:-1]].append(x)
+
+    def probability(g):
+        if not g:
+            return 1 / (v + 1)
+        own = after[len(g)].get(g[:-1])
+        if not own:
+            return probability(g[1:])
+        x, rest = counts[len(g)].get(g, 0), sum(d[len(g)][min(y, 3)] for y in own)
+        return max(x - d[len(g)][min(x, 3)], 0) / sum(own) + rest / sum(own) * probability(g[1:])
 
     out = []
     for t in texts:
-        last, score, base, known = "<s>", 0.0, 0.0, 0
-        for w in tokens(t):
-            p, x, c = word(w), after.get(last), two.get((last, w), 0)
-            if x:
-                p = max(c - d[min(c, 3)], 0) / x["all"] + sum(d[k] * x[k] for k in (1, 2, 3)) / x["all"] * p
-            score += math.log10(p)
-            base += math.log10((one[w] + 1) / (n + v + 1))
-            known += one[w] > 0
-            last = w
-        out.append((len(tokens(t)), known, n, base, score))
+        own = tokens(t)
+        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in own)
+        out.append((len(own), sum(one[w] > 0 for w in own), n, base, sum(math.log10(probability(g)) for g in grams(t))))
     return out
 
 

@@ -189,26 +189,58 @@ def test_mixing_meets_targets(spark):
         assert abs(r["sum(taken)"] - r["first(target)"]) <= 30
 
 
-def test_language_model(spark, docs, empty):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, docs, empty, order, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 3000)
     train = [t[1] for t in TEXTS if zlib.crc32(str("" if t[0] is None else t[0]).encode()) % 7 != 2]
-    model = lm.train(docs.where(~(lm.crc_mod("doc_id", 7) == 2)))
-    want = brute.kneser_ney(train, [t[1] for t in TEXTS], lm.discounts)
+    model = lm.train(docs.where(~(lm.crc_mod("doc_id", 7) == 2)), order=order)
+    want = brute.kneser_ney(train, [t[1] for t in TEXTS], lm.discounts, order)
     got = sorted((tuple(r) for r in lm.score(docs, model).collect()), key=str)
+    assert lm.score(docs, model).columns == ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     want = sorted(((t[0], *w) for t, w in zip(TEXTS, want, strict=True)), key=str)
     assert [g[:3] for g in got] == [w[:3] for w in want] and model.tokens == want[0][3]
     assert np.allclose([g[3:] for g in got], [w[4:] for w in want])
-    nothing = lm.train(empty)
-    assert nothing.tokens == 0 and lm.score(docs, nothing).count() == len(TEXTS) and lm.score(empty, model).count() == 0
+    if order == 2:
+        nothing = lm.train(empty)
+        assert nothing.tokens == 0 and lm.score(docs, nothing).count() == len(TEXTS) and lm.score(empty, model).count() == 0
+
+
+def test_language_model_of_many_texts(spark, monkeypatch):
+    # counts over 255, several tasks, flushes and shards
+    monkeypatch.setattr(lm, "KEPT", 200)
+    monkeypatch.setattr(lm, "SUMS", 100)
+    monkeypatch.setattr(lm, "BLOCK", 2000)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(1, 60)) if x < 500) for _ in range(400)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "n_tokens long, text string").repartition(5)
+    model = lm.train(frame, order=3)
+    got = sorted(tuple(r) for r in lm.score(frame, model, "n_tokens").collect())
+    want = brute.kneser_ney(texts, texts, lm.discounts, 3)
+    assert [g[:3] for g in got] == [(k, *w[:2]) for k, w in enumerate(want)] and model.tokens == want[0][2]
+    assert np.allclose([g[3:] for g in got], [w[3:] for w in want])
 
 
 def test_probabilities_sum_to_one(spark):
     model = lm.train(spark.createDataFrame([("a b a c",), ("b a",), ("a a b",)], "text string"))
-    words = ["a", "b", "c", "unknown"]
-    # after "a": every known word, the end mark and one unknown word
-    totals = [model.score(pa.array([f"a {w}", "a"]))[3] for w in words]
-    start = model.score(pa.array(["a"]))[3]
-    ends = 10 ** start[0]
-    assert ends > 0 and all(np.isfinite(t).all() for t in totals)
+    # over all one-word texts and the empty one, the first tokens' probabilities: by the model's own lookups
+    first = {w: model.score(pa.array([w]))[3][0] for w in ("a", "b", "c", "unknown")}
+    last = {w: _conditional(model, w) for w in first}
+    total = sum(10 ** (first[w] - last[w]) for w in first) + 10 ** model.score(pa.array([""]))[3][0]
+    assert abs(total - 1) < 1e-9
+
+
+def _conditional(model, word):
+    """log10 P(end | word), from the stored counts."""
+    data, offs = tx.column_bytes(pa.array([word]))
+    words, slots, _ = lm.sequences(data, offs, 2)
+    context, gram = lm.gram_hashes(words, slots, 2)
+    sums, c = model.words.sums(context[-1:].view(np.int64))[0], model.grams[2].counts(gram[-1:].view(np.int64))[0]
+    end = model.words.sums(words[-1:].view(np.int64))[0]
+    d1, d2 = np.array(model.discounts[1]), np.array(model.discounts[2])
+    p = max(end[1] - d1[min(end[1], 3)], 0) / model.pairs + d1[1:] @ np.array(model.classes) / model.pairs / (model.different + 1)
+    if sums[2]:
+        p = max(c - d2[min(c, 3)], 0) / sums[2] + sums[3:6] @ d2[1:] / sums[2] * p
+    return np.log10(p)
 
 
 def test_signatures_estimate_similarity():
