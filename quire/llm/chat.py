@@ -4,11 +4,16 @@ A legal conversation is an optional system turn, then user and assistant turns t
 For each source turn the automaton may keep its role, relabel it or merge it into the turn before, and may put in
 empty turns first; dynamic programming over its four states finds the cheapest repair. A turn is a 4 x 4 matrix
 of costs, and matrices of consecutive turns multiply in the (min, +) semiring: so a conversation of more than
-``LONG`` turns is cut into segments, whose matrices are multiplied first and whose repairs are then found apart.
+``LONG`` turns is cut into segments. The products give the costs with which the states are reached at each cut; from
+these a segment takes the very steps that a pass over the whole conversation would take, ties included.
+
+Turn markers in a text are kept from acting as such: one gets a backslash behind its "<" (``neutral``), and one that has
+backslashes there gets one more, so ``restored`` gives the text back.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import released, written
 
 #: Costs of one edit, and for equal sums a preference: merge before relabel before insert.
 MERGE, RELABEL, INSERT = 1_001, 3_002, 2_003
@@ -32,6 +37,17 @@ NO_WAY = 1 << 50
 OPEN, CLOSE = "<|im_start|>{}\n", "<|im_end|>\n"
 
 
+_MARKER = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
+
+
+def neutral(text: str) -> str:
+    return _MARKER.sub(r"<\1\\|\2|>", text)
+
+
+def restored(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|(im_start|im_end)\|>", r"<\1|\2|>", text)
+
+
 @lru_cache(None)
 def steps(role: str | None) -> list[list[tuple[int, tuple[int, ...], str]]]:
     """[from][to]: (cost, states of empty turns put in, action) of the cheapest way to take a turn of this role; unknown roles are always relabelled."""
@@ -66,16 +82,30 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum((a[:, :, None] + b[None, :, :]).min(1), NO_WAY)
 
 
-def repair(roles: list[str | None], entry: int = START, leave: int | None = None) -> list[tuple[int, int, tuple[int, ...], str]]:
-    """(from, to, states put in, action) for each turn; leave: the last state, if it is given, else the cheapest with its ending."""
-    cost, back = [NO_WAY] * STATES, []
-    cost[entry] = 0
+#: Costs of the states before the first turn.
+FRESH = tuple(0 if s == START else NO_WAY for s in range(STATES))
+
+
+def _forward(roles: list[str | None], cost: tuple[int, ...] = FRESH) -> tuple[list[int], list[list[int]]]:
+    """(costs of the states after the turns, for each turn the state from which each state is reached; the least of equal ones)."""
+    cost, back = list(cost), []
     for role in roles:
         step = steps(role)
         came = [min((cost[a] + step[a][b][0], a) for a in range(STATES)) for b in range(STATES)]
-        cost = [c for c, _ in came]
+        cost = [min(c, NO_WAY) for c, _ in came]
         back.append([a for _, a in came])
-    state = min(range(STATES), key=lambda b: (cost[b] + ending(b)[0], b)) if leave is None else leave
+    return cost, back
+
+
+def last_state(cost) -> int:
+    """The state in which the cheapest repair ends."""
+    return min(range(STATES), key=lambda b: (cost[b] + ending(b)[0], b))
+
+
+def repair(roles: list[str | None], cost: tuple[int, ...] = FRESH, leave: int | None = None) -> list[tuple[int, int, tuple[int, ...], str]]:
+    """(from, to, states put in, action) for each turn; leave: the last state, if it is given, else the cheapest with its ending."""
+    after, back = _forward(roles, cost)
+    state = last_state(after) if leave is None else leave
     path = []
     for role, came in zip(reversed(roles), reversed(back), strict=True):
         a = came[state]
@@ -87,12 +117,12 @@ def repair(roles: list[str | None], entry: int = START, leave: int | None = None
 def pieces(path, texts: list[str | None], last: bool) -> list[tuple[str, str, list[str], str]]:
     """(role, action, roles of empty turns put in, rendered) for each turn; what is rendered joins to the whole conversation."""
     out = []
-    for k, ((a, b, put, action), text) in enumerate(zip(path, texts, strict=True)):
+    for k, ((a, b, put, action), text) in enumerate(zip(path, map(neutral, (t or "" for t in texts)), strict=True)):
         put = [ROLES[s - 1] for s in put]
         if action == "merge":
-            rendered = "\n" + (text or "")
+            rendered = "\n" + text
         else:
-            rendered = (CLOSE if a != START else "") + "".join(OPEN.format(r) + CLOSE for r in put) + OPEN.format(ROLES[b - 1]) + (text or "")
+            rendered = (CLOSE if a != START else "") + "".join(OPEN.format(r) + CLOSE for r in put) + OPEN.format(ROLES[b - 1]) + text
         if last and k == len(path) - 1:
             more = [ROLES[s - 1] for s in ending(b)[1]]
             rendered += CLOSE + "".join(OPEN.format(r) + CLOSE for r in more)
@@ -125,13 +155,13 @@ def _groups(batches, n_keys: int):
 
 
 def _repaired(schema: pa.Schema):
-    """A mapper over sorted rows (conv, seg, entry, leave, last, turn, role, text)."""
+    """A mapper over sorted rows (conv, seg, cost, leave, last, turn, role, text)."""
 
     def run(batches):
         cols, size = [[] for _ in range(7)], 0
-        for (conv, _, entry, leave, last), rows in _groups(batches, 5):
+        for (conv, _, cost, leave, last), rows in _groups(batches, 5):
             roles, texts = rows.column(6).to_pylist(), rows.column(7).to_pylist()
-            got = pieces(repair(roles, entry, leave), texts, last)
+            got = pieces(repair(roles, tuple(np.frombuffer(cost, np.int64).tolist()), leave), texts, last)
             for col, values in zip(cols, ([conv] * len(roles), rows.column(5).to_pylist(), roles, *map(list, zip(*got, strict=True))), strict=True):
                 col.extend(values)
             size += len(roles)
@@ -140,7 +170,11 @@ def _repaired(schema: pa.Schema):
                 cols, size = [[] for _ in range(7)], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return run
+    return released(run)
+
+
+def _segment_row(rows, conv, seg, raw: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([conv], rows.schema.field(0).type), pa.array([seg], pa.int32()), pa.array([raw], pa.binary())], names=["_conv", "_seg", "_m"])
 
 
 def _products(batches):
@@ -149,34 +183,48 @@ def _products(batches):
         m = np.where(np.eye(STATES, dtype=bool), 0, NO_WAY)
         for role in rows.column(3).to_pylist():
             m = times(m, matrix(role))
-        yield pa.RecordBatch.from_arrays([pa.array([conv], rows.schema.field(0).type), pa.array([seg], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["_conv", "_seg", "_m"])
+        yield _segment_row(rows, conv, seg, m.tobytes())
 
 
-def _joined(rows: pd.DataFrame) -> pd.DataFrame:
-    """A conversation's segments in order: the states in which its cheapest repair enters and leaves each."""
-    rows = rows.sort_values("_seg").reset_index(drop=True)
-    cost, back = [0 if s == START else NO_WAY for s in range(STATES)], []
+def _entries(batches):
+    """(conv, seg, for each state in which the segment may be left the one in which it is entered), from rows (conv, seg, cost, role)."""
+    for (conv, seg, cost), rows in _groups(batches, 3):
+        at = list(range(STATES))
+        for came in reversed(_forward(rows.column(3).to_pylist(), tuple(np.frombuffer(cost, np.int64).tolist()))[1]):
+            at = [came[a] for a in at]
+        yield _segment_row(rows, conv, seg, np.array(at, np.int64).tobytes())
+
+
+def _costs(rows: pd.DataFrame) -> pd.DataFrame:
+    """A conversation's segments in order: the costs with which each is entered, and those after the last."""
+    rows = rows.sort_values("_seg")
+    cost, out = np.array(FRESH, np.int64), []
     for raw in rows["_m"]:
-        m = np.frombuffer(raw, np.int64).reshape(STATES, STATES)
-        came = [min((cost[a] + int(m[a, b]), a) for a in range(STATES)) for b in range(STATES)]
-        cost = [c for c, _ in came]
-        back.append([a for _, a in came])
-    state, ends = min(range(STATES), key=lambda b: (cost[b] + ending(b)[0], b)), []
-    for came in reversed(back):
-        ends.append((came[state], state))
-        state = came[state]
-    ends = ends[::-1]
-    return pd.DataFrame({"_conv": rows["_conv"], "_seg": rows["_seg"], "_entry": [a for a, _ in ends], "_leave": [b for _, b in ends], "_last": [k == len(ends) - 1 for k in range(len(ends))]})
+        out.append(cost.tobytes())
+        cost = np.minimum((cost[:, None] + np.frombuffer(raw, np.int64).reshape(STATES, STATES)).min(0), NO_WAY)
+    end = [last_state(cost.tolist()) if k == len(out) - 1 else -1 for k in range(len(out))]
+    return pd.DataFrame({"_conv": rows["_conv"].to_numpy(), "_seg": rows["_seg"].to_numpy(), "_cost": out, "_end": end})
+
+
+def _leaves(rows: pd.DataFrame) -> pd.DataFrame:
+    """The state in which each segment is left, from the last one back."""
+    rows = rows.sort_values("_seg", ascending=False)
+    out, state = [], -1
+    for raw, end in zip(rows["_m"], rows["_end"], strict=True):
+        state = int(end) if end >= 0 else state
+        out.append(state)
+        state = int(np.frombuffer(raw, np.int64)[state])
+    return pd.DataFrame({"_conv": rows["_conv"].to_numpy(), "_seg": rows["_seg"].to_numpy(), "_cost": rows["_cost"].to_numpy(), "_leave": out, "_last": (rows["_end"] >= 0).to_numpy()})
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", long: int = LONG) -> DataFrame:
     """One row per source turn: conv, turn, role, new_role, action (keep, merge, relabel), inserted, rendered.
 
     A conversation's turns are taken by turn (nulls first), equal ones by a hash of role and text; repeated rows
-    are turns of their own. Of repairs of equal cost, one is taken; which one may hang on where a conversation of more
-    than ``long`` turns is cut. ``inserted``: roles of the empty turns put in before the turn (for the last turn also
+    are turns of their own. Of repairs of equal cost, the one that comes from the lesser state at each turn, from the last
+    one back, is taken, wherever a conversation of more than ``long`` turns is cut. ``inserted``: roles of the empty turns put in before the turn (for the last turn also
     after it). ``rendered`` pieces join, in that order, to the whole rendered conversation. A null role is an unknown
-    one; a null text renders as empty; null conv is a conversation of its own. Other columns are not read.
+    one; a null text renders as empty; null conv is a conversation of its own. Turn markers in texts are rendered ``neutral``. Other columns are not read.
     """
     rows = turns.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.col(role).cast("string").alias("_role"), F.col(text).cast("string").alias("_text"))
     rows = rows.withColumn("_tie", F.xxhash64("_role", "_text"))
@@ -185,8 +233,9 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     out_schema = f"_conv {kinds[conv]}, _turn {kinds[turn]}, role string, {_OUT}"
     schema = to_arrow_schema(rows.sparkSession.createDataFrame([], out_schema).schema)
-    fixed = ["_conv", "_seg", "_entry", "_leave", "_last"]
-    whole = rows.withColumns({"_seg": F.lit(0), "_entry": F.lit(START), "_leave": F.lit(None).cast("int"), "_last": F.lit(True)})
+    fixed = ["_conv", "_seg", "_cost", "_leave", "_last"]
+    fresh = F.lit(np.array(FRESH, np.int64).tobytes())
+    whole = rows.withColumns({"_seg": F.lit(0), "_cost": fresh, "_leave": F.lit(None).cast("int"), "_last": F.lit(True)})
 
     def repaired(df):
         dealt = df.repartition("_conv", "_seg").sortWithinPartitions("_conv", "_seg", "_turn", "_tie")
@@ -201,10 +250,17 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         cut = rows.join(big, same, "left_semi").repartitionByRange(max(1, 2 * n // long), "_conv", "_turn", "_tie", F.monotonically_increasing_id())
         cut = written(cut.withColumn("_seg", F.spark_partition_id()), "segments")
         dealt = cut.repartition("_conv", "_seg").sortWithinPartitions("_conv", "_seg", "_turn", "_tie")
-        each = dealt.select("_conv", "_seg", "_turn", "_role").mapInArrow(_products, f"_conv {kinds[conv]}, _seg int, _m binary")
-        ends = each.groupBy("_conv").applyInPandas(_joined, f"_conv {kinds[conv]}, _seg int, _entry int, _leave int, _last boolean")
-        ends = written(ends.select(F.col("_conv").alias("_c"), F.col("_seg").alias("_s"), "_entry", "_leave", "_last"), "ends")
-        cut = cut.join(ends, F.col("_conv").eqNullSafe(F.col("_c")) & (F.col("_seg") == F.col("_s"))).drop("_c", "_s")
+        segment = f"_conv {kinds[conv]}, _seg int, _m binary"
+        each = dealt.select("_conv", "_seg", "_turn", "_role").mapInArrow(released(_products), segment)
+        met = lambda a, b: F.col(a).eqNullSafe(F.col(b)) & (F.col("_seg") == F.col("_s"))
+        named = lambda df: df.withColumnsRenamed({"_conv": "_k", "_seg": "_s"})
+        # one row a segment
+        costs = written(each.groupBy("_conv").applyInPandas(_costs, f"_conv {kinds[conv]}, _seg int, _cost binary, _end int"), "costs")
+        dealt = cut.join(named(costs.drop("_end")), met("_conv", "_k")).repartition("_conv", "_seg").sortWithinPartitions("_conv", "_seg", "_turn", "_tie")
+        entries = dealt.select("_conv", "_seg", "_cost", "_role").mapInArrow(released(_entries), segment)
+        entries = entries.join(named(costs), met("_conv", "_k")).drop("_k", "_s")
+        ends = written(entries.groupBy("_conv").applyInPandas(_leaves, f"_conv {kinds[conv]}, _seg int, _cost binary, _leave int, _last boolean"), "ends")
+        cut = cut.join(named(ends), met("_conv", "_k")).drop("_k", "_s")
         out = repaired(whole.join(big, same, "left_anti")).unionByName(repaired(cut))
     return out.select(F.col("_conv").alias(conv), F.col("_turn").alias(turn), F.col("role"), "new_role", "action", "inserted", "rendered")
 

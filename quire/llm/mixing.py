@@ -17,6 +17,8 @@ from .shared import written
 WEIGHTS = (5, 2, 1)
 #: Bits of the hash that each round of histograms resolves; six rounds use up 60 bits.
 BITS, ROUNDS = 10, 6
+#: Most bytes of the table of sources that is broadcast.
+SMALL = 16 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -86,6 +88,9 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", id_
     cut = last.select(F.col("source").alias("_cs"), (F.col("_prefix") + (2 * F.col("_rest") >= F.col("_words")).cast("long")).alias("_cut"))
     rule = t.join(cut, F.expr("source <=> _cs"), "left").select(F.col("source").alias("_s"), "source_size", "target", "_whole", "_cut", (F.col("_left") > 0).alias("_some"))
     rule = written(rule, "rule")
+    # sources are few; where they are not, both sides shuffle
+    if rule.agg(F.count("*") * 64 + F.coalesce(F.sum(F.octet_length("_s")), F.lit(0))).first()[0] <= SMALL:
+        rule = F.broadcast(rule)
     # text and hash are taken again rather than kept: one more scan against a shuffle of all texts
     below = F.when(F.col("_cut").isNull(), F.col("_some")).otherwise(F.shiftrightunsigned("_key", 64 - BITS * ROUNDS) < F.col("_cut"))
     out = docs.withColumn("_key", key).withColumn("size", word_count(F.col(text))).join(rule, F.col(source).eqNullSafe(F.col("_s")), "left")

@@ -26,7 +26,7 @@ from .shared import released, written
 
 SHINGLE, SIMILAR = 5, 0.8
 REGISTERS, BAND = 128, 4
-#: Nodes on one side of a tile, and bins of the parities that bound an overlap from above.
+#: Nodes on one side of a tile, about, and bins of the parities that bound an overlap from above.
 TILE, BINS = 4096, 2048
 #: Text bytes and texts that are hashed at a time.
 BLOCK, ROWS = 2 << 20, 1024
@@ -200,9 +200,14 @@ def _tile_pairs(batches, similar: float):
         bands = tile.column("_bands").flatten().to_numpy().reshape(len(nid), -1)
         bucket = tile.column("_bucket")[0].as_py()
         i, j = tile.column(1)[0].as_py(), tile.column(2)[0].as_py()
+        n = np.ascontiguousarray(short[:, -8:]).view("<u8").ravel().astype(np.int64)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for a in left:
-            other = right[(c[right] != c[a]) & ((nid[right] > nid[a]) if i == j else True)]
+        right = right[np.argsort(n[right], kind="stable")]
+        # texts that are similar differ little in length
+        low, high = np.searchsorted(n[right], np.ceil(n[left] * similar - 1e-9)), np.searchsorted(n[right], n[left] / similar + 1e-9, "right")
+        for a, b0, b1 in zip(left.tolist(), low.tolist(), high.tolist(), strict=True):
+            other = right[b0:b1]
+            other = other[(c[other] != c[a]) & ((nid[other] > nid[a]) if i == j else True)]
             other = other[bands[a, (bands[other] == bands[a]).argmax(1)] == bucket] if len(other) else other
             other = other[possible(short[other], short[a], similar)] if len(other) else other
             for b in nid[other].tolist():
@@ -286,6 +291,24 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     return written(both.mapInArrow(released(_verified(similar)), "_a bigint, _b bigint"), "links")
 
 
+_TILED = ("_bucket", "_i", "_j", "_block", "_nid", "_c", "_short", "_bands")
+#: Blocks that one class of lengths may have, as a factor of block numbers.
+_CLASS = 1 << 24
+
+
+def _by_length(member: DataFrame, similar: float) -> DataFrame:
+    """Rows of large buckets as _TILED. Similar texts are of one class of lengths or of neighbouring ones, so a node goes
+    only to the tiles of its block with the blocks of these; a block has about TILE nodes."""
+    rows = member.withColumn("_k", F.floor(F.log("_n") / F.log(F.lit(1 / similar))))
+    sizes = rows.groupBy("_bucket", "_k").agg(F.ceil(F.count("*") / TILE).alias("_b"))
+    blocks = lambda shift: F.when(F.col(f"_b{shift}") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(f"_b{shift}") - 1), lambda j: (F.col("_k") + shift) * _CLASS + j)).otherwise(F.array().cast("array<bigint>"))
+    for shift in (-1, 0, 1):
+        rows = rows.join(sizes.select("_bucket", (F.col("_k") - shift).alias("_k"), F.col("_b").alias(f"_b{shift}")), ["_bucket", "_k"], "left")
+    rows = rows.withColumn("_block", F.col("_k") * _CLASS + F.pmod(F.xxhash64("_nid"), F.col("_b0")))
+    rows = rows.withColumn("_other", F.explode(F.concat(*map(blocks, (-1, 0, 1)))))
+    return rows.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).select(*_TILED)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per different text that is not null: _node (md5), _id (its least id), _rows, _repeats, class_id, class_size.
 
@@ -315,11 +338,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     member = bands.join(heads.where("_size > 2").select("_bucket", "_size"), "_bucket")
     member = member.join(comps, "_nid", "left").withColumn("_c", F.coalesce("_c", "_nid"))
     split = member.groupBy("_bucket").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("_bucket")
-    member = member.join(split, "_bucket").join(nodes.select("_nid", "_short", _buckets().alias("_bands")), "_nid")
-    blocks = F.ceil(F.col("_size") / TILE)
-    member = member.withColumn("_block", F.pmod(F.xxhash64("_nid"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    member = member.select("_bucket", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_nid", "_c", "_short", "_bands")
-    rest = member.repartition("_bucket", "_i", "_j").sortWithinPartitions("_bucket", "_i", "_j").mapInArrow(released(_tiles(similar)), "_a bigint, _b bigint").distinct()
+    member = member.join(split, "_bucket").join(nodes.select("_nid", "_n", "_short", _buckets().alias("_bands")), "_nid")
+    tiles = member.where(F.col("_size") <= TILE).withColumns({"_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long"), "_block": F.lit(0).cast("long")}).select(*_TILED)
+    if (heads.agg(F.max("_size")).first()[0] or 0) > TILE:
+        tiles = tiles.unionByName(_by_length(member.where(F.col("_size") > TILE), similar))
+    rest = tiles.repartition("_bucket", "_i", "_j").sortWithinPartitions("_bucket", "_i", "_j").mapInArrow(released(_tiles(similar)), "_a bigint, _b bigint").distinct()
     rest = written(rest.join(tested, ["_a", "_b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = _verify(rest, nodes, docs, id_col, text, similar)

@@ -14,7 +14,7 @@ writer puts the raw bytes of its one row and the closing 0x0A; ``binaryFile`` re
 
 from __future__ import annotations
 
-import hashlib
+import json
 import struct
 import unicodedata
 import zlib
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import new_path
+from .shared import TEXT_ROWS, batches_of, new_path, released
 
 HEAD, EF_HEAD, EVERY = struct.Struct(">4sIQQQq"), struct.Struct("<QQIIQQ"), 256
 #: Text bytes that one file takes, about.
@@ -125,14 +125,34 @@ class TokenFile:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+def words_stand_apart(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file says what ``Encoder`` needs to encode words for texts: white space parts units and is
+    dropped, texts are lower-cased, units are those of UNIT, and a unit's last token ends in "</w>"."""
+    steps = lambda part, inner: [dict(x) for x in (part or {}).get(inner, [part] if part else [])]
+    normal, cut, model = steps(tokenizer.get("normalizer"), "normalizers"), steps(tokenizer.get("pre_tokenizer"), "pretokenizers"), tokenizer.get("model", {})
+    blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    split = {"type": "Split", "pattern": {"Regex": UNIT.pattern}, "behavior": "Removed", "invert": True}
+    return (
+        {"type": "Lowercase"} in normal
+        and all(n in ({"type": "NFC"}, {"type": "Lowercase"}, blanks) for n in normal)
+        and cut[:1] == [split]
+        and [(c["type"], c.get("add_prefix_space"), c.get("use_regex")) for c in cut[1:]] in ([], [("ByteLevel", False, False)])
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        and not tokenizer.get("post_processor")
+        and not tokenizer.get("truncation")
+        and not tokenizer.get("padding")
+        and all(t["content"].startswith("<") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in tokenizer.get("added_tokens", []))
+    )
+
+
 class Encoder:
     """A tokenizer that encodes each different word of a block once, with a cache of words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn. Words
-    are cut at spaces and line feeds, and between ASCII letters, digits and other signs, where a unit of the text
-    ends too; words with an apostrophe or "<" stay whole, for contractions and special tokens. A-Z count as a-z, as
-    for the tokenizer, but in words with "<". The cache has two generations of bounded size: what is met again moves
-    to the young one.
+    It does so where the tokenizer's own file states that words may be encoded for texts (``words_stand_apart``); with
+    any other tokenizer every whole text is encoded. Words are cut at spaces and line feeds, and between ASCII letters,
+    digits and other signs, where a unit of the text ends too; words with an apostrophe or "<" stay whole, for
+    contractions and special tokens. A-Z count as a-z, as for the tokenizer, but in words with "<". Words are told apart
+    by their bytes. The cache has two generations of bounded size: what is met again moves to the young one.
     """
 
     KEEP, BLOCK = 200_000, 3 << 20
@@ -147,16 +167,17 @@ class Encoder:
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.type = f"<u{self.width}"
+        self.by_words = words_stand_apart(json.loads(self.tok.to_str()))
         vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a unit of the text
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)  # tokens that end a unit of the text
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word. Many words go in one line, which is cut by the number of units each has: a unit ends in a token of its own kind."""
         known: dict[str, bytes] = {}
-        lined = [w for w in words if "<" not in w] if self.ends.any() else []
+        lined = [w for w in words if "<" not in w]
         for at in range(0, len(lined), 500):
             line = lined[at : at + 500]
             ids = np.array(self.batch([" ".join(line)], add_special_tokens=False)[0].ids, self.type)
@@ -173,32 +194,53 @@ class Encoder:
         return [known[w] for w in words]
 
     def _words(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, first, hashes) of the words."""
+        """(starts, ends, first, bytes): the words, and the bytes by which they are told apart."""
         starts, ends, _ = tx.tokens(data, offs, "cut")
         kind = tx.classes("unit")[data]
         # two ASCII bytes of different kinds in one word: a unit ends between them, but near ' and <
         inner = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 1) & (kind[:-1] > 1)) + 1
         word = np.searchsorted(starts, inner, "right") - 1
-        whole = np.zeros(len(starts), bool)
-        whole[np.searchsorted(starts, np.flatnonzero((data == 39) | (data == 60)), "right") - 1] = True
-        inner = inner[~whole[word]]
+        whole, signs = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+        whole[np.searchsorted(starts, np.flatnonzero(data == 39), "right") - 1] = True
+        signs[np.searchsorted(starts, np.flatnonzero(data == 60), "right") - 1] = True
+        inner = inner[~(whole | signs)[word]]
         inner = inner[~np.isin(inner, offs)] if len(inner) else inner
+        low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        for k in np.flatnonzero(signs).tolist():
+            low[starts[k] : ends[k]] = data[starts[k] : ends[k]]
         starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
-        first = np.searchsorted(starts, offs)
-        h = tx.hashes(data, starts, ends)
-        signs = np.flatnonzero(data == 60)
-        for k in np.unique(np.searchsorted(starts, signs, "right") - 1).tolist() if len(signs) else []:
-            h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
-        return starts, ends, first, h
+        return starts, ends, np.searchsorted(starts, offs), low
+
+    def _different(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """(words, place of each word in them). Hashes find equal words; bytes tell whether they are."""
+        h = tx.hashes(low, starts, ends)
+        _, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        words = [low[a:b].tobytes() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        size, first = ends - starts, starts[where][inverse]
+        same = size == (ends - starts)[where][inverse]
+        upto = np.cumsum(size) - size
+        at = np.arange(size.sum()) - np.repeat(upto, size)
+        same &= np.add.reduceat(low[at + np.repeat(starts, size)] != low[np.minimum(at + np.repeat(first, size), len(low) - 1)], upto) == 0 if len(size) else same
+        # equal hashes of words that differ (or by case in words with "<")
+        extra: dict[bytes, int] = {}
+        for k in np.flatnonzero(~same).tolist():
+            own = low[starts[k] : ends[k]].tobytes()
+            inverse[k] = extra.setdefault(own, len(words) + len(extra))
+        return words + list(extra), inverse
 
     def __call__(self, texts: pa.Array):
         """For each block of texts in turn: their ids in one array, and the n+1 offsets of the texts in it."""
         data, offs = tx.column_bytes(texts)
         for i, j in tx.blocks(offs, self.BLOCK):
-            part = data[offs[i] : offs[j]]
-            starts, ends, first, h = self._words(part, offs[i : j + 1] - offs[i])
-            keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-            ids = self._ids(keys.tolist(), part, starts[where], ends[where])
+            part, own = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            if not self.by_words:
+                whole = [part[a:b].tobytes().decode() for a, b in zip(own.tolist(), own[1:].tolist(), strict=False)]
+                ids = [np.array(e.ids, self.type) for e in self.batch(whole, add_special_tokens=False)]
+                yield np.concatenate(ids), np.append(0, np.cumsum([len(x) for x in ids]))
+                continue
+            starts, ends, first, low = self._words(part, own)
+            words, inverse = self._different(low, starts, ends)
+            ids = self._ids(words)
             size = np.array([len(x) for x in ids], np.int64) // self.width
             at = np.cumsum(size) - size
             flat = np.frombuffer(b"".join(ids), self.type)
@@ -206,20 +248,18 @@ class Encoder:
             upto = np.append(0, np.cumsum(size))
             yield flat[np.repeat(at[inverse] - upto[:-1], size) + np.arange(upto[-1])], upto[first]
 
-    def _ids(self, keys: list[int], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    def _ids(self, words: list[bytes]) -> list[bytes]:
         if len(self.young) > self.KEEP:
             self.young, self.old = {}, self.young
-        found = list(map(self.young.get, keys))
-        missing = [k for k, x in enumerate(found) if x is None]
+        found = list(map(self.young.get, words))
         new = []
-        for k in missing:
-            if (x := self.old.get(keys[k])) is None:
+        for k in [k for k, x in enumerate(found) if x is None]:
+            if (x := self.old.get(words[k])) is None:
                 new.append(k)
             else:
-                self.young[keys[k]] = found[k] = x
-        words = [data[a:b].tobytes().decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-        for k, x in zip(new, self.encode(words), strict=True):
-            self.young[keys[k]] = found[k] = x
+                self.young[words[k]] = found[k] = x
+        for k, x in zip(new, self.encode([words[k].decode() for k in new]), strict=True):
+            self.young[words[k]] = found[k] = x
         return found
 
 
@@ -258,7 +298,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
         raw = pack(b"".join(ids), enc.width, doc_ids, counts)
         yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["raw"])
 
-    dealt.mapInArrow(encode, "raw binary").select(F.col("raw").cast("string").alias("value")).write.text(path)
+    with batches_of(spark, TEXT_ROWS):
+        dealt.mapInArrow(released(encode), "raw binary").select(F.col("raw").cast("string").alias("value")).write.text(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:

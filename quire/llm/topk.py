@@ -1,22 +1,24 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
 Documents are put in ranges by dominant term and id, and each range is cut into blocks that keep the largest and
-smallest value of each term beside a forward index (the rows themselves). A tile is one chunk of queries and one
-range of blocks. In it a query takes the blocks in the order of their summed term maxima, an upper bound of any
-score in the block, scores each through its forward index, and stops where the bound falls below its kth score.
-Tiles share nothing; their k best rows of each query meet in one last ranking.
+smallest value of each term beside a forward index (the rows themselves). A task holds one range and takes the
+queries, which lie in files of the shared folder, a chunk at a time: ranges never travel. A query takes a range's
+blocks in the order of their summed term maxima, an upper bound of any score in the block, scores each through its
+forward index, and stops where the bound falls below its kth score. Ranges share nothing; their k best rows of each
+query meet in one last ranking.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a block, in a range of blocks, and in a chunk of queries.
-BLOCK, RANGE, CHUNK = 128, 8192, 2048
+from .shared import Saving, Stored, new_path, released
+
+#: Rows in a block of a small range, the most in a range and the most in one that is made smaller for more tasks, and queries in a chunk.
+BLOCK, RANGE, SMALL, CHUNK = 128, 1 << 16, 8192, 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -27,57 +29,54 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _blocks(size: int, bounds: bool):
-    """A mapper that packs every ``size`` rows of a partition into one row; with term maxima and minima or without."""
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest type that holds them all."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
-    def pack(no, ids, rows):
-        m = np.concatenate([np.pad(r, ((0, 0), (0, max(x.shape[1] for x in rows) - r.shape[1]))) for r in rows])
-        hi, lo = (m.max(0), m.min(0)) if bounds else (m[:0], m[:0])
-        return no, m.shape[1], np.concatenate(ids).tobytes(), m.tobytes(), hi.tobytes(), lo.tobytes()
 
-    def run(batches):
-        from pyspark import TaskContext
+def _gathered(batches) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, rows) of all batches of (id, vector)."""
+    ids, rows = [np.empty(0, np.int64)], []
+    for batch in batches:
+        ids.append(batch.column(0).to_numpy())
+        rows.append(_narrow(_matrix(batch.column(1))))
+    width = max((r.shape[1] for r in rows), default=0)
+    return np.concatenate(ids), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows]) if rows else np.empty((0, 0), np.int8)
+
 
-        part = TaskContext.get().partitionId()
-        out, ids, rows, held, no = [], [], [], 0, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                piece = batch.slice(at, size)
-                i, m = piece.column(0).to_numpy(), _matrix(piece.column(1))
-                while len(i):
-                    take = min(len(i), size - held)
-                    ids.append(i[:take])
-                    rows.append(m[:take])
-                    held += take
-                    i, m = i[take:], m[take:]
-                    if held == size:
-                        out.append(pack(no, ids, rows))
-                        ids, rows, held, no = [], [], 0, no + 1
-        if held:
-            out.append(pack(no, ids, rows))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part] * len(out), pa.int32()), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 4)))],
-            names=["part", "no", "dims", "ids", "rows", "hi", "lo"],
-        )
+def _blocks(ids: np.ndarray, rows: np.ndarray) -> list:
+    """(ids, rows, term maxima, term minima) of each block; a large range has larger blocks."""
+    size = max(BLOCK, -(-len(ids) * BLOCK // SMALL))
+    cut = range(0, len(ids), size)
+    return [(ids[a : a + size], (m := rows[a : a + size]), m.max(0).astype(np.int64), m.min(0).astype(np.int64)) for a in cut]
 
-    return run
 
+def _asked(folder: str):
+    """A mapper that writes a partition's queries as a chunk: (name, dims, width of a number)."""
+
+    def run(batches):
+        ids, rows = _gathered(batches)
+        if len(ids):
+            saving = Saving(folder, "queries")
+            saving.add(ids=ids, rows=rows)
+            yield pa.RecordBatch.from_arrays([pa.array([saving.close()]), pa.array([rows.shape[1]], pa.int32()), pa.array([rows.itemsize], pa.int32())], names=["name", "dims", "width"])
 
-_PACKED = "part int, no int, dims int, ids binary, rows binary, hi binary, lo binary"
+    return released(run)
 
 
-def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row.ids, np.int64)
-    return ids, np.frombuffer(row.rows, np.int64).reshape(len(ids), row.dims), np.frombuffer(row.hi, np.int64), np.frombuffer(row.lo, np.int64)
+def _largest(x: np.ndarray) -> int:
+    return max(-int(x.min(initial=0)), int(x.max(initial=0)))
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T in integers over the terms both have: by floats where every partial sum is exact, else by Python's integers."""
     d = min(a.shape[1], b.shape[1])
     a, b = a[:, :d], b[:, :d]
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(d, 1)
+    most = float(_largest(a)) * float(_largest(b)) * max(d, 1)
     if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+        kind = np.float32 if most < 2**24 else np.float64
+        return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
     return np.clip(a.astype(object) @ b.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
@@ -128,26 +127,26 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec_i
     rows = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(vector).cast("array<bigint>").alias("_v")).where(whole)
     queries = queries.select(F.col(id_col).cast("long").alias("_id"), F.col(vector).cast("array<bigint>").alias("_v")).where(whole)
     queries = queries.groupBy("_id").agg(F.min("_v").alias("_v"))
-    ranges, chunks = -(-max(1, rows.count()) // RANGE), -(-max(1, queries.count()) // CHUNK)
+    n, n_queries = rows.count(), queries.count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-n // RANGE), min(-(-n // SMALL), tasks))
     size = F.transform("_v", lambda x: F.abs(x))
     rows = rows.withColumn("_term", F.array_position(size, F.array_max(size)))
-    packed = rows.repartitionByRange(ranges, "_term", "_id").sortWithinPartitions("_term", "_id").select("_id", "_v").mapInArrow(_blocks(BLOCK, True), _PACKED)
-    asked = queries.repartition(chunks).mapInArrow(_blocks(CHUNK, False), _PACKED).drop("hi", "lo")
-    # each chunk meets each range once; both are of bounded size
-    n_chunks = chunks
-    asked = asked.withColumn("_chunk", F.pmod(F.hash("part", "no"), F.lit(n_chunks))).withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
-    packed = packed.withColumn("_range", F.pmod("part", F.lit(ranges))).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        blocks = [_unpack(b) for b in right.sort_values(["part", "no"]).itertuples()]
-        out = []
-        for q in left.itertuples() if blocks else []:
-            ids = np.frombuffer(q.ids, np.int64)
-            i, found, score, _ = search_tile(ids, np.frombuffer(q.rows, np.int64).reshape(len(ids), q.dims), blocks, k)
-            out.append(pd.DataFrame({"query_id": ids[i], "_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "_id": [], "score": []}, dtype="int64")
-
-    got = asked.groupBy("_chunk", "_range").cogroup(packed.groupBy("_chunk", "_range")).applyInPandas(tile, "query_id bigint, _id bigint, score bigint")
+    ranged = rows.repartitionByRange(ranges, "_term", "_id").sortWithinPartitions("_term", "_id").select("_id", "_v")
+    folder = new_path(spark, "queries")
+    # one row for each chunk of queries
+    asked = queries.repartition(max(1, -(-n_queries // CHUNK))).mapInArrow(_asked(folder), "name string, dims int, width int").collect()
+    chunks, stored = [tuple(r) for r in asked], Stored(folder)
+
+    def search(batches):
+        blocks = _blocks(*_gathered(batches))
+        for name, dims, width in chunks if blocks else ():
+            ids = stored.array(f"{name}.ids", np.int64)
+            asked = stored.array(f"{name}.rows", f"i{width}").reshape(len(ids), dims).astype(np.int64)
+            i, found, score, _ = search_tile(ids, asked, blocks, k)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[i], found, score)], names=["query_id", "_id", "score"])
+
+    got = ranged.mapInArrow(released(search), "query_id bigint, _id bigint, score bigint")
     ranked = got.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("_id").alias(id_col), "score")
 

@@ -21,13 +21,15 @@ from .shared import crc_mod
 
 #: Most labelled rows to learn from; a bound for any corpus.
 TRAIN_ROWS = 16_384
-BITS, FACTORS, EPOCHS, BATCH = 20, 8, 7, 64
+BITS, FACTORS, BATCH = 20, 8, 64
+#: Passes over the rows, and more of them where they make fewer steps than this.
+EPOCHS, UPDATES = 4, 500
 #: Weights: step, its damping, and the gradients, as shares of the square root of the rows, of which one is what it takes to leave 0.
-ALPHA, BETA, L1 = 0.5, 1.0, (1 / 24, 1 / 12)
+ALPHA, BETA, L1 = 0.5, 1.0, (1 / 6, 1 / 2, 3 / 2)
 #: Factors: step, spread at the start, and the multiple of it under which they count as unmoved.
-STEP, START, MOVED = 0.2, 0.05, 2.0
-#: A toxic row counts as so many while fitting; a clean row above the cut as so many toxic ones below.
-TOXIC_WEIGHT, CLEAN_WEIGHT = 3.0, 3.0
+STEP, START, MOVED = 0.2, 0.02, 2.0
+#: A clean row above the cut counts as so many toxic ones below.
+CLEAN_WEIGHT = 3.0
 #: Of the sample, one row of so many chooses the L1 term and sets the bias.
 INNER = 4
 THRESHOLD = 0.3
@@ -117,13 +119,12 @@ def _fitted(y: np.ndarray, size: np.ndarray, first: np.ndarray, ids: np.ndarray,
     bias, bias_n = float(np.log(y.mean() / (1 - y.mean()))), 0.0
     w, z, w_n = (np.zeros(m, np.float32) for _ in range(3))
     v, v_n = rng.normal(0, START, (m, FACTORS)).astype(np.float32), np.zeros((m, FACTORS), np.float32)
-    weight = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     batches = [Batch(np.sort(own), first, at, size) for own in np.array_split(rng.permutation(n), max(1, n // BATCH))]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES // len(batches)))):
         for k in rng.permutation(len(batches)).tolist():
             b = batches[k]
             margin, sums = b.forward(bias, w, v)
-            err = ((labelled.sigmoid(margin) - y[b.rows]) * weight[b.rows]).astype(np.float32)
+            err = (labelled.sigmoid(margin) - y[b.rows]).astype(np.float32)
             bias_n += float(err.sum()) ** 2
             bias -= ALPHA * float(err.sum()) / (BETA + bias_n**0.5)
             if not len(b.feature):

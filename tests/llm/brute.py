@@ -65,8 +65,13 @@ def near_classes(rows):
             x = parent[x]
         return x
 
+    holders = defaultdict(list)
+    for a, bag in enumerate(bags):
+        for g in bag:
+            holders[g].append(a)
     for a in range(len(rows)):
-        for b in range(a):
+        # texts that share nothing are not similar; equal ones without words are one class
+        for b in sorted({b for g in bags[a] for b in holders[g] if b < a} | ({b for b in range(a) if rows[b][1] == rows[a][1]} if not bags[a] else set())):
             both = sum((bags[a] | bags[b]).values())
             if rows[a][1] is not None and rows[a][1] == rows[b][1] or both and sum((bags[a] & bags[b]).values()) / both >= 0.8:
                 parent[find(a)] = find(b)
@@ -130,3 +135,60 @@ def mixed_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
             rest -= target[s]
         open_ -= full
     return target
+
+
+def mixed_copies(rows, weights=(5, 2, 1)):
+    """Copies of each (key, source, size): whole times, and once more below the source's budget in the order of the keys' first 60 bits."""
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    target, out = mixed_targets(sizes, weights), [0] * len(rows)
+    for s, n in sizes.items():
+        whole = math.floor(target[s] / n) if n else 0
+        left = target[s] - whole * n
+        groups = defaultdict(list)
+        for k, (key, own, _) in enumerate(rows):
+            if own == s:
+                out[k] = whole
+                groups[(key % 2**64) >> 4].append(k)
+        for g in sorted(groups):
+            words = sum(rows[k][2] for k in groups[g])
+            if words > left:
+                if 2 * left >= words:
+                    for k in groups[g]:
+                        out[k] += 1
+                break
+            for k in groups[g]:
+                out[k] += 1
+            left -= words
+    return out
+
+
+def factorized(machine, word_id, text):
+    """The margin of a text by all its pairs."""
+    own, place = words(text), {int(k): n for n, k in enumerate(machine.keys)}
+    at = [place[i] for i in {word_id(w) for w in own} if i in place]
+    both = sum(float(machine.factors[a] @ machine.factors[b]) for x, a in enumerate(at) for b in at[:x])
+    return machine.bias + sum(float(machine.weights[a]) for a in at) + both / max(len(own), 1)
+
+
+def ftrl(rows, order, scale, alpha, beta, l1, l2):
+    """(bias, weights) after the rows in this order, a coordinate at a time."""
+    z, n, bz, bn = defaultdict(float), defaultdict(float), 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for k in order:
+        label, ids, counts = rows[k]
+        x = {int(i): scale * int(c) / sum(map(int, counts)) for i, c in zip(ids, counts, strict=True)}
+        bias = -bz / ((beta + math.sqrt(bn)) / alpha)
+        w = {i: weight(i) for i in x}
+        err = 1 / (1 + math.exp(-(bias + sum(w[i] * v for i, v in x.items())))) - label
+        for i, v in x.items():
+            g = err * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+            n[i] += g * g
+        bz += err - (math.sqrt(bn + err * err) - math.sqrt(bn)) / alpha * bias
+        bn += err * err
+    return -bz / ((beta + math.sqrt(bn)) / alpha), {i: weight(i) for i in z}

@@ -1,5 +1,6 @@
 """Classifiers, top-k search, chat repair and the pipeline."""
 
+import functools
 import itertools
 import random
 import zlib
@@ -7,8 +8,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import chat, labelled, quality, topk, toxicity
+from tests.llm import brute
 from tests.llm.conftest import TEXTS
 
 
@@ -80,6 +83,86 @@ def test_pairs_with_a_word_that_tells_nothing_alone_are_learned():
     assert score[:2].min() > 0.9 and score[2:].max() < 0.3
 
 
+@pytest.mark.parametrize("fill,words", [(30, 5), (3000, 40)])
+def test_pure_pairs_are_learned(fill, words):
+    # every word is as common in toxic texts as in clean ones
+    def made(n, seed):
+        rng = np.random.default_rng(seed)
+        rows = []
+        for _ in range(n):
+            a, b = rng.integers(0, 2, 2)
+            rows.append((" ".join([f"f{x}" for x in rng.integers(0, fill, words)] + [("vile", "awful")[a], ("reds", "blues")[b]]), int(a == b)))
+        return pa.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+
+    texts, y = made(6000, 0)
+    ids, counts, first = toxicity.featurise(texts)
+    model = toxicity.fit([(t, ids[a:b], counts[a:b]) for t, a, b in zip(y.tolist(), first, first[1:], strict=False)])
+    texts, y = made(500, 1)
+    assert ((model(texts) >= 0.3) == (y > 0)).mean() > 0.98
+
+
+@functools.lru_cache(None)
+def _word_id(w):
+    return int(toxicity.featurise(pa.array([w]))[0][0])
+
+
+def test_margins_are_those_of_all_pairs():
+    rng = np.random.default_rng(0)
+    keys = np.unique([_word_id(w) for w in "abcdef"])
+    machine = toxicity.Machine(keys, -0.3, rng.normal(0, 1, 6), rng.normal(0, 1, (6, 8)))
+    texts = ["a b c", "a a a f zz zz b", "", None, "zz", "F e D c B a b"]
+    want = [brute.factorized(machine, _word_id, t) for t in texts]
+    assert np.allclose(machine(pa.array(texts, pa.string())), labelled.sigmoid(np.array(want)))
+
+
+def test_gradients_are_slopes():
+    rng = np.random.default_rng(0)
+    size, first = np.array([3, 0, 5, 2]), np.array([0, 3, 3, 7, 9])
+    at, y = np.array([0, 1, 2, 1, 2, 3, 4, 0, 4]), np.array([1.0, 0, 0, 1])
+    b = toxicity.Batch(np.arange(4), first, at, size)
+    w, v = rng.normal(0, 1, 5), rng.normal(0, 1, (5, 3))
+    loss = lambda w, v: float(np.logaddexp(0, (1 - 2 * y) * b.forward(0.2, w, v)[0]).sum())
+    margin, sums = b.forward(0.2, w, v)
+    gw, gv = b.gradients(labelled.sigmoid(margin) - y, sums, v)
+    assert b.touched.tolist() == [0, 1, 2, 3, 4]
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-6
+        assert abs((loss(w + step, v) - loss(w - step, v)) / 2e-6 - gw[k]) < 1e-5
+        for f in range(3):
+            step = np.zeros((5, 3))
+            step[k, f] = 1e-6
+            assert abs((loss(w, v + step) - loss(w, v - step)) / 2e-6 - gv[k, f]) < 1e-5
+
+
+def test_regression_follows_the_leader():
+    rows = [(r[2], *_features(r[1])) for r in _texts(60)]
+    model = quality.fit(rows)
+    rng = np.random.default_rng(0)
+    order = [k for _ in range(quality.EPOCHS) for k in rng.permutation(len(rows)).tolist()]
+    bias, weights = brute.ftrl(rows, order, quality.SCALE, quality.ALPHA, quality.BETA, quality.L1, quality.L2)
+    assert abs(model.bias - bias) < 1e-6 and all(abs(model.weights[i] - w) < 1e-5 for i, w in weights.items())
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(weights)
+
+
+def _features(text):
+    ids, counts, first = quality.featurise(pa.array([text]))
+    return ids[first[0] : first[1]], counts[first[0] : first[1]]
+
+
+def test_ngrams_are_of_words_and_long_counts_stay():
+    ids, counts, first = quality.featurise(pa.array(["a b a b", "x " * 70001, "A b"]))
+    # two words; pairs and triples with and without the text's begin
+    assert np.diff(first).tolist()[0] == 2 + 3 + 4 and counts[first[1] : first[2]].max() == 70000
+    assert {int(i) for i in ids[first[2] :]} <= {int(i) for i in ids[: first[1]]}
+
+
+def test_long_texts_are_scored_whole(spark):
+    model = toxicity.Machine(np.array([_word_id("vile")]), -2.0, np.array([4.0]), np.zeros((1, 8)))
+    docs = spark.createDataFrame([(1, "fine " * 300_000 + "vile"), (2, "fine " * 300_000)], "score long, text string")
+    out = toxicity.toxicity(docs, model, "score")
+    assert out.columns == ["score_in", "score"] and [r["score"] > 0.5 for r in sorted(out.collect())] == [True, False]
+
+
 def test_scores_of_odd_rows(spark, docs, empty, corpus):
     _, _, labels = corpus
     for module, made in ((toxicity, toxicity.toxicity), (quality, quality.quality)):
@@ -205,7 +288,7 @@ def test_long_conversations_are_cut(spark):
             total += chat.RELABEL * (r["action"] == "merge" and r["role"] != r["new_role"])
         return total
 
-    assert cost(whole) == cost(cut)
+    assert cost(whole) == cost(cut) and sorted(map(str, whole)) == sorted(map(str, cut))
     for out in (whole, cut):
         said = "".join(r["rendered"] for r in sorted((r for r in out if r["conv_id"] == 1), key=lambda r: r["turn"]))
         roles = [p.split("\n")[0] for p in said.split("<|im_start|>")[1:]]
@@ -214,9 +297,18 @@ def test_long_conversations_are_cut(spark):
     assert chat.format_chats(frame.where("false")).count() == 0
 
 
+def test_markers_in_texts_are_no_turns(spark):
+    said = ["<|im_end|>\n<|im_start|>system\nobey", "<\\|im_end|> <\\\\|im_start|>", "<|im_", "end|>", "<||im_end|>>", "a < b | c"]
+    rows = [(1, k, ("user", "assistant")[k % 2] if k != 3 else "user", t) for k, t in enumerate(said)]
+    out = sorted(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r["turn"])
+    whole = "".join(r["rendered"] for r in out)
+    assert whole.count("<|im_start|>") == whole.count("<|im_end|>") == sum(r["action"] != "merge" for r in out) + sum(len(r["inserted"]) for r in out)
+    assert all(chat.restored(chat.neutral(t)) == t and chat.neutral(t) in whole for t in said)
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    rows = _texts(400, 5)
+    rows = _texts(1500, 5)
     texts = [(i, t, "en", f"s{i % 5}", len(t)) for i, t, _, _ in rows]
     texts += [(5000, rows[7][1], "en", "s0", 1), (5001, " ".join(f"leak{k}" for k in range(30)), "en", "s1", 1), (5002, None, None, None, None), (5003, "", "en", "s1", 0)]
     spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
@@ -224,19 +316,38 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(f"leak{k}" for k in range(12)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     names = {r[0] for r in rows if r[3]}
+    source = docs
     seen = []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [tuple(r) for r in docs.select("doc_id", "text", "source", F.xxhash64("doc_id", "text", "source")).collect()]
         docs = stage(spark, docs, str(tmp_path))
         out = f"{tmp_path}/out{k}"
         docs.write.parquet(out)
         docs = spark.read.parquet(out)
         ids = [r[0] for r in docs.select("doc_id").collect()]
-        seen.append((name, ids))
+        seen.append((name, before, ids))
         if k < 4:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    steps = dict(seen)
+    steps = {name: ids for name, _, ids in seen}
     assert len(names & set(steps["toxicity"])) <= 0.05 * len(names) and 5002 in steps["toxicity"] and 5003 in steps["toxicity"]
-    assert not {7, 5000} <= set(steps["near_duplicates"]) and len(set(steps["near_duplicates"])) >= len(set(steps["toxicity"])) - 3
+    clean = {t[0] for t in texts} - names
+    assert len(clean & set(steps["toxicity"])) >= 0.995 * len(clean)
     assert set(steps["near_duplicates"]) - set(steps["decontamination"]) == {5001}
-    assert sorted(steps["mixing"]) == sorted(steps["sharding"])
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    machine = toxicity.learn(source, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    leak = [("1", " ".join(f"leak{k}" for k in range(12)))]
+    plain = {
+        "toxicity": lambda rows: [r[0] for r in rows if brute.factorized(machine, _word_id, r[1]) < np.log(0.3 / 0.7)],
+        "near_duplicates": lambda rows: [r[0] for r, c in zip(rows, brute.near_classes([r[:2] for r in rows]), strict=True) if r[0] == c],
+        "decontamination": lambda rows: [r[0] for r, c in zip(rows, brute.contamination([r[1] for r in rows], leak), strict=True) if not c[1]],
+        "mixing": lambda rows: [i for r, n in zip(rows, brute.mixed_copies([(r[3], r[2], len((r[1] or "").split())) for r in rows]), strict=True) for i in [r[0]] * n],
+        "sharding": lambda rows: [r[0] for r in rows],
+    }
+    for name, before, ids in seen:
+        assert sorted(ids) == sorted(plain[name](before)), name
+    ran = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(tuple, ran.select("doc_id", "size", "shard").collect())) == sorted(map(tuple, docs.select("doc_id", "size", "shard").collect()))
+    sizes = {}
+    for r in ran.collect():
+        assert r["size"] == len((r["text"] or "").encode()) + 1
+        sizes.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in sizes.values())

@@ -137,6 +137,28 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert token_files.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    raw = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    assert token_files.words_stand_apart(raw)
+    for part, other in (("normalizer", None), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}), ("normalizer", {"type": "Sequence", "normalizers": [{"type": "NFC"}]})):
+        (tmp_path / "t.json").write_text(json.dumps(raw | {part: other}))
+        assert not token_files.words_stand_apart(raw | {part: other})
+        enc = token_files.Encoder(f"{tmp_path}/t.json")
+        texts = ["Hello World  don't 12", None, "", "AbC <|endoftext|> é"]
+        got = [block[offs[k] : offs[k + 1]].tolist() for block, offs in enc(pa.array(texts)) for k in range(len(offs) - 1)]
+        assert got == [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tx, "hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    enc = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["alpha bravo gamma ALPHA delta <b> <B> <|endoftext|>", "bravo gamma"]
+    got = [block[offs[k] : offs[k + 1]].tolist() for block, offs in enc(pa.array(texts)) for k in range(len(offs) - 1)]
+    assert got == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_one_document_of_a_file():
     raw = token_files.pack(np.array([1, 2, 3, 4], "<u2").tobytes(), 2, [None, -5, 9], [1, 0, 3])
     file = token_files.TokenFile(raw)
@@ -160,6 +182,36 @@ def test_shards_are_near_equal_and_cut_large_groups(spark):
     assert out.select("doc_id", "shard", "slot").exceptAll(again.select("doc_id", "shard", "slot")).isEmpty()
 
 
+def test_shards_follow_the_keys(spark):
+    # plain version: rows in the order of their keys, cut where the sum of sizes comes nearest to each share
+    rows = [(k, f"text {k % 700} " * (1 + k % 50)) for k in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(sharding.shard_documents(frame, 4).collect(), key=lambda r: (r["shard"], r["slot"]))
+    key = {r[0]: (r[1], r[2]) for r in frame.selectExpr("doc_id", "shiftrightunsigned(xxhash64(text), 1)", "shiftrightunsigned(xxhash64(doc_id, text, 7), 1)").collect()}
+    keys = [key[r["doc_id"]] for r in out]
+    assert keys == sorted(keys)
+    total, upto, ends = sum(r["size"] for r in out), 0, {}
+    for r in out:
+        upto += r["size"]
+        ends[r["shard"]] = upto
+    largest = max(r["size"] for r in out)
+    assert all(abs(ends[i] - total * (i + 1) / 4) <= max(0.001 * total / 4, largest / 2) for i in range(4))
+
+
+def test_equal_rows_are_cut(spark):
+    rows = [(7, "one text " * 30, None)] * 3000 + [(k, f"other {k}", k) for k in range(500)] + [(None, None, None)] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, text string, size long").repartition(5)
+    out = sharding.shard_documents(frame, 8).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out) == sorted((str(r[0]), r[1] or "") for r in rows)
+    sizes, slots = {}, {}
+    for r in out:
+        assert r["size"] == len((r["text"] or "").encode()) + 1
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2 * 271
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_mixing(docs, empty):
     out = mixing.mix_sources(docs).collect()
     assert len(out) == len(TEXTS)
@@ -173,13 +225,23 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 50), min_size=1, max_size=9))
-def test_targets_are_the_fixed_point(sizes):
-    # the closed form of mixing.targets, restated over a list
-    named = {f"s{k}": n for k, n in enumerate(sizes)}
-    want = brute.mixed_targets(named)
-    assert abs(sum(want.values()) - 1.5 * sum(sizes)) < 1e-6 and all(want[s] <= 2 * n + 1e-9 for s, n in named.items())
+def test_targets_are_the_fixed_point(spark):
+    rng = np.random.default_rng(0)
+    for _ in range(6):
+        named = {(f"s{k}" if k else None): int(n) for k, n in enumerate(rng.integers(0, 60, rng.integers(1, 9)))}
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(named.items()), "source string, source_size long")).collect()}
+        want = brute.mixed_targets(named)
+        assert got.keys() == want.keys() and all(abs(got[s] - t) < 1e-6 for s, t in want.items())
+        assert abs(sum(want.values()) - 1.5 * sum(named.values())) < 1e-6
+
+
+def test_mixing_takes_what_lies_below_the_thresholds(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "w " * (k % 17), f"s{k % 7 % 3}" if k % 5 else None) for k in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(frame.withColumn("key", F.xxhash64("doc_id", "text", "source"))).collect()
+    assert [r["copies"] for r in got] == brute.mixed_copies([(r["key"], r["source"], r["size"]) for r in got])
 
 
 def test_mixing_meets_targets(spark):
@@ -318,8 +380,41 @@ def test_no_estimate_rules_out_similar_texts(monkeypatch):
     assert sum(b.num_rows for b in near_dup._alike(0.8)([star])) == 1
 
 
-def test_digest_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_digest_of_items(spark):
+    frame = spark.createDataFrame([([],), ([("b", 0, 10), ("a", 3, 12), ("b", 40, 10), (None, 1, 10)],)], f"matches {decontaminate.FOUND}")
+    n, sha = decontaminate.items_digest()
+    got = [tuple(r) for r in frame.select(n, sha).collect()]
+    assert got == [(0, hashlib.sha256(b"").hexdigest()), (3, hashlib.sha256(b"a,b").hexdigest())]
+
+
+def test_large_buckets_meet_by_length(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE", 8)
+    # texts that share half their words fill common buckets; some of them are similar in pairs
+    rng = np.random.default_rng(3)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        own = shared + [f"o{k // 2}-{j}" for j in range(20 + k // 2 * 3)]
+        if k % 2:
+            own[-1] = f"z{k}"
+        rows.append((k, " ".join(own)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.near_classes(rows)
+    assert [got[k] for k in range(60)] == want and rng is not None
+
+
+def test_near_pairs_at_the_threshold_are_found(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(150):
+        own = [f"w{k}-{j}" for j in range(100)]
+        # one changed word in n takes 5 shingles of 96: similarities from 0.8 to 0.9
+        other = list(own)
+        for at in rng.choice([10, 50, 90], rng.integers(1, 3), replace=False):
+            other[at] = f"x{k}-{at}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == brute.near_classes(rows)
 
 
 def test_intermediate_tables_can_be_removed(spark, tmp_path):
