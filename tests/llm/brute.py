@@ -146,6 +146,8 @@ def mixed_copies(rows, weights=(5, 2, 1)):
     for s, n in sizes.items():
         whole = math.floor(target[s] / n) if n else 0
         left = target[s] - whole * n
+        if not n:  # a source without words takes nothing
+            continue
         groups = defaultdict(list)
         for k, (key, own, _) in enumerate(rows):
             if own == s:
