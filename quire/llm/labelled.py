@@ -36,14 +36,24 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, featurise: Featurise,
         for batch in batches:
             ids, counts, first = featurise(batch.column(2))
             cut = first.tolist()
-            raw = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:])] for x in (ids.astype("<u4"), counts.astype("<u4"))]
+            raw = [[narrow(x[a:b]).tobytes() for a, b in zip(cut, cut[1:])] for x, narrow in ((ids, _ids), (counts, _counts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(r, pa.binary()) for r in raw)], names=["_id", "_label", "ids", "counts"])
 
     kind = joined.schema["_id"].dataType.simpleString()
     got = joined.mapInArrow(released(run), f"_id {kind}, _label int, ids binary, counts binary").groupBy("_id").agg(F.min(F.struct("_label", "ids", "counts")).alias("r"))
     with batches_of(docs.sparkSession, TEXT_ROWS):
         found = sorted(((i, r) for i, r in got.collect()), key=lambda x: x[0])
-    return [(int(r["_label"]), np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["counts"], "<u4")) for _, r in found]
+    return [(int(r["_label"]), (ids := np.frombuffer(r["ids"], "<u4")), np.frombuffer(r["counts"], f"<u{len(r['counts']) // max(1, len(ids))}" if len(ids) else "u1")) for _, r in found]
+
+
+def _ids(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u4")
+
+
+def _counts(x: np.ndarray) -> np.ndarray:
+    """In the smallest width that holds them all."""
+    most = x.max(initial=0)
+    return x.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
 
 
 def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from . import text as tx
-from .shared import crc_mod
+from .shared import crc_mod, release
 
 #: Most labelled rows to learn from; a bound for any corpus.
 TRAIN_ROWS = 8_192
@@ -97,7 +97,10 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
 
 def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (5, 0), rows: int = TRAIN_ROWS, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """The model from a bounded sample of labelled documents; those in the fold (n, k) are not seen."""
-    return fit(labelled.sample(docs, labels, label, featurise, fold, rows, id_col, text))
+    try:
+        return fit(labelled.sample(docs, labels, label, featurise, fold, rows, id_col, text))
+    finally:
+        release()
 
 
 def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -37,12 +37,13 @@ def find_splitters(keys: DataFrame, parts: int, tolerances: dict[int, float], lo
     done: dict[int, Cut] = {}
     # splitter -> (level, prefix, k1 of level 0 once level is 1, weight below the interval)
     open_ = {i: (0, 0, 0, 0) for i in range(1, parts)}
-    rounds = -(-KEY_BITS // BITS)
-    for r in range(2 * rounds):
-        if not open_:
-            break
-        level, shift = divmod(r, rounds)
-        shift = KEY_BITS - BITS * (shift + 1)
+    level, shift = 0, KEY_BITS
+    while open_:
+        # those at the first key go on until it is used up or told, then those at the second
+        if level == 0 and (shift == 0 or all(x[0] for x in open_.values())):
+            level, shift = 1, KEY_BITS
+        waiting = {i: open_.pop(i) for i in [i for i, x in open_.items() if x[0] != level]}
+        shift -= BITS
         key = F.col("_k1" if level == 0 else "_k2")
         prefix, owner = F.shiftright(key, shift + BITS), F.lit(0).cast("long") if level == 0 else F.col("_k1")
         # at most one row a splitter
@@ -50,23 +51,24 @@ def find_splitters(keys: DataFrame, parts: int, tolerances: dict[int, float], lo
         intervals = F.broadcast(spark.createDataFrame(sorted({(p, k1) for _, p, k1, _ in open_.values()}), "_p long, _t long"))
         wanted = F.broadcast(spark.createDataFrame([(i, p, k1, total * i / parts - below) for i, (_, p, k1, below) in open_.items()], "_i int, _p long, _t long, _aim double"))
         rows = keys.withColumns({"_kp": prefix, "_kt": owner}).join(intervals, (F.col("_kp") == F.col("_p")) & (F.col("_kt") == F.col("_t")), "left_semi")
-        hist = rows.groupBy("_kp", "_kt", F.shiftright(key, shift).alias("_b")).agg(F.sum("_w").alias("_bw"), F.count("*").alias("_n"))
+        hist = rows.groupBy("_kp", "_kt", F.shiftright(key, shift).alias("_b")).agg(F.sum("_w").alias("_bw"), F.count("*").alias("_n"), *(f(c).alias(f"_{n}{c[-1]}") for c in ("_k1", "_k2") for n, f in (("lo", F.min), ("hi", F.max))))
         upto = F.sum("_bw").over(Window.partitionBy("_kp", "_kt").orderBy("_b"))
         hit = hist.withColumn("_upto", upto).join(wanted, (F.col("_kp") == F.col("_p")) & (F.col("_kt") == F.col("_t")))
         hit = hit.where((F.col("_upto") > F.col("_aim")) & (F.col("_upto") - F.col("_bw") <= F.col("_aim")))
-        for i, aim, b, w, n, above in hit.select("_i", "_aim", "_b", "_bw", "_n", "_upto").collect():
+        for i, aim, b, w, n, above, lo1, hi1, lo2, hi2 in hit.select("_i", "_aim", "_b", "_bw", "_n", "_upto", "_lo1", "_hi1", "_lo2", "_hi2").collect():
             _, _, k1, below = open_.pop(i)
             before = above - w
             off, edge = min((aim - before, b), (above - aim, b + 1))
-            value = edge << shift
-            slack = tolerances.get(i, loose) * total / parts
-            if off <= slack or r == 2 * rounds - 1:
-                inside = round((aim - before) / w * n) if off > slack else 0
-                done[i] = (k1, b, inside, n) if 0 < inside < n else (value, 0, 0, 0) if level == 0 else (k1, value, 0, 0)
-            elif shift == 0 and level == 0:
-                open_[i] = (1, 0, b, below + before)
+            if off <= tolerances.get(i, loose) * total / parts:
+                done[i] = (edge << shift, 0, 0, 0) if level == 0 else (k1, edge << shift, 0, 0)
+            elif (lo1, lo2) == (hi1, hi2):  # rows of one key
+                row = round((aim - before) / w * n)
+                done[i] = (lo1, lo2, row, n) if 0 < row < n else (lo1, lo2 + (row > 0), 0, 0)
+            elif level == 0 and lo1 == hi1:
+                open_[i] = (1, 0, lo1, below + before)
             else:
                 open_[i] = (level, b, k1, below + before)
+        open_ |= waiting
     return total, sorted(done.values())
 
 

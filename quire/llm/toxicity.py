@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from . import text as tx
-from .shared import crc_mod
+from .shared import crc_mod, release
 
 #: Most labelled rows to learn from; a bound for any corpus.
 TRAIN_ROWS = 16_384
@@ -85,14 +85,14 @@ class Batch:
     def __init__(self, rows: np.ndarray, first: np.ndarray, at: np.ndarray, size: np.ndarray):
         n = first[rows + 1] - first[rows]
         upto = np.cumsum(n) - n
-        doc = np.repeat(np.arange(len(rows)), n)
+        doc = np.repeat(np.arange(len(rows), dtype=np.uint8 if len(rows) <= 256 else np.int32), n)
         self.feature = at[np.arange(n.sum()) + np.repeat(first[rows] - upto, n)]
         self.rows, self.share = rows, (1 / np.maximum(size[rows], 1)).astype(np.float32)
         self.filled = np.flatnonzero(n)
         self.from_ = upto[self.filled]
         order = np.argsort(self.feature, kind="stable")
         own = self.feature[order]
-        self.cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else upto[:0]
+        self.cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])).astype(np.int32) if len(own) else upto[:0]
         self.touched, self.by_feature = own[self.cut], doc[order]
 
     def forward(self, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,12 +114,14 @@ class Batch:
 
 def _fitted(y: np.ndarray, size: np.ndarray, first: np.ndarray, ids: np.ndarray, share: float) -> Machine:
     keys, at = np.unique(ids, return_inverse=True)
+    at = at.astype(np.int32)
     n, m, least = len(y), len(keys), share * len(y) ** 0.5
     rng = np.random.default_rng(0)
     bias, bias_n = float(np.log(y.mean() / (1 - y.mean()))), 0.0
     w, z, w_n = (np.zeros(m, np.float32) for _ in range(3))
     v, v_n = rng.normal(0, START, (m, FACTORS)).astype(np.float32), np.zeros((m, FACTORS), np.float32)
     batches = [Batch(np.sort(own), first, at, size) for own in np.array_split(rng.permutation(n), max(1, n // BATCH))]
+    del at, ids
     for _ in range(max(EPOCHS, -(-UPDATES // len(batches)))):
         for k in rng.permutation(len(batches)).tolist():
             b = batches[k]
@@ -151,7 +153,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Machine:
 
     def some(which: np.ndarray, share: float) -> Machine:
         first = np.append(0, np.cumsum([len(rows[k][1]) for k in which]))
-        return _fitted(y[which], size[which], first, np.concatenate([rows[k][1] for k in which]).astype(np.int64), share)
+        return _fitted(y[which], size[which], first, np.concatenate([rows[k][1] for k in which]).astype(np.uint32), share)
 
     every = np.arange(len(y))
     # toxic and clean rows in turn, so that both parts have both where they can
@@ -193,7 +195,10 @@ def _cut(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (4, 2), rows: int = TRAIN_ROWS, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
     """The model from a bounded sample of labelled documents; those in the fold (n, k) are not seen."""
-    return fit(labelled.sample(docs, labels, label, featurise, fold, rows, id_col, text))
+    try:
+        return fit(labelled.sample(docs, labels, label, featurise, fold, rows, id_col, text))
+    finally:
+        release()
 
 
 def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text: str = "text") -> DataFrame:
