@@ -25,9 +25,9 @@ from . import text as tx
 from .shared import TEXT_ROWS, Saving, Stored, arrow_rows, batches_of, crc_mod, new_path, released, written
 
 #: Text bytes counted or scored at a time, those of the corpus for each shard, and n-grams that a task keeps before it deals them.
-BLOCK, SHARD, KEPT = 8 << 20, 20 << 20, 1_500_000
+BLOCK, SHARD, KEPT = 8 << 20, 20 << 20, 2_400_000
 #: Words whose sums a merging task keeps, and packed rows that it is handed at a time.
-SUMS, PACKED_ROWS = 500_000, 64
+SUMS, PACKED_ROWS = 1_000_000, 64
 #: Hashes of the marks before and after a text.
 BEGIN, END = (int(x) for x in tx.mix(np.array([1, 2], np.uint64)))
 _U = np.uint64
@@ -89,7 +89,12 @@ def pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
     width = 2 if len(vocabulary) <= 1 << 16 else 4
     large = np.flatnonzero(counts > 254)
     head = _HEAD.pack(len(counts), len(columns), len(vocabulary), width, len(large))
-    return b"".join([head, vocabulary.tobytes(), counts[large].astype("<u8").tobytes(), large.astype("<u4").tobytes(), place.astype(f"<u{width}").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()])
+    return b"".join([head, _planes(vocabulary), counts[large].astype("<u8").tobytes(), large.astype("<u4").tobytes(), _planes(place.astype(f"<u{width}")), np.minimum(counts, 255).astype(np.uint8).tobytes()])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: the high bytes of ascending numbers repeat, and the exchange compresses them."""
+    return np.ascontiguousarray(x.ravel().view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
 def unpack(raw) -> tuple[list[np.ndarray], np.ndarray]:
@@ -102,8 +107,11 @@ def unpack(raw) -> tuple[list[np.ndarray], np.ndarray]:
         at += out.nbytes
         return out
 
-    vocabulary, large, where = take("<u8", words), take("<u8", many), take("<u4", many)
-    place = take(f"<u{width}", n * order).reshape(order, n).astype(np.int64)
+    def planes(size: int, count: int) -> np.ndarray:
+        return np.ascontiguousarray(take("u1", size * count).reshape(size, count).T).view(f"<u{size}").ravel()
+
+    vocabulary, large, where = planes(8, words), take("<u8", many), take("<u4", many)
+    place = planes(width, n * order).reshape(order, n).astype(np.int64)
     counts = take("u1", n).astype(np.int64)
     counts[where] = large
     place[0] = np.cumsum(place[0])
@@ -136,12 +144,13 @@ def _counted(order: int, shards: int):
             data, offs = tx.column_bytes(batch.column(0))
             for i, j in tx.blocks(offs, BLOCK):
                 words, slots, _ = sequences(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], order)
-                hashes, counts, at = _summed(gram_hashes(words, slots, order)[1], np.ones(len(slots), np.int64))
+                hashes, counts, at = _summed(gram_hashes(words, slots, order)[1], np.ones(len(slots), np.int32))
                 yield hashes, counts, [words[slots[at] - k] for k in range(order - 1, -1, -1)]
 
     def flush(held):
         hashes, counts, at = _summed(np.concatenate([h for h, _, _ in held]), np.concatenate([c for _, c, _ in held]))
-        columns = [np.concatenate([x[k] for _, _, x in held])[at] for k in range(order)]
+        columns = [np.concatenate([x.pop(0) for _, _, x in held])[at] for _ in range(order)]
+        held.clear()
         for rows in _dealt(hashes, columns, counts, shards):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "grams"])
 
@@ -223,7 +232,8 @@ def _merged(folder: str, level: int, order: int, shards: int):
         return hashes, counts, prefix[at], [c[at] for c in columns]
 
     def run(batches):
-        writer, words, contexts = Saving(folder, f"grams{level}"), _Sums(WORD), _Sums(WORD if level == 2 else CONTEXT)
+        writer, words = Saving(folder, f"grams{level}"), _Sums(WORD)
+        contexts = words if level == 2 else _Sums(CONTEXT)
         numbers, least = np.zeros(5, np.int64), None
 
         def done(blobs):
@@ -260,7 +270,7 @@ def _merged(folder: str, level: int, order: int, shards: int):
         if held:
             yield from done(held)
         yield from words.flush()
-        yield from contexts.flush()
+        yield from contexts.flush()  # for pairs the same, and empty by now
         if name := writer.close():
             sums = dict(zip(SUMMED, ([int(x)] for x in numbers), strict=False))
             yield _row(1, FILE, name=[name], key=[least], **sums)
