@@ -217,10 +217,16 @@ class Encoder:
         _, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         words = [low[a:b].tobytes() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
         size, first = ends - starts, starts[where][inverse]
-        same = size == (ends - starts)[where][inverse]
-        upto = np.cumsum(size) - size
-        at = np.arange(size.sum()) - np.repeat(upto, size)
-        same &= np.add.reduceat(low[at + np.repeat(starts, size)] != low[np.minimum(at + np.repeat(first, size), len(low) - 1)], upto) == 0 if len(size) else same
+        same = size == size[where][inverse]
+        # eight bytes at a time, whatever place they start at
+        eight = np.ndarray((len(low),), "<u8", np.append(low, np.zeros(8, np.uint8)), 0, (1,))
+        masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        live, k = np.flatnonzero(same & (starts != first)), 0
+        while len(live):
+            mask = masks[np.minimum(size[live] - k, 8)]
+            same[live[((eight[starts[live] + k] ^ eight[first[live] + k]) & mask) != 0]] = False
+            k += 8
+            live = live[size[live] > k]
         # equal hashes of words that differ (or by case in words with "<")
         extra: dict[bytes, int] = {}
         for k in np.flatnonzero(~same).tolist():
