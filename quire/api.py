@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.templates import fill
 from .model import DocumentError
 from .operators import frames, package_writer, relational, render
 from .sources import files, html, hwp, markdown, package
@@ -57,39 +56,6 @@ def inspect(raw: bytes) -> dict:
     return {"metadata": p.metadata(), "summary": {"hasEncryptionInfo": p.encrypted, "contentsFiles": p.contents(), "manifest": manifest, "spine": p.spine}, "images": p.images()}
 
 
-def _shown(value) -> str:
-    """A JSON value as a template shows it."""
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        return str(int(value))
-    if isinstance(value, list):
-        return ",".join(map(_shown, value))
-    return "[object Object]" if isinstance(value, dict) else str(value)
-
-
-def _member(value, key: str):
-    if isinstance(value, dict):
-        return value.get(key)
-    if isinstance(value, (list, str)) and key.isdigit():
-        return value[int(key)] if int(key) < len(value) else None
-    return len(value) if isinstance(value, (list, str)) and value and key == "length" else None
-
-
-def fill(text: str, data: dict) -> str:
-    """{{ a.b }} by data["a"]["b"], or nothing; what is put in is not searched."""
-
-    def value(m) -> str:
-        at = data
-        for k in m[1].split("."):
-            at = _member(at, k) if at else None
-        return _shown(at)
-
-    return re.sub(r"\{\{\s*([A-Za-z0-9_.]+)\s*\}\}", value, text)
-
-
 # folders
 
 
@@ -109,7 +75,10 @@ def batch_templates(spark: SparkSession, folder: str, data: str) -> DataFrame:
 
 
 def write_named(df: DataFrame, column: str, out: str, suffix: str, name: str = "name") -> None:
-    """Each row's column as a file of its own under out, which executors must have mounted; a task that runs again replaces its files."""
+    """Each row's column as a file of its own under out, which executors must have mounted; a task that runs again replaces its files.
+
+    A name may be a path with folders; what leads out of the folder is left out of it.
+    """
     def save(rows):
         import os
         import uuid
@@ -119,7 +88,8 @@ def write_named(df: DataFrame, column: str, out: str, suffix: str, name: str = "
             body = r[column]
             if body is None:
                 continue
-            path = os.path.join(out, os.path.basename(r[name]) + suffix)
+            path = os.path.join(out, os.path.normpath("/" + r[name]).lstrip("/") + suffix)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
             with open(part := f"{path}.{uuid.uuid4().hex}", "wb") as f:
                 f.write(body.encode() if isinstance(body, str) else bytes(body))
             os.replace(part, path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what JavaScript's \s and trim() hold.
 SPACES = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+SPACE_CHARACTERS = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Border line types and widths in mm by index.
 LINE_TYPES = (
     "NONE", "SOLID", "DASH", "DOT", "DASH_DOT", "DASH_DOT_DOT", "LONG_DASH", "CIRCLE", "DOUBLE", "THIN_THICK_DOUBLE", "THICK_THIN_DOUBLE",
@@ -64,7 +65,8 @@ def color_hex(c: Column) -> Column:
 
 
 def normalize_color(c: Column) -> Column:
-    """Six or three hex digits get a #; all else stays."""
+    """Without white space around it; six hex digits get a #, all else stays."""
+    c = trimmed(c)
     return F.when(c.rlike("^[0-9a-fA-F]{6}$"), F.concat(F.lit("#"), c)).otherwise(c)
 
 
@@ -188,21 +190,19 @@ def paragraphs(text: Column) -> Column:
 
 
 def preview(lines: Column, most: int = 2000) -> Column:
-    return F.substring(F.array_join(F.filter(lines, lambda x: x != ""), "\r\n"), 1, most)
-
-
-def fill_template(text: Column, data: Column) -> Column:
-    """{{ a.b }} by the value at that path of a JSON text, or nothing.
-
-    The text is cut at its keys and joined again, so what is put in is not searched.
-    """
-    key = "\\{\\{\\s*([A-Za-z0-9_.]+)\\s*\\}\\}"
-    keys = F.regexp_extract_all(text, F.lit(key), 1)
-    rest = F.split(text, key, -1)
-    value = lambda k: F.coalesce(F.call_function("get_json_object", data, F.concat(F.lit("$."), k)), F.lit(""))
-    return F.array_join(F.transform(rest, lambda part, i: F.concat(part, F.when(i < F.size(keys), value(F.get(keys, i))).otherwise(""))), "")
+    """The first UTF-16 units of the lines; a character of two units is not cut."""
+    whole = F.array_join(F.filter(lines, lambda x: x != ""), "\r\n")
+    raw = F.encode(F.substring(whole, 1, most), "UTF-16BE")
+    half = F.conv(F.hex(F.substring(raw, 2 * most - 1, 1)), 16, 10).between(0xD8, 0xDB)
+    cut = F.decode(F.when(half, F.substring(raw, 1, 2 * most - 2)).otherwise(F.substring(raw, 1, 2 * most)), "UTF-16BE")
+    return F.when(F.length(raw) > 2 * most, cut).otherwise(F.substring(whole, 1, most))
 
 
 def section_number(path: Column) -> Column:
     """The number that orders sections in text and HTML; 0 without one."""
-    return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(path, "section(\\d+)\\.xml", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("long")
+    return F.coalesce(F.nullif(F.regexp_extract(path, "section(\\d+)\\.xml", 1), F.lit("")).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+
+
+def likely_package_type(media: Column) -> Column:
+    """Whether a media type names a package of this kind, without case."""
+    return F.lower(media).contains("owpml") | F.lower(media).contains("hwpx")

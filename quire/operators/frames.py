@@ -6,14 +6,15 @@ mode ``permissive`` keeps it, ``drop`` leaves it out, ``failfast`` raises.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
+from dataclasses import replace
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import scalar, templates
 from ..model import Document, DocumentError, Paragraph, Run, markup_tables
 from ..sources import html, hwp, markdown, package, tables
 from . import package_writer, render
@@ -40,6 +41,7 @@ READERS: dict[str, Callable[[bytes | str], Document]] = {
     "html": lambda x: html.read_html(_text(x)),
     "md": lambda x: markdown.read_markdown(_text(x)),
     "txt": lambda x: read_text(_text(x)),
+    "hwpx": lambda x: package.Relations(_opened(x, True)).document(),
 }
 #: What a renderer of packages needs to unzip: pictures only to embed them.
 _NO_PICTURES = lambda path: not path.startswith("BinData/")
@@ -53,20 +55,36 @@ def _opened(raw: bytes | str, pictures: bool) -> package.Package:
     return package.open_package(_bytes(raw), (lambda path: True) if pictures else _NO_PICTURES).readable()
 
 
+class PartialDocument(DocumentError):
+    """What could be read of a document, and what could not."""
+
+    def __init__(self, result, parts: list[str]):
+        super().__init__("partial", "no XML: " + ", ".join(sorted(parts)))
+        self.result = result
+
+
+def _whole(p: package.Package, result: str) -> str:
+    if p.damaged:
+        raise PartialDocument(result, p.damaged)
+    return result
+
+
 def to_text(kind: str, raw: bytes | str) -> str:
-    return _opened(raw, False).to_text() if kind == "hwpx" else render.to_text(READERS[kind](raw))
+    """PartialDocument, with the text of the others, where a part that was needed is no XML; so for all that read packages."""
+    return _whole(p := _opened(raw, False), p.to_text()) if kind == "hwpx" else render.to_text(READERS[kind](raw))
 
 
 def to_markdown(kind: str, raw: bytes | str, embed: bool = False, resolver=None) -> str:
     """resolver: the address of a picture from its path (and storage id, but for packages)."""
     # pictures are unzipped only to embed them
-    return _opened(raw, embed).to_markdown(embed, resolver) if kind == "hwpx" else render.to_markdown(READERS[kind](raw), embed, resolver)
+    return _whole(p := _opened(raw, embed), p.to_markdown(embed, resolver)) if kind == "hwpx" else render.to_markdown(READERS[kind](raw), embed, resolver)
 
 
 def to_html(kind: str, raw: bytes | str, options: package.HtmlOptions) -> str:
     if kind != "hwpx":
         raw = to_package(kind, raw)
-    return package.open_package(_bytes(raw)).readable().to_html(options)
+    p = _opened(raw, options.images)
+    return _whole(p, p.to_html(options))
 
 
 def to_preview(kind: str, raw: bytes | str) -> str:
@@ -87,18 +105,22 @@ def _guarded(one: Callable, raw, mode: str) -> tuple[str, str | None, list]:
         return "null", None, []
     try:
         return "ok", None, list(one(raw))
+    except PartialDocument as e:
+        if mode == "failfast":
+            raise
+        return e.status, str(e), [(e.result,)]
     except DocumentError as e:
         if mode == "failfast":
             raise
         return e.status, str(e), []
-    except (struct.error, IndexError, ValueError, KeyError, RecursionError, OverflowError) as e:
+    except Exception as e:  # one damaged document is a row, not the end of the job
         if mode == "failfast":
             raise
         return "error", f"{type(e).__name__}: {e}", []
 
 
-def flat_map(df: DataFrame, content: str, schema: str, one: Callable[[bytes | str], Iterator[tuple]], keys: list[str], mode: str = "permissive", outer: bool = False) -> DataFrame:
-    """keys, the columns of schema for every tuple that ``one`` gives, status and message.
+def flat_map(df: DataFrame, content: str, schema: str, one: Callable[..., Iterator[tuple]], keys: list[str], mode: str = "permissive", outer: bool = False, beside: str | None = None) -> DataFrame:
+    """keys, the columns of schema for every tuple that ``one`` gives, status and message. one takes the content, and the value beside it.
 
     With outer a document without results has one row of nulls, so none is lost; else only failures have.
     A key that has the name of an output column gets "_in" behind its own.
@@ -110,14 +132,15 @@ def flat_map(df: DataFrame, content: str, schema: str, one: Callable[[bytes | st
 
     own = StructType.fromDDL(schema)
     made = StructType([*own, *StructType.fromDDL("status string, message string")])
-    df = df.select(*(F.col(k).alias(f"{k}_in" if k in made.names else k) for k in keys), F.col(content).alias("_content"))
-    out = StructType([*df.schema.fields[:-1], *made])
+    df = df.select(*(F.col(k).alias(f"{k}_in" if k in made.names else k) for k in keys), F.col(content).alias("_content"), *([F.col(beside).alias("_beside")] if beside else []))
+    out = StructType([*df.schema.fields[: len(keys)], *made])
     arrow = to_arrow_schema(out)
     n = len(own)
 
     def run(batches):
         for batch in batches:
             contents = batch.column(len(keys)).to_pylist()
+            besides = batch.column(len(keys) + 1).to_pylist() if beside else None
             take, columns, status, message, size = [], [[] for _ in range(n)], [], [], 0
 
             def flush():
@@ -127,7 +150,7 @@ def flat_map(df: DataFrame, content: str, schema: str, one: Callable[[bytes | st
                 return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
             for k, raw in enumerate(contents):
-                said, why, got = _guarded(one, raw, mode)
+                said, why, got = _guarded(partial(one, beside=besides[k]) if beside else one, raw, mode)
                 if said not in ("ok", "null") and mode == "drop":
                     continue
                 if not got and (outer or said not in ("ok", "null")):
@@ -152,22 +175,30 @@ def _keys(df: DataFrame, content: str, keys: list[str] | None) -> list[str]:
     return [c for c in df.columns if c != content] if keys is None else keys
 
 
-def render_as(df: DataFrame, what: str, kind: str | None = None, content: str = "content", keys: list[str] | None = None, mode: str = "permissive", **options) -> DataFrame:
+def render_as(df: DataFrame, what: str, kind: str | None = None, content: str = "content", keys: list[str] | None = None, mode: str = "permissive", links: str | None = None, **options) -> DataFrame:
     """keys, ``what`` (text, markdown, html, preview or package), status, message: one row per document.
 
-    kind: hwp, hwpx, html, md or txt; None takes it from each document's first bytes.
+    kind: hwp, hwpx, html, md or txt; None takes it from each document's first bytes. A package some of whose parts are
+    no XML has status "partial" and what the others give. links: a column of maps from a picture's path to the address
+    that Markdown or HTML shall have for it; a path that a map lacks stays.
     """
     if what == "html":
         options = {"options": package.HtmlOptions(**options)}
     make = {"text": to_text, "markdown": to_markdown, "html": to_html, "preview": to_preview, "package": to_package}[what]
 
-    def one(raw):
-        own = kind or kind_of(raw)
-        if own not in (*READERS, "hwpx"):
+    def one(raw, beside=None):
+        own, more = kind or kind_of(raw), options
+        if own not in READERS:
             raise DocumentError("unsupported" if own == "hwp3" else "invalid_format", f"format {own}")
-        yield (make(own, raw, **options),)
+        if links:
+            known = dict(beside or ())
+            resolver = lambda path, *_: known.get(path, path)
+            more = {"options": replace(options["options"], resolver=resolver)} if what == "html" else options | {"resolver": resolver}
+        yield (make(own, raw, **more),)
 
-    return flat_map(df, content, f"{what} {'binary' if what == 'package' else 'string'}", one, _keys(df, content, keys), mode, outer=True)
+    if links and what not in ("markdown", "html"):
+        raise ValueError(f"no links in {what}")
+    return flat_map(df, content, f"{what} {'binary' if what == 'package' else 'string'}", one, [k for k in _keys(df, content, keys) if keys is not None or k != links], mode, outer=True, beside=links)
 
 
 def document_table(df: DataFrame, table: str, kind: str, content: str = "content", keys: list[str] | None = None, mode: str = "permissive") -> DataFrame:
@@ -185,14 +216,14 @@ def package_info(df: DataFrame, content: str = "content", keys: list[str] | None
     """Metadata, encryption, contents, manifest, spine and images of packages."""
     schema = (
         "title string, creator string, created string, modified string, version string, caret_position string, has_encryption_info boolean, contents_files array<string>, "
-        "manifest array<struct<id:string,href:string,media_type:string>>, spine array<string>, images array<string>"
+        "manifest array<struct<id:string,href:string,media_type:string>>, spine array<string>, images array<string>, likely_mimetype boolean"
     )
 
     def one(raw):
         p = package.open_package(_bytes(raw))
         m = p.metadata()
         items = [dict(zip(("id", "href", "media_type"), i, strict=True)) for i in p.manifest]
-        yield *(m[k] for k in ("title", "creator", "created", "modified", "version", "caret_position")), p.encrypted, p.contents(), items, p.spine, p.images()
+        yield *(m[k] for k in ("title", "creator", "created", "modified", "version", "caret_position")), p.encrypted, p.contents(), items, p.spine, p.images(), p.likely
 
     return flat_map(df, content, schema, one, _keys(df, content, keys), mode, outer=True)
 
@@ -220,7 +251,7 @@ def compound_entries(df: DataFrame, content: str = "content", keys: list[str] |
 
 def fill_template(df: DataFrame, text: str = "text", data: str = "data", out: str = "filled") -> DataFrame:
     """df with {{ keys }} of text filled from the JSON in data."""
-    return df.withColumn(out, scalar.fill_template(F.col(text), F.col(data)))
+    return df.withColumn(out, templates.fill_template(F.col(text), F.col(data)))
 
 
 def template_html(filled: Column) -> Column:

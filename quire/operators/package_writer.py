@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from functools import lru_cache
 
 from ..functions.scalar import ALIGNMENTS, BINARY_MIME, LINE_TYPES, OTHER_MIME, WIDTHS
 from ..model import BorderFill, CharShape, Control, Document, Paragraph, ParaShape
@@ -34,8 +35,14 @@ SHAPE_TAGS = {"line": "line", "rectangle": "rect", "ellipse": "ellipse", "arc":
 DEFAULT_FONT, DEFAULT_STYLE = "바탕", ("바탕글", "Normal")
 
 
+#: A carriage return, which readers would take for a line feed, is written as a reference; what XML forbids as U+FFFD.
+_ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;", "\r": "&#13;"}
+_ESCAPED = re.compile("[&<>\"'\r\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
+
+
 def escape(s: object) -> str:
-    return str(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&apos;")
+    s = str(s)
+    return _ESCAPED.sub(lambda m: _ESCAPES.get(m[0], "\ufffd"), s) if _ESCAPED.search(s) else s
 
 
 def tag(name: str, attrs: dict | None = None, *inner: str, bare: bool = False) -> str:
@@ -174,12 +181,28 @@ def run_xml(shape: int, *inner: str) -> str:
     return tag("hp:run", {"charPrIDRef": shape}, *inner)
 
 
+@lru_cache(1024)
+def _around_text(shape: int) -> tuple[str, str]:
+    """What stands before and behind the text of a run."""
+    before, _, behind = run_xml(shape, tag("hp:t", None, "\0")).partition("\0")
+    return before, behind
+
+
 def text_run(shape: int, text: str) -> str:
-    return run_xml(shape, tag("hp:t", None, escape(text)))
+    before, behind = _around_text(shape)
+    return before + escape(text) + behind
+
+
+@lru_cache(1024)
+def _around_runs(para: int, style: int) -> tuple[str, str]:
+    attrs = {"paraPrIDRef": para, "styleIDRef": style, "pageBreak": 0, "columnBreak": 0, "merged": 0}
+    before, _, behind = tag("hp:p", attrs, "\0", LINES).partition("\0")
+    return before, behind
 
 
 def paragraph_xml(para: int, style: int, parts: list[str]) -> str:
-    return tag("hp:p", {"paraPrIDRef": para, "styleIDRef": style, "pageBreak": 0, "columnBreak": 0, "merged": 0}, *(parts or [run_xml(0)]), LINES)
+    before, behind = _around_runs(para, style)
+    return before + ("".join(parts) if parts else run_xml(0)) + behind
 
 
 class SectionWriter:
@@ -232,12 +255,13 @@ def section_xml(parts: list[str]) -> str:
 # packages
 
 
-def package(sections: list[str], header: str, title: str, creator: str, version=(5, 0, 6, 0), binaries: list[tuple[str, str, str, bytes]] = (), preview: str | None = None) -> bytes:
-    """The ZIP file; binaries are (id, href, media type, bytes)."""
-    names = [f"Contents/section{k}.xml" for k in range(len(sections))]
+@lru_cache(256)
+def _parts(n: int, title: str, creator: str, version: tuple, binaries: tuple) -> list[tuple[str, str]]:
+    """The files of a package that do not hold its texts: n sections, binaries as (id, href, media type)."""
+    names = [f"Contents/section{k}.xml" for k in range(n)]
     listed = [("/", PACKAGE_TYPE), ("version.xml", XML_TYPE), ("settings.xml", XML_TYPE), ("Contents/content.hpf", PACKAGE_TYPE), ("Contents/header.xml", XML_TYPE)]
-    listed += [(n, XML_TYPE) for n in names] + [(href, media) for _, href, media, _ in binaries]
-    items = [("header", "Contents/header.xml", XML_TYPE), *((f"section{k}", n, XML_TYPE) for k, n in enumerate(names)), *((i, h, m) for i, h, m, _ in binaries)]
+    listed += [(n, XML_TYPE) for n in names] + [(href, media) for _, href, media in binaries]
+    items = [("header", "Contents/header.xml", XML_TYPE), *((f"section{k}", n, XML_TYPE) for k, n in enumerate(names)), *binaries]
     root = tag("rootfiles", None, tag("rootfile", {"full-path": "Contents/content.hpf", "media-type": PACKAGE_TYPE}))
     metadata = [tag("dc:title", None, escape(title)), tag("dc:creator", None, escape(creator)), tag("dc:format", None, PACKAGE_TYPE)]
     book = [
@@ -246,14 +270,22 @@ def package(sections: list[str], header: str, title: str, creator: str, version=
         tag("opf:spine", None, "".join(tag("opf:itemref", {"idref": f"section{k}"}, bare=True) for k in range(len(names)))),
     ]
     numbers = dict(zip(("major", "minor", "micro", "buildNumber"), version, strict=True))
-    files: list[tuple[str, str | bytes]] = [
+    return [
         ("META-INF/container.xml", xml_file(tag("container", {"xmlns": CONTAINER}, root))),
         ("META-INF/manifest.xml", xml_file(tag("manifest:manifest", spaces("manifest"), *(tag("manifest:file-entry", {"full-path": p, "media-type": m}) for p, m in listed)))),
         ("version.xml", xml_file(tag("ha:HCFVersion", spaces("ha") | {"targetApplication": "WORDPROCESSOR"} | numbers))),
         ("settings.xml", xml_file(tag("ha:HWPApplicationSetting", spaces("ha"), tag("ha:CaretPosition", {"listIDRef": 0, "paraIDRef": 0, "pos": 0})))),
         ("Contents/content.hpf", xml_file(tag("opf:package", spaces("opf", "dc") | {"version": "1.0"}, *book, bare=True))),
+    ]
+
+
+def package(sections: list[str], header: str, title: str, creator: str, version=(5, 0, 6, 0), binaries: list[tuple[str, str, str, bytes]] = (), preview: str | None = None) -> bytes:
+    """The ZIP file; binaries are (id, href, media type, bytes)."""
+    listed = tuple(b[:3] for b in binaries)
+    files: list[tuple[str, str | bytes]] = [
+        *_parts(len(sections), title, creator, tuple(version), listed),
         ("Contents/header.xml", header),
-        *zip(names, sections, strict=True),
+        *((f"Contents/section{k}.xml", x) for k, x in enumerate(sections)),
         *((href, raw) for _, href, _, raw in binaries),
     ]
     if preview is not None:
@@ -272,13 +304,19 @@ def write_document(doc: Document, title: str = "", creator: str = "") -> bytes:
     return package([writer.section(s) for s in doc.sections], header_xml(doc), title, creator, doc.version, binaries, to_preview(doc))
 
 
-def write_text(text: str, title: str = "", creator: str = "") -> bytes:
-    """A plain text, one paragraph per line; the smallest set of definitions, no preview."""
+@lru_cache(1)
+def _least_head() -> str:
+    """The smallest set of definitions."""
     lists = [
         counted("fontfaces", [tag("hh:fontface", {"lang": GROUPS[0], "fontCnt": 1}, tag("hh:font", {"id": 0, "type": "TTF", "name": DEFAULT_FONT}))]),
         counted("charProperties", [char_xml(0, None)]),
         counted("paraProperties", [para_xml(0, ParaShape())]),
         counted("styles", [style_xml(0, *DEFAULT_STYLE, 0, 0)]),
     ]
+    return head_xml(lists)
+
+
+def write_text(text: str, title: str = "", creator: str = "") -> bytes:
+    """A plain text, one paragraph per line; the smallest set of definitions, no preview."""
     parts = [paragraph_xml(0, 0, [text_run(0, line)]) for line in re.split("\r?\n", text)]
-    return package([section_xml(parts)], head_xml(lists), title, creator)
+    return package([section_xml(parts)], _least_head(), title, creator)

@@ -24,8 +24,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes of a table for each core up to which its rows are dealt out to all cores before they are parsed.
+DEALT = 32 << 20
+
+
+def table(spark, sf_dir: str, name: str, parsed: bool = False) -> DataFrame:
+    """A table; one that will be parsed, row by row, is dealt out if it is so small that its row groups are fewer than the cores."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if parsed:
+        at, cores = spark._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext.defaultParallelism
+        size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+        if size < DEALT * cores:
+            df = df.repartition(2 * cores)
+    return df
 
 
 def scalar_query(name: str, source: str, key: str, columns: dict, sql: str):
@@ -65,7 +77,7 @@ scalar_query(
     "select p_partkey, printf('#%02X%02X%02X', v & 255, (v >> 8) & 255, (v >> 16) & 255) as color from (select p_partkey, (p_partkey * 7919) % 16777216 as v from part)",
 )
 scalar_query(
-    "normalize_color", "part", "p_partkey", {"color": lambda: S.normalize_color(F.when(c("p_partkey") % 2 == 0, F.lpad(F.hex("p_partkey"), 6, "0")).otherwise(c("p_brand")))},
+    "normalize_color", "part", "p_partkey", {"color": lambda: S.normalize_color(F.when(c("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.lpad(F.hex("p_partkey"), 6, "0"))).otherwise(F.concat("p_brand", F.lit("\n "))))},
     "select p_partkey, case when p_partkey % 2 = 0 then '#' || lpad(printf('%X', p_partkey), 6, '0') else p_brand end as color from part",
 )
 scalar_query(
@@ -87,6 +99,10 @@ scalar_query(
 )
 _EXT = "(['png', 'JPG', 'jpeg', 'gif', 'bmp', 'webp', 'svg', 'dat'])[p_partkey % 8 + 1]"
 _ext = lambda: F.element_at(F.array(*map(F.lit, ("png", "JPG", "jpeg", "gif", "bmp", "webp", "svg", "dat"))), (c("p_partkey") % 8 + 1).cast("int"))
+scalar_query(
+    "likely_mimetype", "part", "p_partkey", {"likely": lambda: S.likely_package_type(F.concat(F.element_at(F.array(*map(F.lit, ("application/OWPML", "x/hwpx+zip", "text/plain", ""))), (c("p_partkey") % 4 + 1).cast("int")), c("p_brand")))},
+    "select p_partkey, p_partkey % 4 < 2 as likely from part",
+)
 scalar_query(
     "mime_by_ext", "part", "p_partkey", {"image": lambda: S.mime(_ext()), "stored": lambda: S.mime(_ext(), S.BINARY_MIME), "markdown": lambda: S.mime(_ext(), S.MARKDOWN_MIME)},
     f"""select p_partkey,
@@ -96,22 +112,29 @@ scalar_query(
 )
 scalar_query(
     "flags_decode", "orders", "o_orderkey", {n: (lambda n=n: S.flag(c("o_orderkey") % 2048, n)) for n in S.FLAGS},
-    "select o_orderkey, " + ", ".join(f"(o_orderkey % 2048) & {1 << k} <> 0 as {n}" for k, n in enumerate(S.FLAGS)) + " from orders",
+    """select o_orderkey, f & 1 <> 0 as compressed, f & 2 <> 0 as encrypted, f & 4 <> 0 as distribution, f & 8 <> 0 as script, f & 16 <> 0 as drm, f & 32 <> 0 as xml_template, f & 64 <> 0 as history,
+    f & 128 <> 0 as signature, f & 256 <> 0 as certificate_encrypted, f & 512 <> 0 as signature_reserve, f & 1024 <> 0 as certificate_drm from (select o_orderkey, o_orderkey % 2048 as f from orders)""",
 )
 scalar_query(
     "version_gate", "orders", "o_orderkey",
     {"version": lambda: S.version_text(c("o_orderkey") % 7, c("o_orderkey") % 3, c("o_orderkey") % 5, F.lit(0)), "supported": lambda: S.version_supported(c("o_orderkey") % 7, c("o_orderkey") % 3)},
     "select o_orderkey, concat_ws('.', o_orderkey % 7, o_orderkey % 3, o_orderkey % 5, 0) as version, o_orderkey % 7 = 5 and o_orderkey % 3 in (0, 1) as supported from orders",
 )
-_WORD = "97 * 16777216 + (97 + p_partkey % 26) * 65536 + (97 + p_partkey % 7) * 256 + 32"
+_WORD = "(case when p_partkey % 3 = 0 then 37 else 97 end) * 16777216 + (97 + p_partkey % 26) * 65536 + (97 + p_partkey % 7) * 256 + 32"
 scalar_query(
     "ctrl_id_string", "part", "p_partkey",
     {"ctrl_id": lambda: S.ctrl_id_text(F.expr(f"cast({_WORD} as bigint)")), "is_field": lambda: S.is_field_id(F.expr(f"cast({_WORD} as bigint)")), "hex_id": lambda: S.hex_id(c("p_partkey"))},
-    "select p_partkey, 'a' || chr(cast(97 + p_partkey % 26 as int)) || chr(cast(97 + p_partkey % 7 as int)) || ' ' as ctrl_id, false as is_field, lpad(printf('%x', p_partkey), 4, '0') as hex_id from part",
+    "select p_partkey, case when p_partkey % 3 = 0 then '%' else 'a' end || chr(cast(97 + p_partkey % 26 as int)) || chr(cast(97 + p_partkey % 7 as int)) || ' ' as ctrl_id, p_partkey % 3 = 0 as is_field, lpad(printf('%x', p_partkey), 4, '0') as hex_id from part",
 )
+#: Names of record tags, stated once more for SQL.
+_TAGS = """16: 'DOCUMENT_PROPERTIES', 17: 'ID_MAPPINGS', 18: 'BIN_DATA', 19: 'FACE_NAME', 20: 'BORDER_FILL', 21: 'CHAR_SHAPE', 22: 'TAB_DEF', 23: 'NUMBERING', 24: 'BULLET', 25: 'PARA_SHAPE',
+26: 'STYLE', 27: 'DOC_DATA', 28: 'DISTRIBUTE_DOC_DATA', 30: 'COMPATIBLE_DOCUMENT', 31: 'LAYOUT_COMPATIBILITY', 32: 'TRACKCHANGE', 66: 'PARA_HEADER', 67: 'PARA_TEXT', 68: 'PARA_CHAR_SHAPE',
+69: 'PARA_LINE_SEG', 70: 'PARA_RANGE_TAG', 71: 'CTRL_HEADER', 72: 'LIST_HEADER', 73: 'PAGE_DEF', 74: 'FOOTNOTE_SHAPE', 75: 'PAGE_BORDER_FILL', 76: 'SHAPE_COMPONENT', 77: 'TABLE',
+78: 'SHAPE_LINE', 79: 'SHAPE_RECTANGLE', 80: 'SHAPE_ELLIPSE', 81: 'SHAPE_ARC', 82: 'SHAPE_POLYGON', 83: 'SHAPE_CURVE', 84: 'SHAPE_OLE', 85: 'SHAPE_PICTURE', 86: 'SHAPE_CONTAINER',
+87: 'CTRL_DATA', 88: 'EQEDIT', 90: 'SHAPE_TEXTART', 91: 'FORM_OBJECT', 92: 'MEMO_SHAPE', 93: 'MEMO_LIST', 94: 'FORBIDDEN_CHAR', 95: 'CHART_DATA'"""
 scalar_query(
     "tag_names", "part", "p_partkey", {"tag": lambda: names.tag_name(c("p_partkey") % 100), "control": lambda: names.control_name(F.when(c("p_partkey") % 3 == 0, "tbl ").otherwise("none")), "field": lambda: names.field_kind(F.when(c("p_partkey") % 2 == 0, "%hlk"))},
-    "select p_partkey, coalesce((map {" + ", ".join(f"{k}: '{v}'" for k, v in names.TAG_NAMES.items()) + "})[p_partkey % 100], 'UNKNOWN') as tag, case when p_partkey % 3 = 0 then 'Table' else 'Unknown' end as control, case when p_partkey % 2 = 0 then 'hyperlink' end as field from part",
+    f"select p_partkey, coalesce((map {{{_TAGS}}})[p_partkey % 100], 'UNKNOWN') as tag, case when p_partkey % 3 = 0 then 'Table' else 'Unknown' end as control, case when p_partkey % 2 = 0 then 'hyperlink' end as field from part",
 )
 scalar_query(
     "record_header_unpack", "lineitem", "l_orderkey",
@@ -332,7 +355,7 @@ def template_join(spark, sf_dir):
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", c("text").alias("content"))
+    return table(spark, sf_dir, "documents", parsed=True).select("doc_id", c("text").alias("content"))
 
 
 def _packed(spark, sf_dir):
@@ -379,7 +402,7 @@ def text_escape_md_document(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", c("html").alias("content"))
+    return table(spark, sf_dir, "pages", parsed=True).select("page_id", c("html").alias("content"))
 
 
 def _plain(x: str) -> str:
@@ -393,14 +416,15 @@ def _plain(x: str) -> str:
 
 @query("html_article_text", "select page_id, " + _plain("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)") + " as text from pages where html like '%<article>%'")
 def html_article_text(spark, sf_dir):
-    """The one paragraph that an article becomes: the last of its page before the footer."""
-    rows = frames.document_table(_pages(spark, sf_dir), "paragraph", "html").where(~c("text").startswith("©"))
-    return rows.groupBy("page_id").agg(F.max_by("text", "para_path").alias("text"))
+    """The one paragraph that an article becomes: the last of its page but the footer."""
+    rows = frames.document_table(_pages(spark, sf_dir), "paragraph", "html")
+    last = F.reverse(F.array_sort(F.collect_list(F.struct("para_path", "text"))))
+    return rows.groupBy("page_id").agg(F.get(last, F.lit(1))["text"].alias("text"))
 
 
 @query("html_nav_items", "select page_id, string_agg('- ' || x, chr(10)) as items from (select page_id, unnest(regexp_extract_all(html, '<li><a[^>]*>(.*?)</a></li>', 1)) as x from pages) group by page_id")
 def html_nav_items(spark, sf_dir):
-    rows = frames.document_table(_pages(spark, sf_dir), "paragraph", "html").where(c("text").startswith("- ") & (F.length("text") < 200))
+    rows = frames.document_table(_pages(spark, sf_dir), "paragraph", "html").where(c("text").startswith("- "))
     return relational.ordered_text(rows, ["page_id"], ["para_path"], "text", "\n", "items")
 
 

@@ -302,11 +302,13 @@ def read_document(data: bytes) -> Document:
         raise DocumentError("unsupported", "a document for distribution")
     unpack = inflate if flags & 1 else bytes
     info = box.read("/DocInfo")
-    out = Document(version=version, flags=flags, tables=read_tables(unpack(info)) if info is not None else Tables())
+    if info is None:
+        raise DocumentError("invalid_container", "no stream /DocInfo")
+    out = Document(version=version, flags=flags, tables=read_tables(unpack(info)))
     for k in range(box.section_count()):
         raw = box.read(f"/BodyText/Section{k}")
         if raw is None:
-            break
+            continue  # a gap in the numbers
         raw = unpack(raw)
         try:
             out.sections.append(read_section(raw))

@@ -208,6 +208,8 @@ class SpanParser:
     _CODE = re.compile(r"(`+)(?!`)(.*?[^`])\1(?!`)", re.S)
     _LINK = re.compile(r"(!?)\[((?:\\.|\[[^\]]*\]|[^\[\]\\])*)\](?:\(\s*(<[^>]*>|[^\s()]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)|\[([^\]]*)\])?")
     _AUTO = re.compile(r"<((?:[a-z][a-z0-9+.-]{1,31}:|[^\s<>@]+@)[^\s<>]*)>", re.I)
+    _PLAIN = re.compile(r"[^\\`!\[<*_~\n]+")
+    _MARKS = {c: re.compile(re.escape(c) + "+") for c in "*_~"}
     _TAG = re.compile(r"</?[a-z][a-z0-9-]*(?:\s[^<>]*)?/?>|<!--.*?-->", re.I | re.S)
     _ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 
@@ -227,6 +229,7 @@ class SpanParser:
 
     def runs(self, text: str, base: int = DEFAULT, state: State = State()) -> list[Run]:
         out: list[Run] = []
+        dead: dict[tuple[str, int, bool], int] = {}  # from which place on no mark closes such an emphasis
         say = lambda t, shape=None: out.append(Run(self.shape(state, base) if shape is None else shape, t))
         at = 0
         while at < len(text):
@@ -254,7 +257,7 @@ class SpanParser:
             elif c == "<" and (m := self._TAG.match(text, at)):
                 say(m[0])
                 at = m.end()
-            elif c in "*_~" and (found := self._emphasis(text, at)):
+            elif c in "*_~" and (found := self._emphasis(text, at, dead)):
                 inner, end, size = found
                 now = state if c == "~" else State(state.bold or size > 1, state.italic or size != 2)
                 out += self.runs(inner, base, now)
@@ -265,7 +268,7 @@ class SpanParser:
                 say("\n")
                 at += 1
             else:
-                m = re.compile(r"[^\\`!\[<*_~\n]+").match(text, at)
+                m = self._PLAIN.match(text, at)
                 say(self.plain(m[0] if m else c))
                 at = m.end() if m else at + 1
         return merged(out)
@@ -275,21 +278,27 @@ class SpanParser:
             return m[3].strip("<>")
         return self.links.get((m[4] or m[2]).lower())
 
-    @staticmethod
-    def _emphasis(text: str, at: int) -> tuple[str, int, int] | None:
-        """(inner, end, marks) of an emphasis that opens here."""
+    @classmethod
+    def _emphasis(cls, text: str, at: int, dead: dict) -> tuple[str, int, int] | None:
+        """(inner, end, marks) of an emphasis that opens here. What closes one depends on its kind only, not on its place,
+        so each kind is sought once where there is none."""
         mark = text[at]
-        size = len(re.match(re.escape(mark) + "+", text[at:])[0])
-        for n in ((2, 1) if mark == "~" else (3, 2, 1)):
+        marks = cls._MARKS[mark]
+        size = marks.match(text, at).end() - at
+        for n in (2, 1) if mark == "~" else (3, 2, 1):
             if size < n or at + n >= len(text) or text[at + n].isspace() or (mark == "_" and at and text[at - 1].isalnum()):
                 continue
+            kind = (mark, n, size == n)
             k = at + n
+            if k >= dead.get(kind, len(text)):
+                continue
             while (k := text.find(mark * n, k)) >= 0:
-                run = len(re.match(re.escape(mark) + "+", text[k:])[0])
+                run = marks.match(text, k).end() - k
                 after = text[k + run : k + run + 1]
                 if not text[k - 1].isspace() and text[k - 1] != "\\" and run >= n and (run == n or (run > n and n < 3 and size == n and run % 2 == n % 2)) and not (mark == "_" and after.isalnum()):
                     return text[at + n : k + run - n], k + run, n
                 k += run
+            dead[kind] = at + n
         return None
 
 

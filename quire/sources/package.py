@@ -9,12 +9,12 @@ import re
 import zipfile
 import zlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 from xml.etree import ElementTree
 
-from ..functions.scalar import IMAGE_MIME, MARKDOWN_MIME, OTHER_MIME
-from ..model import DocumentError
+from ..functions.scalar import ALIGNMENTS, IMAGE_MIME, LINE_TYPES, MARKDOWN_MIME, OTHER_MIME, SPACE_CHARACTERS, WIDTHS
+from ..model import BorderFill, Cell, CharShape, Control, Document, DocumentError, Paragraph, ParaShape, Run, Style, Tables
 from ..operators.render import escape_md, table_lines
 
 _MARK = re.compile("encrypt|cipher", re.I)
@@ -32,14 +32,28 @@ def decode_text(raw: bytes) -> str:
     return raw.decode(name, "replace")
 
 
-@dataclass
 class Element:
-    """An element without prefixes."""
+    """An element without prefixes, over a parsed one; what is below it is made when it is asked for."""
+
+    __slots__ = ("_children", "_text", "attrs", "name", "node")
 
-    name: str
-    attrs: dict[str, str] = field(default_factory=dict)
-    children: list[Element] = field(default_factory=list)
-    text: str = ""
+    def __init__(self, node):
+        self.node, self._children, self._text = node, None, None
+        self.name = node.tag.rpartition("}")[2]
+        self.attrs = {k.rpartition("}")[2]: _kept(v) for k, v in node.attrib.items()}
+
+    @property
+    def children(self) -> list[Element]:
+        if self._children is None:
+            self._children = [Element(c) for c in self.node]
+        return self._children
+
+    @property
+    def text(self) -> str:
+        if self._text is None:
+            text = (self.node.text or "") + "".join(c.tail or "" for c in self.node)
+            self._text = "" if len(self.node) and not text.strip() else _kept(text)
+        return self._text
 
     def all(self, name: str) -> list[Element]:
         return [c for c in self.children if c.name == name]
@@ -49,12 +63,12 @@ class Element:
 
     @property
     def empty(self) -> bool:
-        return not (self.attrs or self.children or self.text)
+        return not (self.attrs or len(self.node) or self.text)
 
     @property
     def plain(self) -> bool:
         """Nothing but text."""
-        return not (self.attrs or self.children)
+        return not (self.attrs or len(self.node))
 
     def path(self, *names: str) -> Element | None:
         at: Element | None = self
@@ -63,20 +77,37 @@ class Element:
         return at
 
 
+#: What no XML may hold, as characters or as references to them; parsed as private characters and given back as it was.
+_ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
+_REFERENCE = re.compile(r"&#(?:x0*([0-9a-fA-F]{1,4})|0*(\d{1,5}));")
+_PRIVATE = 0x100000
+
+
+def _hidden(m) -> str:
+    return chr(_PRIVATE + ord(m[0]))
+
+
+def _hidden_reference(m) -> str:
+    c = chr(int(m[1], 16) if m[1] else min(int(m[2]), 0xFFFF))
+    return chr(_PRIVATE + ord(c)) if _ILLEGAL.match(c) else m[0]
+
+
+def _kept(text: str) -> str:
+    return re.sub("[\U00100000-\U0010ffff]", lambda m: c if _ILLEGAL.match(c := chr(ord(m[0]) - _PRIVATE)) else m[0], text) if max(text, default="") >= chr(_PRIVATE) else text
+
+
 def parse_xml(text: str) -> Element | None:
-    """The root; None where the text is no XML."""
+    """The root; None where the text is no XML. Characters that XML forbids are taken as any others."""
+    text = re.sub(r"^\s*<\?xml[^>]*\?>", "", text)
+    if _ILLEGAL.search(text):
+        text = _ILLEGAL.sub(_hidden, text)
+    if "&#" in text:
+        text = _REFERENCE.sub(_hidden_reference, text)
     try:
-        root = ElementTree.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", text))
+        return Element(ElementTree.fromstring(text))
     except (ElementTree.ParseError, ValueError):
         return None
 
-    def made(e) -> Element:
-        own = [made(c) for c in e]
-        text = (e.text or "") + "".join(c.tail or "" for c in e)
-        return Element(e.tag.rpartition("}")[2], {k.rpartition("}")[2]: v for k, v in e.attrib.items()}, own, "" if own and not text.strip() else text)
-
-    return made(root)
-
 
 def unzip(raw: bytes, want: Callable[[str], bool] = lambda path: True) -> dict[str, bytes]:
     """The files of a package that are wanted, in their order; folders are left out."""
@@ -103,10 +134,16 @@ def escape_html(s: str) -> str:
     return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
+def escape_attr(s: str) -> str:
+    return escape_html(s).replace('"', "&quot;")
+
+
 class Package:
     def __init__(self, files: dict[str, bytes]):
         self.files = files
         self._trees: dict[str, Element | None] = {}
+        #: Parts that were looked into and are no XML.
+        self.damaged: list[str] = []
 
     def text(self, path: str) -> str | None:
         return decode_text(self.files[path]) if path in self.files else None
@@ -115,6 +152,8 @@ class Package:
         if path not in self._trees:
             text = self.text(path)
             self._trees[path] = parse_xml(text) if text else None
+            if text and self._trees[path] is None:
+                self.damaged.append(path)
         return self._trees[path]
 
     # what a package says of itself
@@ -136,6 +175,12 @@ class Package:
         refs = (found.all("itemref") or found.all("itemRef")) if found else []
         return [r for x in refs if (r := x.attrs.get("idref", x.attrs.get("idRef")))]
 
+    @cached_property
+    def likely(self) -> bool:
+        """Whether the mimetype part names a package of this kind; tells, and rejects nothing."""
+        kind = (self.text("mimetype") or "").strip().lower()
+        return "owpml" in kind or "hwpx" in kind
+
     @cached_property
     def encrypted(self) -> bool:
         """A mark of encryption in any name or value of the manifest."""
@@ -299,11 +344,11 @@ class Package:
                 spans = ""
                 for attr, names in (("colspan", ("colSpan", "colspan", "gridSpan")), ("rowspan", ("rowSpan", "rowspan"))):
                     n = next((c.attrs[x] for x in names if x in c.attrs), "")
-                    spans += f' {attr}="{n}"' if n not in ("", "1") else ""
+                    spans += f' {attr}="{escape_attr(n)}"' if n not in ("", "1") else ""
                 inner = c.one("subList")
                 cells.append(f"<{name}{spans}{style_attr(alignment(c))}>{self.node_html(inner if inner is not None and not inner.empty else c, o)}</{name}>")
             rows.append("<tr>" + "".join(cells) + "</tr>")
-        return f'<table class="{o.table_class}">' + "".join(rows) + "</table>"
+        return f'<table class="{escape_attr(o.table_class)}">' + "".join(rows) + "</table>"
 
     def node_html(self, node: Element, o: HtmlOptions) -> str:
         if inner := node.all("p"):
@@ -323,7 +368,7 @@ class Package:
                 path = data_uri(path.rpartition(".")[2].lower(), self.files[path], IMAGE_MIME) if path in self.files else path
             elif o.resolver:
                 path = o.resolver(path)
-            html += f'<img src="{escape_html(path)}" alt="" />'
+            html += f'<img src="{escape_attr(path)}" alt="" />'
         shape = self.shapes.get(r.attrs.get("charPrIDRef", "")) if o.styles else None
         return styled(html, shape) if shape is not None else html
 
@@ -340,6 +385,126 @@ class Package:
         return direct
 
 
+def _number(e: Element | None, name: str, other: int = 0) -> int:
+    m = re.match(r"\s*([+-]?\d+)", e.attrs.get(name, "")) if e is not None else None
+    return int(m[1]) if m else other
+
+
+def _color(e: Element | None, name: str, other: int) -> int:
+    """#RRGGBB as 0x00BBGGRR."""
+    m = re.fullmatch("#?([0-9a-fA-F]{2})([0-9a-fA-F]{2})([0-9a-fA-F]{2})", e.attrs.get(name, "").strip()) if e is not None else None
+    return int(m[3] + m[2] + m[1], 16) if m else other
+
+
+class Relations:
+    """A package as a Document, for its relations: the body in document order, and the definitions of its header.
+
+    Ids of shapes and styles are the header's. A definition's id is its place, so definitions stand at the id they state,
+    and places that no id has hold defaults; one without a number comes after the last.
+    """
+
+    def __init__(self, p: Package):
+        self.package, self.images = p, {}
+
+    def document(self) -> Document:
+        p = self.package
+        sections = [[self.paragraph(x) for x in s.all("p")] for path in p.section_paths() if (s := p.section(path)) is not None]
+        return Document(sections, self.tables(), {i: (p.files[path], path.rpartition(".")[2].lower()) for path, i in self.images.items() if path in p.files})
+
+    def paragraph(self, e: Element) -> Paragraph:
+        own = [r for r in runs(e)]
+        texts = [Run(_number(r, "charPrIDRef"), t) for r in own if (t := run_text(r))]
+        controls = [c for r in own for x in r.children if (c := self.control(x)) is not None]
+        return Paragraph("".join(r.text for r in texts), texts, controls, _number(e, "paraPrIDRef"), _number(e, "styleIDRef"))
+
+    def control(self, e: Element) -> Control | None:
+        if e.name == "tbl":
+            return self.table(e)
+        if e.name in ("pic", "picture"):
+            image = e.one("img")
+            path = e.attrs.get("href") or self.package.image_path((image if image is not None else e).attrs.get("binaryItemIDRef", ""))
+            return Control("picture", binary=self.images.setdefault(path, len(self.images) + 1))
+        if e.name == "equation":
+            script = e.one("script")
+            return Control("equation", script=script.text if script is not None else "")
+        shape = {"line": "line", "rect": "rectangle", "ellipse": "ellipse", "arc": "arc", "polygon": "polygon", "curve": "curve"}.get(e.name)
+        if shape:
+            ends = [e.one("startPt"), e.one("endPt")]
+            points = tuple(_number(x, n) for x in ends for n in ("x", "y")) if all(x is not None for x in ends) else None
+            return Control("shape", shape=shape, points=points)
+        return None
+
+    def table(self, e: Element) -> Control:
+        rows = e.all("tr")
+        out = Control("table", rows=_number(e, "rowCnt", len(rows)), cols=_number(e, "colCnt", max((len(r.all("tc")) for r in rows), default=0)))
+        taken: set[tuple[int, int]] = set()
+        for r, row in enumerate(rows):
+            col = 0
+            for c in row.all("tc"):
+                place, span = c.one("cellAddr"), c.one("cellSpan")
+                spans = [max(1, _number(span, n, _number(c, n, 1))) for n in ("rowSpan", "colSpan")]
+                while (r, col) in taken:
+                    col += 1
+                at = _number(place, "rowAddr", r), _number(place, "colAddr", col)
+                # what a span covers is bounded by the table
+                for k in range(at[0], min(at[0] + spans[0], len(rows))):
+                    taken.update((k, j) for j in range(at[1], at[1] + min(spans[1], max(out.cols, 1))))
+                out.cells.append(Cell(*at, *spans, [self.paragraph(x) for x in cell_paragraphs(c)]))
+        return out
+
+    def tables(self) -> Tables:
+        head = self.package.tree("Contents/header.xml")
+        lists = head.one("refList") if head is not None else None
+
+        def listed(name: str, item: str) -> list[Element]:
+            own = lists.one(name) if lists is not None else None
+            return own.all(item) if own is not None else []
+
+        def placed(items: list[Element], make, empty) -> list:
+            known = {_number(e, "id", -1): e for e in items if 0 <= _number(e, "id", -1) < 1 << 16}
+            out = [make(known[i]) if i in known else empty() for i in range(max(known, default=-1) + 1)]
+            return out + [make(e) for e in items if not 0 <= _number(e, "id", -1) < 1 << 16]
+
+        fonts = [[(f.attrs.get("name", f.attrs.get("face", "")), s.attrs.get("name", s.attrs.get("face")) if (s := f.one("substFont")) is not None else None) for f in x.all("font")] for x in listed("fontfaces", "fontface")]
+        return Tables(
+            fonts=(fonts + [[] for _ in range(7)])[: max(7, len(fonts))],
+            chars=placed(listed("charProperties", "charPr"), self.char_shape, CharShape),
+            paras=placed(listed("paraProperties", "paraPr"), self.para_shape, ParaShape),
+            styles=placed(listed("styles", "style"), lambda e: Style(e.attrs.get("name", ""), e.attrs.get("engName", ""), _number(e, "paraPrIDRef"), _number(e, "charPrIDRef")), lambda: Style("")),
+            borders=placed(listed("borderFills", "borderFill"), self.border, BorderFill),
+            tabs=placed(listed("tabPrs", "tabPr"), lambda e: (_number(e, "autoTabLeft") == 1, _number(e, "autoTabRight") == 1), lambda: (False, False)),
+            numberings=placed(listed("numberings", "numbering"), lambda e: ([h.attrs.get("numFormat", "") for h in e.all("paraHead")], _number(e, "start", 1)), lambda: ([], 1)),
+            bullets=placed(listed("bullets", "bullet"), lambda e: e.attrs.get("char", "●"), lambda: "●"),
+        )
+
+    @staticmethod
+    def char_shape(e: Element) -> CharShape:
+        under, strike, faces = e.one("underline"), e.one("strikeout"), e.one("fontRef")
+        drawn = lambda x, n: x is not None and x.attrs.get(n, "SOLID") != "NONE"
+        return CharShape(
+            _number(e, "height", 1000), e.one("bold") is not None, e.one("italic") is not None, drawn(under, "type"), drawn(strike, "shape"),
+            tuple(_number(faces, n) for n in ("hangul", "latin", "hanja", "japanese", "other", "symbol", "user")),
+            _color(e, "textColor", 0), _color(under, "color", 0), _color(e, "shadeColor", 0xFFFFFF),
+        )
+
+    @staticmethod
+    def para_shape(e: Element) -> ParaShape:
+        names = {v: k for k, v in ALIGNMENTS.items()}
+        align, margin, line = e.one("align"), e.one("margin"), e.one("lineSpacing")
+        side = lambda n: _number(margin.one(n) if margin is not None else None, "value")
+        kind = names.get(align.attrs.get("horizontal", ""), "justify") if align is not None else "justify"
+        return ParaShape(kind, side("left"), side("right"), side("intent"), side("prev"), side("next"), _number(line, "value", 160))
+
+    @staticmethod
+    def border(e: Element) -> BorderFill:
+        def line(x: Element | None) -> tuple[int, int, int]:
+            kind, wide = (x.attrs.get(n, "") for n in ("type", "width")) if x is not None else ("", "")
+            size = wide.replace("mm", "").strip()
+            return LINE_TYPES.index(kind) if kind in LINE_TYPES else 1, WIDTHS.index(size) if size in WIDTHS else 0, _color(x, "color", 0)
+
+        return BorderFill(_number(e, "threeD") | _number(e, "shadow") << 1, [line(e.one(f"{s}Border")) for s in ("left", "right", "top", "bottom")], line(e.one("diagonal")))
+
+
 def is_setting(r: Element) -> bool:
     return any(not c.empty for c in r.children if c.name in ("secPr", "ctrl"))
 
@@ -380,7 +545,7 @@ def alignment(e: Element) -> str:
 
 
 def style_attr(style: str) -> str:
-    return f' style="{style}"' if style else ""
+    return f' style="{escape_attr(style)}"' if style else ""
 
 
 def image_ref(r: Element) -> str | None:
@@ -399,6 +564,7 @@ def data_uri(ext: str, raw: bytes, table: dict[str, str]) -> str:
 
 
 def css_color(c: str) -> str:
+    c = c.strip(SPACE_CHARACTERS)
     return "#" + c if re.fullmatch("[0-9a-fA-F]{6}", c) else c
 
 

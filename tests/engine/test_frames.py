@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import api, plans
-from quire.functions import scalar
-from quire.operators import frames, relational
+from quire.functions import scalar, templates
+from quire.operators import frames, relational, render
 from quire.sources import files
 from quire.streaming import render_stream, write_stream
 
@@ -85,7 +85,7 @@ def test_scalars(spark):
     assert [value(scalar.color_hex(F.lit(c))) for c in (0, 0xFFFFFF, 0xFF, 0xFF0000, 0x0030618E, 0xFF000000)] == ["#000000", "#FFFFFF", "#FF0000", "#0000FF", "#8E6130", "#000000"]
     assert [value(scalar.points(F.lit(c))) for c in (1000, 1050, 1055, 0, 5)] == ["10", "10.5", "10.6", "0", "0.1"]
     assert value(scalar.decode_entities(F.lit("&amp;lt;"))) == "<"
-    assert value(scalar.fill_template(F.lit("{{a.b}}-{{ a.b }}{{no}}"), F.lit('{"a": {"b": "{{a.b}}"}}'))) == "{{a.b}}-{{a.b}}"
+    assert value(templates.fill_template(F.lit("{{a.b}}-{{ a.b }}{{no}}"), F.lit('{"a": {"b": "{{a.b}}"}}'))) == "{{a.b}}-{{a.b}}"
     assert value(scalar.data_uri_parts(F.lit("http://x"))) is None
     assert [value(scalar.detect_format(F.lit(x).cast("binary"))) for x in ("", "ab", "HWP Document File")] == ["unknown", "unknown", "hwp3"]
 
@@ -112,3 +112,109 @@ def test_entry_works_without_the_llm_folder():
     root = Path(__file__).resolve().parents[2]
     probe = "import builtins, importlib; real = builtins.__import__\ndef fake(n, *a, **k):\n    if n == 'corpus_pipeline': raise ModuleNotFoundError('no', name='corpus_pipeline')\n    return real(n, *a, **k)\nbuiltins.__import__ = fake\n" + "import __spark_entry__ as e; assert len(e.queries()) > 30 and not any(q.startswith('op1_') for q in e.queries())"
     assert subprocess.run([sys.executable, "-c", probe], cwd=root, capture_output=True).returncode == 0
+
+
+@pytest.mark.parametrize("limits", [(1 << 20,)])
+def test_parts_that_are_no_xml_show_in_status(spark, limits):
+    import io
+    import zipfile
+
+    whole, out = zipfile.ZipFile(io.BytesIO(api.markdown_to_hwpx("# T\n\nx"))), io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in whole.infolist():
+            raw = whole.read(i)
+            z.writestr(i.filename, raw[:-9] if i.filename == "Contents/header.xml" else raw)
+    df = spark.createDataFrame([(1, bytearray(out.getvalue()))], "id long, content binary")
+    got = {w: frames.render_as(df, w).first() for w in ("text", "markdown", "html")}
+    assert [got[w]["status"] for w in got] == ["ok", "partial", "partial"]  # a text needs no header
+    assert got["markdown"]["markdown"].strip() == "T\n\nx" and "header.xml" in got["html"]["message"]
+    assert frames.render_as(df, "html", mode="drop").count() == 0 and len(limits) == 1
+
+
+def test_one_broken_document_does_not_end_the_job(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, content string")
+
+    def one(raw):
+        if raw == "a":
+            raise TypeError("odd")
+        yield (raw,)
+
+    assert rows(frames.flat_map(df, "content", "x string", one, ["id"]), "id", "x", "status") == [(1, None, "error"), (2, "b", "ok")]
+
+
+def test_gaps_and_missing_definitions():
+    from quire.sources import hwp
+
+    from . import build as b
+
+    parts = {"/FileHeader": b.file_header(flags=0), "/DocInfo": b"", "/BodyText/Section0": b.plain(0, "zero"), "/BodyText/Section2": b.plain(0, "two"), "/BodyText/Section1": b.plain(0, "one")}
+    gap = {k: v for k, v in parts.items() if k != "/BodyText/Section1"} | {"/BodyText/Section7": b""}
+    assert [p.text for s in hwp.read_document(b.compound(gap)).sections for p in s] == ["zero", "two"]
+    with pytest.raises(api.DocumentError):
+        hwp.read_document(b.compound({k: v for k, v in parts.items() if k != "/DocInfo"}))
+
+
+def test_templates_have_one_rule(spark):
+    data = {"a": {"b": [1, 2.0, None, [True, "x"]]}, "n": 5.0, "big": 12345678901234567890, "s": "{{n}}", "o": {}, "small": 1.5e-7}
+    text = "{{a.b}}|{{a}}|{{n}}|{{ big }}|{{s}}|{{o}}|{{none.x}}|{{a.b.1}}|{{s.length}}|{{small}}"
+    want = "1,2,,true,x|[object Object]|5|12345678901234567000|{{n}}|[object Object]||2|5|1.5e-7"
+    df = spark.createDataFrame([(text, json.dumps(data)), (text, "broken"), (None, "{}"), ("x", None)], "text string, data string")
+    assert api.fill(text, data) == want
+    assert [r["filled"] for r in frames.fill_template(df).collect()] == [want, "|||||||||", None, "x"]
+
+
+def test_previews_are_cut_by_units(spark):
+    for text in ("x" * 1999 + "😀" + "y", "😀" * 1500, "a" * 2000 + "😀", "x" * 1998 + "😀y"):
+        got = spark.createDataFrame([(text,)], "t string").select(scalar.preview(scalar.paragraphs(F.col("t")))).first()[0]
+        assert got == render.to_preview(frames.read_text(text)) and len(got.encode("utf-16-le")) <= 4000
+
+
+def test_packages_can_not_put_markup_into_html():
+    from quire.sources.package import Package
+
+    bad = '"><script>x</script>'
+    esc = bad.replace('"', "&quot;").replace("<", "&lt;").replace(">", "&gt;")
+    section = f'<sec><p><run charPrIDRef="0"><t>t</t><tbl><tr><tc colSpan="{esc}"><subList><p/></subList></tc></tr></tbl></run></p></sec>'
+    header = f'<head><refList><charProperties><charPr id="0" textColor="{esc}" height="1000"/></charProperties></refList></head>'
+    html = Package({"Contents/section0.xml": section.encode(), "Contents/header.xml": header.encode()}).to_html()
+    assert "<script>" not in html and "&lt;script&gt;" in html
+
+
+def test_long_adversarial_markdown_is_linear():
+    import time
+
+    for text in ("*a **b " * 15000, "_a __b " * 15000, "~~a " * 25000, "[" * 20000, "`a " * 3):
+        began = time.perf_counter()
+        frames.to_text("md", text)
+        assert time.perf_counter() - began < 8
+
+
+def test_commands(tmp_path, capsys):
+    from quire.__main__ import main
+
+    def run(*argv):
+        code = main(list(map(str, argv)))
+        return code, capsys.readouterr().out
+
+    (tmp_path / "w.hwp").write_bytes(_whole())
+    (tmp_path / "a.md").write_text("# T\n\nHi {{ name }} **b**")
+    (tmp_path / "a.html").write_text("<p>Hi {{ name }}</p>")
+    (tmp_path / "d.json").write_text('{"name": "<you>"}')
+    assert run("md:hwpx", tmp_path / "a.md", tmp_path / "m.hwpx", "title")[0] == 0 and run("html:hwpx", tmp_path / "a.html", tmp_path / "h.hwpx")[0] == 0
+    assert run("write:txt", tmp_path / "t.hwpx", "one\ntwo", "title")[0] == 0 and run("convert:hwp", tmp_path / "w.hwp", tmp_path / "c.hwpx")[0] == 0
+    assert run("txt", tmp_path / "t.hwpx") == (0, "one\ntwo\n") and run("txt", tmp_path / "w.hwp")[1] == run("hwp:txt", tmp_path / "w.hwp")[1]
+    assert run("md", tmp_path / "m.hwpx")[1].startswith("**T**") and run("md", tmp_path / "w.hwp", "--embed")[1] == run("hwp:md", tmp_path / "w.hwp", "--embed")[1]
+    assert "<p>" in run("html", tmp_path / "m.hwpx")[1] and json.loads(run("inspect", tmp_path / "m.hwpx")[1])["metadata"]["title"] == "title"
+    assert run("html:tpl", tmp_path / "h.hwpx", tmp_path / "d.json") == (0, "<p>Hi &lt;you&gt;</p>\n")
+    assert run() [0] == 1 and run("none")[0] == 1 and run("txt", tmp_path / "missing.hwpx")[0] == 1 and run("txt")[0] == 1
+
+
+def test_batch_commands(spark, tmp_path):
+    from quire.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "data").mkdir()
+    (tmp_path / "in" / "a.hwpx").write_bytes(api.text_to_hwpx("Hi {{ name }}"))
+    (tmp_path / "data" / "a.json").write_text('{"name": "you"}')
+    assert main(["batch", f"{tmp_path}/in", f"{tmp_path}/out"]) == 0 and main(["batch:tpl", f"{tmp_path}/in", f"{tmp_path}/data", f"{tmp_path}/filled"]) == 0
+    assert "Hi {{ name }}" in (tmp_path / "out" / "a.html").read_text() and (tmp_path / "filled" / "a.html").read_text() == "<p>Hi you</p>"
