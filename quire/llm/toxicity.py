@@ -113,8 +113,9 @@ class Batch:
 
 
 def _fitted(y: np.ndarray, size: np.ndarray, first: np.ndarray, ids: np.ndarray, share: float) -> Machine:
-    keys, at = np.unique(ids, return_inverse=True)
-    at = at.astype(np.int32)
+    there = np.zeros(1 << BITS, bool)
+    there[ids] = True
+    keys, at = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[ids]
     n, m, least = len(y), len(keys), share * len(y) ** 0.5
     rng = np.random.default_rng(0)
     bias, bias_n = float(np.log(y.mean() / (1 - y.mean()))), 0.0
