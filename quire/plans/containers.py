@@ -138,7 +138,9 @@ def _definitions(rows) -> bytes:
 
 def _defined(spark, sf_dir, name):
     rows = table(spark, sf_dir, "part").select((F.floor(c("p_partkey") / 32)).alias("doc_id"), "p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return frames.document_table(_made(rows, _definitions), name, "hwp").drop("status", "message")
+    made = frames.document_table(_made(rows, _definitions), name, "hwp").drop("status", "message")
+    shown = {n: F.array_join(c(n).cast("array<string>"), ",") for n, t in made.dtypes if t.startswith("array")} | {n: F.decode(n, "UTF-8") for n, t in made.dtypes if t == "binary"}
+    return made.withColumns(shown) if shown else made
 
 
 _PARTS = "select p_partkey // 32 as doc_id, p_partkey as k, p_size as s, p_name, p_brand, p_type, cast(row_number() over (partition by p_partkey // 32 order by p_partkey) - 1 as int) as id from part"
@@ -147,12 +149,12 @@ for _name, _table, _sql in (
     ("hwp_char_shapes", "char_shape", "doc_id, id, cast(1000 + s * 10 as int) as size, (a >> 1) & 1 = 1 as bold, a & 1 = 1 as italic, (a >> 2) & 3 > 0 as underline, (a >> 18) & 7 > 1 as strikeout, k * 7919 % 16777216 as text_color, k * 31 % 16777216 as shade_color from (select *, k * 40503 % 2097152 as a from p)"),
     ("hwp_para_shapes", "para_shape", "doc_id, id, (['justify', 'left', 'right', 'center', 'distribute', 'distributeSpace', 'unknown', 'unknown'])[k % 8 + 1] as alignment, cast(s as int) as left_margin, cast(-s as int) as right_margin, cast(k as int) as indent, cast(s * 2 as int) as prev_spacing, cast(s * 3 as int) as next_spacing, cast(100 + s as int) as line_spacing from p"),
     ("hwp_styles", "style", "doc_id, id, p_name as name, p_brand as eng_name, cast(k % 7 as int) as para_shape_id, cast(k % 5 as int) as char_shape_id from p"),
-    ("hwp_border_fills", "border_fill", "doc_id, id, cast(k % 65536 as int) as attr, [cast((k + x) % 18 as int) for x in [0, 1, 2, 3]] as line_types, [cast((k + x) % 16 as int) for x in [0, 1, 2, 3]] as widths, [(k * 7919 + x) % 16777216 for x in [0, 1, 2, 3]] as colors from p"),
+    ("hwp_border_fills", "border_fill", "doc_id, id, cast(k % 65536 as int) as attr, array_to_string([(k + x) % 18 for x in [0, 1, 2, 3]], ',') as line_types, array_to_string([(k + x) % 16 for x in [0, 1, 2, 3]], ',') as widths, array_to_string([(k * 7919 + x) % 16777216 for x in [0, 1, 2, 3]], ',') as colors from p"),
     ("hwp_font_faces", "font_face", "doc_id, least(id // 4, 6)::int as lang_idx, cast(case when id >= 28 then id - 24 else id % 4 end as int) as font_id, p_name as name, case when k % 2 = 1 then p_brand end as substitute from p"),
-    ("hwp_numberings", "numbering", "doc_id, id, ['^' || x || p_type for x in [1, 2, 3, 4, 5, 6, 7]] as formats, cast(s as int) as start from p"),
+    ("hwp_numberings", "numbering", "doc_id, id, array_to_string(['^' || x || p_type for x in [1, 2, 3, 4, 5, 6, 7]], ',') as formats, cast(s as int) as start from p"),
     ("hwp_bullets", "bullet", "doc_id, id, chr(cast(9312 + k % 20 as int)) as char from p"),
     ("hwp_tab_defs", "tab_def", "doc_id, id, k % 2 = 1 as auto_left, k % 4 >= 2 as auto_right from p"),
-    ("hwp_binary_items", "binary_item", "doc_id, cast(k % 32 + 1 as int) as storage_id, id as ord, 'png' as extension, encode(p_name) as data from p"),
+    ("hwp_binary_items", "binary_item", "doc_id, cast(k % 32 + 1 as int) as storage_id, id as ord, 'png' as extension, p_name as data from p"),
 ):
     query(_name, f"with p as ({_PARTS}) select {_sql}")(lambda spark, sf_dir, t=_table: _defined(spark, sf_dir, t))
 

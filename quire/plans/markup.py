@@ -105,9 +105,6 @@ def html_table_cells(spark, sf_dir):
     return frames.document_table(_filled(spark, sf_dir, _HTML), "table_cell", "html").select("p_partkey", "cell_idx", "row", "col", "row_span", "col_span")
 
 
-_CONTROL = "chr(1) || text || chr(11) || '<&>' || chr(31)"
-
-
 @query("control_characters", r"select doc_id, replace('�' || text || '�' || '<&>' || '�', chr(13) || chr(10), chr(10)) as text, 'ok' as status from documents where text is not null")
 def control_characters(spark, sf_dir):
     """Texts with characters that XML forbids, through a package: these are replaced, all else stays."""
@@ -129,12 +126,12 @@ def md_picture_links(spark, sf_dir):
     return out.select("p_partkey", F.replace("markdown", F.lit(" \n\n"), F.lit("\n\n")).alias("markdown"))
 
 
-@query("md_picture_bytes", "select p_partkey, 1::int as storage_id, 'png' as extension, encode(p_name) as data from part")
+@query("md_picture_bytes", "select p_partkey, 1::int as storage_id, 'png' as extension, p_name as data from part")
 def md_picture_bytes(spark, sf_dir):
     """Embedded pictures through a package and its relations."""
     body = F.concat(F.lit("![a]("), F.lit(_PNG), F.regexp_replace(F.base64(c("p_name").cast("binary")), "\\s", ""), F.lit(")"))
     packed = frames.render_as(table(spark, sf_dir, "part").select("p_partkey", body.alias("content")), "package", "md").select("p_partkey", c("package").alias("content"))
-    return frames.document_table(packed, "binary_item", "hwpx").select("p_partkey", "storage_id", "extension", "data")
+    return frames.document_table(packed, "binary_item", "hwpx").select("p_partkey", "storage_id", "extension", F.decode("data", "UTF-8").alias("data"))
 
 
 @query("hwpx_char_shapes", "select p_partkey, unnest(range(9))::int as id, unnest([1000, 1000, 1000, 1000, 1800, 1600, 1400, 1200, 1000])::int as size, unnest([false, true, false, true, true, true, true, true, false]) as bold, unnest([false, false, true, true, false, false, false, false, false]) as italic from part")
