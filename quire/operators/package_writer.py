@@ -80,7 +80,8 @@ def counted(name: str, items: list[str], count: str = "itemCnt") -> str:
     return tag(f"hh:{name}", {count: len(items)}, *items)
 
 
-def per_group(name: str, values) -> str:
+@lru_cache(4096)
+def per_group(name: str, values: tuple) -> str:
     return tag(f"hh:{name}", dict(zip((g.lower() for g in GROUPS), values, strict=True)))
 
 
@@ -115,7 +116,7 @@ def border_xml(i: int, b: BorderFill | None) -> str:
 
 def char_xml(i: int, c: CharShape | None) -> str:
     shade = "none" if c is None or c.shade_color in (0, 0xFFFFFF) else color(c.shade_color)
-    parts = [per_group("fontRef", c.faces if c else (0,) * 7), per_group("ratio", (100,) * 7), per_group("spacing", (0,) * 7), per_group("relSz", (100,) * 7), per_group("offset", (0,) * 7)]
+    parts = [per_group("fontRef", tuple(c.faces) if c else (0,) * 7), per_group("ratio", (100,) * 7), per_group("spacing", (0,) * 7), per_group("relSz", (100,) * 7), per_group("offset", (0,) * 7)]
     if c:
         parts += ["<hh:italic/>"] * c.italic + ["<hh:bold/>"] * c.bold
         parts += [tag("hh:underline", {"type": "BOTTOM", "shape": "SOLID", "color": color(c.underline_color)})] * c.underline

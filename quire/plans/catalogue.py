@@ -409,8 +409,9 @@ def _plain(x: str) -> str:
     """SQL for the text of an HTML fragment of inline tags and few entities."""
     x = f"replace(regexp_replace({x}, '\\s+', ' ', 'g'), '<br>', chr(10))"
     x = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
-    for a, b in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#x27;", "''''"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
-        x = f"replace({x}, '{a}', {b})"
+    # the semicolon of these may be missing
+    for a, b in (("&lt;?", "'<'"), ("&gt;?", "'>'"), ("&quot;?", "'\"'"), ("&#x27;?", "''''"), ("&copy;?", "'©'"), ("&middot;?", "'·'"), ("&amp;?", "'&'")):
+        x = f"regexp_replace({x}, '{a}', {b}, 'g')"
     return x
 
 
@@ -440,7 +441,24 @@ def html_paragraphs(spark, sf_dir):
     return frames.document_table(_pages(spark, sf_dir), "paragraph", "html").select("page_id", F.element_at("para_path", 1).alias("para_idx"), "text")
 
 
-@query("html_to_markdown")
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+#: Pages as lists of paragraphs, each a list of runs with shape and text; bold in an article never ends.
+_RUNS = f"""
+with split as (select page_id, html, {_ARTICLE} as x, strpos({_ARTICLE}, '<b>') as b from pages),
+runs as (select page_id, list_concat(list_transform(regexp_extract_all(html, '<li><a[^>]*>(.*?)</a></li>', 1), lambda y: [{{'s': 0, 't': '- '}}, {{'s': 0, 't': {_plain("y")}}}]),
+    [[{{'s': 0, 't': {_plain("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}}}],
+    [{{'s': 0, 't': {_plain("case when b > 0 then substr(x, 1, b - 1) else x end")}}}, {{'s': 1, 't': {_plain("case when b > 0 then substr(x, b) else '' end")}}}],
+    [{{'s': 0, 't': {_plain("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")}}}]]) as p from split),
+shown as (select page_id, list_filter(list_transform(p, lambda r: list_filter(r, lambda z: z.t <> '')), lambda r: trim(replace(array_to_string(list_transform(r, lambda z: z.t), ''), chr(10), ' ')) <> '') as p from runs)
+"""
+_ESCAPED = r"regexp_replace(regexp_replace(replace(z.t, '\', '\\'), '([*_`~])', '\\\1', 'g'), '(^|\n)([#>])', '\1\\\2', 'g')"
+
+
+@query(
+    "html_to_markdown",
+    _RUNS + f"""select page_id, trim(regexp_replace(array_to_string(list_transform(p, lambda r: array_to_string(list_transform(r, lambda z: case when z.s = 1 then '**' || {_ESCAPED} || '**' else {_ESCAPED} end), '')), chr(10) || chr(10)),
+    '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) || chr(10) as markdown from shown""",
+)
 def html_to_markdown(spark, sf_dir):
     return frames.render_as(_pages(spark, sf_dir), "markdown", "html").select("page_id", "markdown")
 
@@ -461,9 +479,14 @@ def html_to_preview(spark, sf_dir):
     return frames.render_as(_pages(spark, sf_dir), "preview", "html").select("page_id", "preview")
 
 
-@query("html_run_table")
+@query(
+    "html_run_table",
+    _RUNS + """, paras as (select page_id, i, p[i] as r from shown, lateral (select unnest(range(1, len(p) + 1)) as i))
+    select page_id, cast(i - 1 as int) as para_idx, cast(j - 1 as int) as run_idx, cast(r[j].s as int) as char_shape_id, r[j].t as text from paras, lateral (select unnest(range(1, len(r) + 1)) as j)""",
+)
 def html_run_table(spark, sf_dir):
-    return frames.document_table(_pages(spark, sf_dir), "run", "html").select("page_id", "para_path", "run_idx", "char_shape_id", "text")
+    rows = frames.document_table(_pages(spark, sf_dir), "run", "html")
+    return rows.select("page_id", F.element_at("para_path", 1).alias("para_idx"), "run_idx", "char_shape_id", "text")
 
 
 @query("md_to_hwpx_text")

@@ -18,7 +18,7 @@ def _filled(spark, sf_dir, text):
     own = F.lit(text)
     for mark, name in (("{n}", "p_name"), ("{b}", "p_brand"), ("{t}", "p_type")):
         own = F.replace(own, F.lit(mark), F.col(name))
-    return table(spark, sf_dir, "part").select("p_partkey", own.alias("content"))
+    return table(spark, sf_dir, "part", parsed=True).select("p_partkey", own.alias("content"))
 
 
 def _sql(lines: list[str]) -> str:
@@ -121,7 +121,7 @@ def md_picture_links(spark, sf_dir):
     """A picture's address from a column of maps, where it has one."""
     body = F.concat(F.lit("see "), "p_name", F.lit(" ![]("), F.lit(_PNG), F.regexp_replace(F.base64(c("p_name").cast("binary")), "\\s", ""), F.lit(")"))
     links = F.when(c("p_partkey") % 2 == 0, F.create_map(F.lit("BinData/image1.png"), F.concat(F.lit("https://img/"), "p_partkey")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", body.alias("content"), links.alias("links"))
+    rows = table(spark, sf_dir, "part", parsed=True).select("p_partkey", body.alias("content"), links.alias("links"))
     out = frames.render_as(rows, "markdown", "md", links="links")
     return out.select("p_partkey", F.replace("markdown", F.lit(" \n\n"), F.lit("\n\n")).alias("markdown"))
 
@@ -130,7 +130,7 @@ def md_picture_links(spark, sf_dir):
 def md_picture_bytes(spark, sf_dir):
     """Embedded pictures through a package and its relations."""
     body = F.concat(F.lit("![a]("), F.lit(_PNG), F.regexp_replace(F.base64(c("p_name").cast("binary")), "\\s", ""), F.lit(")"))
-    packed = frames.render_as(table(spark, sf_dir, "part").select("p_partkey", body.alias("content")), "package", "md").select("p_partkey", c("package").alias("content"))
+    packed = frames.render_as(table(spark, sf_dir, "part", parsed=True).select("p_partkey", body.alias("content")), "package", "md").select("p_partkey", c("package").alias("content"))
     return frames.document_table(packed, "binary_item", "hwpx").select("p_partkey", "storage_id", "extension", F.decode("data", "UTF-8").alias("data"))
 
 
