@@ -32,22 +32,33 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     Sources in code-point order, null last, weigh as ``weights``, repeating. Together they get ``share`` of all
     sizes; a target above ``most`` times its source's size stops there and the excess goes to the others by weight.
     The fixed point is found in closed form: with sources in order of the ratio size / weight, a source is full
-    if the level that would fill it is at most the level the rest share. Sources are few against documents: this
-    table has one row for each.
+    if the level that would fill it is at most the level the rest share. No task sees all sources: ranks and running
+    sums are counted within ranges of sources. An empty table gives an empty one.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    up = Window.orderBy("_ratio", F.col("source").isNull(), F.col("source"))
-    before, whole = up.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    t = sizes.withColumn("_weight", weight).withColumn("_cap", most * F.col("source_size").cast("double")).withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-    t = t.withColumn("_all", share * F.sum("source_size").over(whole))
-    rest_words = F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    rest_weight = F.sum("_weight").over(whole) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
-    t = t.withColumn("_level", rest_words / rest_weight)
-    open_ = F.when(F.col("_ratio") > F.col("_level"), F.struct("_ratio", F.col("source").isNull(), "source", "_level"))
-    level = F.min(open_).over(whole)["_level"]  # of the first source in order that stays below its cap
-    t = t.withColumn("target", F.coalesce(F.least(F.col("_cap"), level * F.col("_weight")), F.col("_cap")))
-    return t.select("source", "source_size", "target")
+    own = [F.col("source").isNull(), F.col("source")]
+    t = _running(sizes.select("source", "source_size"), own, _rank=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
+    t = t.withColumn("_weight", weight).withColumn("_cap", most * F.col("source_size").cast("double")).withColumn("_ratio", F.col("_cap") / F.col("_weight"))
+    t = _running(t, [F.col("_ratio"), *own], _full=F.col("_cap"), _spent=F.col("_weight"))
+    words, heavy = t.agg(F.sum("source_size"), F.sum("_weight")).first()
+    t = t.withColumn("_level", (share * (words or 0) - F.col("_full")) / (F.lit(heavy or 0.0) - F.col("_spent")))
+    # of the first source in order that stays below its cap
+    open_ = F.when(F.col("_ratio") > F.col("_level"), F.struct("_ratio", own[0].alias("_null"), "source", "_level"))
+    level = t.agg(F.min(open_)["_level"]).first()[0]
+    target = F.least(F.col("_cap"), F.lit(level).cast("double") * F.col("_weight")) if level is not None else F.col("_cap")
+    return t.select("source", "source_size", target.alias("target"))
+
+
+def _running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with the sums over all rows before each in a strict order: those of its own range and of the ranges before it."""
+    placed = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # one row a range, and there are as many as shuffle partitions at most
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("_range").agg(*(F.sum(x).alias(f"{n}_in") for n, x in sums.items()))
+    ranges = ranges.select("_range", *(F.coalesce(F.sum(f"{n}_in").over(ahead), F.lit(0)).alias(f"{n}_ahead") for n in sums))
+    counted = placed.withColumns({n: F.coalesce(F.sum(x).over(before), F.lit(0)) for n, x in sums.items()})
+    return counted.join(F.broadcast(ranges), "_range").select(*rows.columns, *((F.col(n) + F.col(f"{n}_ahead")).alias(n) for n in sums))
 
 
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -235,6 +235,19 @@ def test_targets_are_the_fixed_point(spark):
         assert abs(sum(want.values()) - 1.5 * sum(named.values())) < 1e-6
 
 
+def test_targets_of_many_sources_in_several_ranges(spark):
+    drawn = np.random.default_rng(5).choice([0, 1, 7, 1000, 10**6, 123_456_789], 900)
+    named = {f"s{k:04}" if k else None: int(n) for k, n in enumerate(drawn)}
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = mixing.targets(spark.createDataFrame(list(named.items()), "source string, source_size long")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = brute.mixed_targets(named)
+    assert {r["source"]: r["target"] for r in rows} == pytest.approx(want) and len(rows) == 900
+
+
 def test_mixing_takes_what_lies_below_the_thresholds(spark):
     from pyspark.sql import functions as F
 
